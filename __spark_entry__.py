@@ -33,7 +33,12 @@ from costlens.sources.exports import (  # noqa: E402
     read_export,
 )
 from costlens.sources.normalize import declared, normalize  # noqa: E402
-from costlens.sources.star import focus_rows, legacy_rows, legacy_text  # noqa: E402
+from costlens.sources.star import (  # noqa: E402
+    FOCUS_STAR_COLUMNS,
+    focus_rows,
+    legacy_rows,
+    legacy_text,
+)
 from costlens.sources.tables import (  # noqa: E402
     read_table,
     to_daily,
@@ -245,8 +250,8 @@ def _exports(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """The star as cumulative CSV exports of two scopes, one plain and one compressed."""
     root = scratch_dir(spark, "exports")
     source = f"{root}/source"
-    write_table(normalize(focus_rows(spark, sf_dir)), source)
-    rows = read_table(spark, source).drop("date_raw", "ChargeType")
+    write_table(focus_rows(spark, sf_dir, FOCUS_STAR_COLUMNS), source)
+    rows = read_table(spark, source).select(*FOCUS_STAR_COLUMNS)
     for run_day in RUN_DAYS:
         for unit, compression in (("F", "none"), ("O", "gzip")):
             write_mtd_history(
@@ -317,13 +322,13 @@ def _month_totals(rows: DataFrame) -> DataFrame:
 
 def _typed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "table")
-    write_table(normalize(focus_rows(spark, sf_dir)), path)
+    write_table(focus_rows(spark, sf_dir, FOCUS_STAR_COLUMNS), path)
     return _month_totals(read_table(spark, path))
 
 
 def _typed_table_month_over_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "table")
-    write_table(normalize(focus_rows(spark, sf_dir)), path)
+    write_table(focus_rows(spark, sf_dir, FOCUS_STAR_COLUMNS), path)
     return focus.month_over_month(read_table(spark, path), AS_OF)
 
 

@@ -7,7 +7,6 @@ Catalyst can push them into a Parquet scan or prune partitions with them.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from datetime import date, datetime
 
 from pyspark.sql import Column
@@ -47,22 +46,6 @@ def money(c: str | Column) -> Column:
     return as_column(c).try_cast(MONEY)
 
 
-def moment(c: str | Column, formats: Iterable[str] = ()) -> Column:
-    """Text to timestamp, NULL when it holds no date.
-
-    ISO text is read directly; ``formats`` adds patterns for other exports,
-    for instance ``MM/dd/yyyy``.  A bare time of day is not a date.
-    """
-    c = as_column(c)
-    iso_day = c.try_cast("date")
-    iso = F.when(
-        iso_day.isNotNull(),
-        F.coalesce(c.try_cast("timestamp"), iso_day.cast("timestamp")),
-    )
-    others = [F.try_to_timestamp(c, F.lit(fmt)) for fmt in formats]
-    return F.coalesce(iso, *others) if others else iso
-
-
 def day(c: str | Column) -> Column:
     return as_column(c).cast("date")
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -29,9 +30,12 @@ from costlens.sources.schema import EXPORT_PERIOD, EXPORT_SCOPE, RAW_SCHEMA
 
 CSV_GLOB = "*.csv*"
 FLAT_PERIOD = "current"
+# Header jobs submitted at a time.
+HEADER_JOBS = 16
 
-# <scope>/<daterange>/[<run>/...]<file>
-_DATED = r"^(.*)/(?:[^/=]+=)?(\d{8})-\d{8}/(?:([^/]+)/(?:.*/)?)?[^/]+$"
+# <scope>/<daterange>/[<run>/...]<file>; the last date range of a path counts.
+_DATED = r"^(.*)/(?:[^/=]+=)?(\d{8})-\d{8}/"
+_RUN = r"^.*/(?:[^/=]+=)?\d{8}-\d{8}/([^/]+)/"
 _RUN_DIR = r"^(.*/(?:[^/=]+=)?\d{8}-\d{8}/[^/]+)/.+$"
 _PARENT = r"^(.*)/[^/]+$"
 
@@ -67,6 +71,24 @@ def _as_list(paths: str | Iterable[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
+def _csv_files(spark: SparkSession, folders: list[str]) -> DataFrame | None:
+    """Listing of the CSV files below the folders that exist; None when none does."""
+    try:
+        return (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", True)
+            .option("pathGlobFilter", CSV_GLOB)
+            .load(folders)
+        )
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    if len(folders) == 1:
+        return None
+    found = [f for f in folders if _csv_files(spark, [f]) is not None]
+    return _csv_files(spark, found) if found else None
+
+
 def list_export_files(
     spark: SparkSession, roots: str | Iterable[str], export_name: str | None = None
 ) -> DataFrame:
@@ -74,37 +96,19 @@ def list_export_files(
 
     A root that does not exist contributes no rows.
     """
-    listings = []
-    for root in _as_list(roots):
-        folder = f"{root.rstrip('/')}/{export_name}" if export_name else root
-        try:
-            files = (
-                spark.read.format("binaryFile")
-                .option("recursiveFileLookup", True)
-                .option("pathGlobFilter", CSV_GLOB)
-                .load(folder)
-            )
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            continue
-        listings.append(
-            files.select(
-                F.col("_metadata.file_path").alias("file"),
-                "path",
-                "modificationTime",
-                "length",
-            )
-        )
-    if not listings:
+    below = f"/{export_name}" if export_name else ""
+    files = _csv_files(spark, [f"{root.rstrip('/')}{below}" for root in _as_list(roots)])
+    if files is None:
         return spark.createDataFrame([], LISTING)
-    files = reduce(DataFrame.unionByName, listings)
+    files = files.select(
+        F.col("_metadata.file_path").alias("file"), "path", "modificationTime", "length"
+    )
     run_dir = F.regexp_extract("path", _RUN_DIR, 1)
     return files.select(
         "*",
         scope_of("file").alias(EXPORT_SCOPE),
         period_of("file").alias(EXPORT_PERIOD),
-        F.regexp_extract("file", _DATED, 3).alias("run"),
+        F.regexp_extract("file", _RUN, 1).alias("run"),
         # Files outside a run folder are addressed one level deep, so that reading
         # them does not descend into dated folders beside them.
         F.when(run_dir != "", run_dir)
@@ -135,7 +139,6 @@ def latest_runs(
         F.count("*").alias("files"),
         F.sum("length").alias("bytes"),
         F.min_by("path", smallest).alias("sample"),
-        F.min_by("file", smallest).alias("sample_file"),
     )
     if settle_seconds:
         settled = instant(as_of) - F.make_dt_interval(secs=F.lit(settle_seconds))
@@ -145,37 +148,37 @@ def latest_runs(
     return runs.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(newest.alias("r")).select("r.*")
 
 
-def _headers(spark: SparkSession, runs: Sequence[Row]) -> list[tuple[list, list]]:
-    """(column names, run paths) for every distinct header among the runs.
+def _layouts(spark: SparkSession, runs: Sequence[Row]) -> dict[tuple[str, ...], list[Row]]:
+    """Runs by header, so that one reader serves all runs of one layout.
 
-    One distributed job reads the first line of one part per run.
+    The first line of one part per run is fetched; a LIMIT 1 opens a file and
+    stops, whatever its size, so this costs one tiny job per run and no scan.
     """
-    run_of = {r["sample_file"]: r["run_path"] for r in runs if r["sample"]}
-    if not run_of:
-        return []
-    lines = (
-        spark.read.option("recursiveFileLookup", True)
-        .text([r["sample"] for r in runs if r["sample"]])
-        .select(
-            "value",
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-        )
-    )
-    groups = (
-        lines.filter("block = 0")
-        .groupBy("file")
-        .agg(F.min_by("value", "line").alias("header"))
-        .groupBy("header")
-        .agg(F.sort_array(F.collect_list("file")).alias("files"))
-        .orderBy("header")
-        .collect()
+
+    def first_line(run: Row) -> str:
+        return spark.read.text(run["sample"]).first()["value"]
+
+    filled = sorted((r for r in runs if r["sample"]), key=lambda r: r["run_path"])
+    layouts: dict[tuple[str, ...], list[Row]] = {}
+    with ThreadPoolExecutor(HEADER_JOBS) as pool:
+        for run, line in zip(filled, pool.map(first_line, filled)):
+            columns = tuple(next(csv.reader([line.lstrip("\ufeff")])))
+            layouts.setdefault(columns, []).append(run)
+    return layouts
+
+
+def _with_origin(rows: DataFrame, scope: str, flat: bool) -> DataFrame:
+    """Name the export and period of every row.
+
+    The scope is known, so the period is cut from the path by position; a
+    pattern match per row would cost more than parsing the row.
+    """
+    folder = F.substring_index(
+        F.substr("_metadata.file_path", F.lit(len(scope) + 2)), "/", 1
     )
-    return [
-        (next(csv.reader([g["header"].lstrip("\ufeff")])), [run_of[f] for f in g["files"]])
-        for g in groups
-    ]
+    # The folder ends in YYYYMMDD-YYYYMMDD.
+    period = F.lit(FLAT_PERIOD) if flat else F.left(F.right(folder, F.lit(17)), F.lit(8))
+    return rows.select("*", F.lit(scope).alias(EXPORT_SCOPE), period.alias(EXPORT_PERIOD))
 
 
 def read_runs(
@@ -189,34 +192,35 @@ def read_runs(
     Spark binds a CSV schema by position, so runs are grouped by their header and
     each group is read with its own column order.  ``enforceSchema=False`` makes a
     stray part with another header fail instead of shifting columns.  Compressed
-    parts are read as they are.
+    parts are read as they are.  ``lineage`` adds the export and period.
     """
-    parts = []
-    for columns, paths in _headers(spark, runs):
-        schema = StructType([StructField(c, StringType()) for c in columns])
-        rows = (
+
+    def read(columns: tuple[str, ...], group: list[Row]) -> DataFrame:
+        return (
             spark.read.options(**CSV_OPTIONS, nullValue=_NEVER)
             .option("enforceSchema", False)
             .option("multiLine", multi_line)
             .option("recursiveFileLookup", True)
             .option("pathGlobFilter", CSV_GLOB)
-            .schema(schema)
-            .csv(paths)
+            .schema(StructType([StructField(c, StringType()) for c in columns]))
+            .csv([r["run_path"] for r in group])
         )
-        if lineage:
-            rows = rows.select(
-                "*",
-                scope_of("_metadata.file_path").alias(EXPORT_SCOPE),
-                period_of("_metadata.file_path").alias(EXPORT_PERIOD),
-            )
-        parts.append(rows)
+
+    parts = []
+    for columns, group in _layouts(spark, runs).items():
+        if not lineage:
+            parts.append(read(columns, group))
+            continue
+        origins: dict[tuple[str, bool], list[Row]] = {}
+        for r in group:
+            key = (r[EXPORT_SCOPE], r[EXPORT_PERIOD] == FLAT_PERIOD)
+            origins.setdefault(key, []).append(r)
+        parts += [_with_origin(read(columns, rs), *origin) for origin, rs in origins.items()]
     if not parts:
-        empty = spark.createDataFrame([], RAW_SCHEMA)
+        empty = RAW_SCHEMA.fields
         if lineage:
-            empty = empty.withColumns(
-                {EXPORT_SCOPE: F.lit(None).cast("string"), EXPORT_PERIOD: F.lit(None).cast("string")}
-            )
-        return empty
+            empty = [*empty, *[StructField(c, StringType()) for c in (EXPORT_SCOPE, EXPORT_PERIOD)]]
+        return spark.createDataFrame([], StructType(empty))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

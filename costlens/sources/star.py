@@ -69,6 +69,8 @@ _FOCUS = {
     ),
 }
 
+FOCUS_STAR_COLUMNS = tuple(_FOCUS)
+
 # provider-specific column -> the same, with text as dirty as real exports have it
 _LEGACY = {
     "date": (
@@ -137,8 +139,11 @@ def focus_rows(
     wanted = list(columns) if columns is not None else [c for c in types if c != DATE_RAW]
     needed = {t for c in wanted for t in _FOCUS.get(c, ("", ()))[1]}
     rows = _charges(spark, sf_dir, needed, used_from, used_before)
-    return rows.select(
-        *[F.expr(_FOCUS[c][0] if c in _FOCUS else "NULL").cast(types[c]).alias(c) for c in wanted]
+    return rows.selectExpr(
+        *[
+            f"cast({_FOCUS[c][0] if c in _FOCUS else 'NULL'} AS {types[c].simpleString()}) AS {c}"
+            for c in wanted
+        ]
     )
 
 
@@ -153,7 +158,7 @@ def legacy_text(
     wanted = list(columns) if columns is not None else list(_LEGACY)
     needed = {t for c in wanted for t in _LEGACY[c][1]}
     rows = _charges(spark, sf_dir, needed, used_from, used_before)
-    return rows.select(*[F.expr(_LEGACY[c][0]).cast("string").alias(c) for c in wanted])
+    return rows.selectExpr(*[f"{_LEGACY[c][0]} AS `{c}`" for c in wanted])
 
 
 def legacy_rows(spark: SparkSession, sf_dir: str, *args, **kwargs) -> DataFrame:

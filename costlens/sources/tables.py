@@ -152,7 +152,10 @@ def write_table(
 
 
 def read_table(spark: SparkSession, path: str, ingested: bool = False) -> DataFrame:
-    """A table written by :func:`write_table`; the schema is stated, not inferred."""
+    """A table written by :func:`write_table`.
+
+    The schema is stated, not inferred, so columns that some files lack are NULL.
+    """
     origin = (EXPORT_SCOPE, EXPORT_PERIOD) if ingested else ()
     schema = StructType([*CANONICAL_SCHEMA, *[StructField(c, StringType()) for c in origin]])
     return spark.read.schema(schema).parquet(path)

@@ -49,7 +49,7 @@ def refresh_periods(
         for r in latest_runs(list_export_files(spark, sorted(folders))).collect()
         if (r[EXPORT_SCOPE], r[EXPORT_PERIOD]) in wanted
     ]
-    rows = normalize(read_runs(spark, runs, lineage=True), date_formats)
+    rows = normalize(read_runs(spark, runs, lineage=True), date_formats, fill=False)
     write_table(rows, table, (EXPORT_SCOPE, EXPORT_PERIOD))
 
 
