@@ -6,10 +6,13 @@ last 30 days of ``as_of``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costlens.functions.columns import (
+    TOTAL,
     AsOf,
     day,
     in_month,
@@ -200,35 +203,43 @@ def discount_analysis(df: DataFrame, as_of: AsOf = None, **options) -> DataFrame
     )
 
 
-def month_over_month(df: DataFrame, as_of: AsOf = None) -> DataFrame:
+def month_over_month(df: DataFrame, as_of: AsOf = None, by_currency: bool = False) -> DataFrame:
     """This calendar month against the last, per customer (Q-18, J-01, F-09).
 
     The rows are those of a full outer join of two monthly aggregates, found in
-    one pass with conditional sums.  NULL names never match in such a join, hence
+    one pass with conditional sums.  NULL keys never match in such a join, hence
     the extra key that keeps their two months apart.  A customer without rows this
     month has a negative change and a NULL percentage; a new one has 0 percent.
     """
-    current, name = in_month(PERIOD, as_of), F.col("SubAccountName")
-    this, last = F.col("this_month"), F.col("last_month")
-    zero = F.lit(0).cast("decimal(38,6)")
+    current = in_month(PERIOD, as_of)
+    keys = {"CustomerName": "SubAccountName"}
+    if by_currency:
+        keys["BillingCurrency"] = "BillingCurrency"
+    unmatched = reduce(Column.__or__, [F.col(c).isNull() for c in keys.values()])
     both = (
         df.filter((F.col(PERIOD) >= month_start(as_of, 1)) & (F.col(PERIOD) < month_start(as_of, -1)))
-        .groupBy(name.alias("CustomerName"), F.when(name.isNull(), current).alias("unmatched"))
+        .groupBy(
+            *[F.col(c).alias(name) for name, c in keys.items()],
+            F.when(unmatched, current).alias("unmatched_month"),
+        )
         .agg(
             total(F.when(current, F.col("BilledCost"))).alias("this_month"),
             total(F.when(~current, F.col("BilledCost"))).alias("last_month"),
         )
     )
+    zero = F.lit(0).cast(TOTAL)
+    this, last = F.col("this_month"), F.col("last_month")
+    known_this, known_last = F.coalesce(this, zero), F.coalesce(last, zero)
     return ranked(
         both.select(
-            "CustomerName",
-            F.coalesce(last, zero).alias("LastMonthCost"),
-            F.coalesce(this, zero).alias("ThisMonthCost"),
-            (F.coalesce(this, zero) - F.coalesce(last, zero)).cast("decimal(38,6)").alias("CostChange"),
+            *keys,
+            known_last.alias("LastMonthCost"),
+            known_this.alias("ThisMonthCost"),
+            (known_this - known_last).cast(TOTAL).alias("CostChange"),
             percent(this - last, last).alias("PercentChange"),
         ),
         ["ThisMonthCost"],
-        ["CustomerName", "LastMonthCost"],
+        [*keys, "LastMonthCost"],
     )
 
 

@@ -19,11 +19,10 @@ from costlens.functions.columns import (
     day_between,
     days_before,
     instant,
-    total,
     trailing_days,
 )
 from costlens.operators.absent import rows_absent
-from costlens.operators.rollup import cost_rollup, ranked
+from costlens.operators.rollup import cost_rollup
 
 COST = "x_BilledCostInUsd"
 GROUP = "x_ResourceGroupName"
@@ -151,11 +150,12 @@ def unused_resources(
     return rows_absent(resources, "resourceId", used, null_aware)
 
 
-def department_chargeback(df: DataFrame) -> DataFrame:
+def department_chargeback(df: DataFrame, **options) -> DataFrame:
     """Monthly cost per resource group (Q-09)."""
-    months = (
-        df.filter(F.col(GROUP).isNotNull())
-        .groupBy(F.col(GROUP).alias("Department"), *[c.alias(n) for n, c in _year_month().items()])
-        .agg(total(COST).alias("MonthlyCharge"))
+    return cost_rollup(
+        df.filter(F.col(GROUP).isNotNull()),
+        keys={"Department": GROUP, **_year_month()},
+        sums={"MonthlyCharge": COST},
+        order_by=["Year", "Month", "MonthlyCharge"],
+        **options,
     )
-    return ranked(months, ["Year", "Month", "MonthlyCharge"], ["Department"])

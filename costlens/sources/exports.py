@@ -18,6 +18,7 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from datetime import date
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -122,16 +123,21 @@ def latest_runs(
     mode: str = "per_period",
     settle_seconds: int = 0,
     as_of: AsOf = None,
+    since: date | None = None,
 ) -> DataFrame:
     """The newest run of each billing period, all its parts together (O-05).
 
     ``mode="global"`` keeps only the newest run of each export.  Run ids need not
     sort by time, so the modification time decides and the id breaks ties.  A run
     touched within ``settle_seconds`` counts as still being written and is passed
-    over in favour of the one before it.
+    over in favour of the one before it.  ``since`` leaves out billing periods that
+    began before that day, which a report over recent months need not read.
     """
     if mode not in ("per_period", "global"):
         raise ValueError(f"mode must be 'per_period' or 'global', not {mode!r}")
+    if since:
+        # ``current`` sorts after every date, so flat folders are always kept.
+        files = files.filter(F.col(EXPORT_PERIOD) >= f"{since:%Y%m%d}")
     # The smallest part that has a header; NULL when every part is empty.
     smallest = F.when(F.col("length") > 0, F.struct("length", "path"))
     runs = files.groupBy(EXPORT_SCOPE, EXPORT_PERIOD, "run", "run_path").agg(
@@ -231,6 +237,7 @@ def read_export(
     mode: str = "per_period",
     settle_seconds: int = 0,
     as_of: AsOf = None,
+    since: date | None = None,
     multi_line: bool = False,
     lineage: bool = False,
 ) -> DataFrame:
@@ -240,7 +247,7 @@ def read_export(
     A missing or empty folder gives an empty frame with the declared columns.
     """
     files = list_export_files(spark, roots, export_name)
-    runs = latest_runs(files, mode, settle_seconds, as_of).collect()
+    runs = latest_runs(files, mode, settle_seconds, as_of, since).collect()
     return read_runs(spark, runs, multi_line, lineage)
 
 

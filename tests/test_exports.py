@@ -1,5 +1,8 @@
 """Finding runs and reading them by column name."""
 
+import os
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,9 +55,15 @@ def test_runs_whose_folder_shows_another_last_day_are_one_period(spark, tmp_path
     assert ids(read_export(spark, str(tmp_path))) == ["a", "b"]
 
 
-def test_equal_times_are_decided_by_run_id(spark, tmp_path):
-    import os
+def test_older_periods_can_be_left_out(spark, tmp_path):
+    put_csv(tmp_path / "e" / SEP / "r" / "p.csv", HEADER, [row("a")])
+    put_csv(tmp_path / "e" / OCT / "r" / "p.csv", HEADER, [row("b")])
+    put_csv(tmp_path / "flat" / "p.csv", HEADER, [row("c")])
+    df = read_export(spark, str(tmp_path), since=date(2024, 10, 1))
+    assert ids(df) == ["b", "c"] and len(df.inputFiles()) == 2
 
+
+def test_equal_times_are_decided_by_run_id(spark, tmp_path):
     for run in ("r1", "r2"):
         p = put_csv(tmp_path / "e" / SEP / run / "p.csv", HEADER, [row(run)])
         os.utime(p, (1_700_000_000, 1_700_000_000))

@@ -82,6 +82,20 @@ def test_month_over_month_across_a_year_end(spark):
     assert numbers(focus.month_over_month(df, "2024-01-31").first()[1:]) == [1, 3, 2, 200]
 
 
+def test_month_over_month_by_currency(spark):
+    df = billing(
+        spark,
+        [*MONTHS, "BillingCurrency"],
+        ("a", "2024-10-01", "1", "EUR"),
+        ("a", "2024-09-01", "2", "USD"),
+        ("a", "2024-10-01", "4", "USD"),
+        ("a", "2024-09-01", "8", None),
+        ("a", "2024-10-01", "16", None),
+    )
+    got = {(r[1], *numbers(r[2:4])) for r in focus.month_over_month(df, AS_OF, by_currency=True).collect()}
+    assert got == {("EUR", 0, 1), ("USD", 2, 4), (None, 8, 0), (None, 0, 16)}
+
+
 def test_month_over_month_is_one_scan_and_one_grouping(spark, sf_dir):
     df = focus_rows(spark, sf_dir, ["BillingPeriodStart", "SubAccountId", "SubAccountName", "BilledCost"])
     plan = physical(focus.month_over_month(df, "2001-10-15"))
