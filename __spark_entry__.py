@@ -142,6 +142,9 @@ def _reports() -> dict[str, Query]:
         "cost_by_service_category_by_currency": _focus_report(
             focus.cost_by_service_category, [*by_service, "BillingCurrency"], by_currency=True
         ),
+        "cost_by_service_category_fold_case": _focus_report(
+            focus.cost_by_service_category, by_service, fold_case=True
+        ),
         "top10_customers": _focus_report(focus.top10_customers, summary),
         "cost_by_region": _focus_report(
             focus.cost_by_region,

@@ -138,13 +138,12 @@ def latest_runs(
     if since:
         # ``current`` sorts after every date, so flat folders are always kept.
         files = files.filter(F.col(EXPORT_PERIOD) >= f"{since:%Y%m%d}")
-    # The smallest part that has a header; NULL when every part is empty.
-    smallest = F.when(F.col("length") > 0, F.struct("length", "path"))
     runs = files.groupBy(EXPORT_SCOPE, EXPORT_PERIOD, "run", "run_path").agg(
         F.max("modificationTime").alias("modified"),
         F.count("*").alias("files"),
         F.sum("length").alias("bytes"),
-        F.min_by("path", smallest).alias("sample"),
+        # The part to take the header from: the one least likely to be empty.
+        F.max_by("path", F.struct("length", "path")).alias("sample"),
     )
     if settle_seconds:
         settled = instant(as_of) - F.make_dt_interval(secs=F.lit(settle_seconds))
@@ -159,17 +158,19 @@ def _layouts(spark: SparkSession, runs: Sequence[Row]) -> dict[tuple[str, ...],
 
     The first line of one part per run is fetched; a LIMIT 1 opens a file and
     stops, whatever its size, so this costs one tiny job per run and no scan.
+    Runs without any text have no rows and are left out.
     """
 
-    def first_line(run: Row) -> str:
-        return spark.read.text(run["sample"]).first()["value"]
+    def first_line(run: Row) -> Row | None:
+        return spark.read.text(run["sample"]).filter("trim(value) != ''").first()
 
-    filled = sorted((r for r in runs if r["sample"]), key=lambda r: r["run_path"])
+    runs = sorted(runs, key=lambda r: r["run_path"])
     layouts: dict[tuple[str, ...], list[Row]] = {}
     with ThreadPoolExecutor(HEADER_JOBS) as pool:
-        for run, line in zip(filled, pool.map(first_line, filled)):
-            columns = tuple(next(csv.reader([line.lstrip("\ufeff")])))
-            layouts.setdefault(columns, []).append(run)
+        for run, line in zip(runs, pool.map(first_line, runs)):
+            if line:
+                columns = tuple(next(csv.reader([line["value"].lstrip("\ufeff")])))
+                layouts.setdefault(columns, []).append(run)
     return layouts
 
 

@@ -235,6 +235,11 @@ ORACLE = {
     SELECT ServiceCategory, ServiceName, BillingCurrency, {_sum("BilledCost", "TotalCost")},
         {_distinct("SubAccountId", "CustomerCount")}, {_distinct("ResourceId", "ResourceCount")}
     FROM focus WHERE {_RECENT} GROUP BY ServiceCategory, ServiceName, BillingCurrency"""),
+    "cost_by_service_category_fold_case": _focus(f"""
+    SELECT MIN(ServiceCategory) AS ServiceCategory, MIN(ServiceName) AS ServiceName,
+        {_sum("BilledCost", "TotalCost")}, {_distinct("lower(SubAccountId)", "CustomerCount")},
+        {_distinct("lower(ResourceId)", "ResourceCount")}
+    FROM focus WHERE {_RECENT} GROUP BY lower(ServiceCategory), lower(ServiceName)"""),
     "top10_customers": _focus(
         _CUSTOMER_SUMMARY
         + """ ORDER BY TotalCost DESC NULLS LAST, CustomerName NULLS FIRST, CustomerTenantId NULLS FIRST

@@ -167,6 +167,13 @@ def test_compressed_parts(spark, tmp_path):
     assert ids(read_export(spark, str(tmp_path))) == ["a", "b"]
 
 
+def test_runs_of_empty_parts_have_no_rows(spark, tmp_path):
+    put_csv(tmp_path / "e" / SEP / "r" / "p0.csv.gz", None, [], gz=True)
+    put_csv(tmp_path / "e" / OCT / "r" / "p0.csv.gz", None, [], gz=True)
+    put_csv(tmp_path / "e" / OCT / "r" / "p1.csv.gz", HEADER, [row("a")], gz=True)
+    assert ids(read_export(spark, str(tmp_path))) == ["a"]
+
+
 def test_no_files_gives_an_empty_declared_frame(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     for root in (tmp_path / "absent", tmp_path / "empty"):
