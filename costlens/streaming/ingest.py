@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from costlens.sources.exports import (
@@ -19,12 +20,38 @@ from costlens.sources.exports import (
 )
 from costlens.sources.normalize import normalize
 from costlens.sources.schema import EXPORT_PERIOD, EXPORT_SCOPE
-from costlens.sources.tables import write_table
+from costlens.sources.tables import read_table, write_table
 
+# No part this small on average can be ruled out to be a header alone.
+HEADER_BYTES = 8 * 1024
 # The columns of a file listing source.
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
+def _clear_emptied(spark: SparkSession, table: str, runs: list[Row]) -> None:
+    """Empty the partitions whose newest run holds a header at most.
+
+    Overwriting partitions by their rows cannot do that.  Only runs small enough to
+    be that are looked into.
+    """
+    small = [r for r in runs if r["bytes"] <= r["files"] * HEADER_BYTES]
+    if not small:
+        return
+    keys = [EXPORT_SCOPE, EXPORT_PERIOD]
+    filled = {tuple(k) for k in read_runs(spark, small, lineage=True).select(keys).distinct().collect()}
+    emptied = {(r[EXPORT_SCOPE], r[EXPORT_PERIOD]) for r in small} - filled
+    if not emptied:
+        return
+    rows = read_table(spark, table, ingested=True)
+    stale = rows.filter(F.struct(*keys).isin([F.struct(F.lit(s), F.lit(p)) for s, p in emptied]))
+    folders = stale.select(
+        F.regexp_extract("_metadata.file_path", "^(.*)/[^/]+$", 1).alias("folder")
+    ).distinct()
+    nothing = spark.createDataFrame([], rows.drop(*keys).schema)
+    for r in folders.collect():
+        nothing.write.mode("overwrite").parquet(unquote(r["folder"]))
+
+
 def refresh_periods(
     arrivals: DataFrame, table: str, date_formats: Iterable[str] = ()
 ) -> None:
@@ -51,6 +78,7 @@ def refresh_periods(
     ]
     rows = normalize(read_runs(spark, runs, lineage=True), date_formats, fill=False)
     write_table(rows, table, (EXPORT_SCOPE, EXPORT_PERIOD))
+    _clear_emptied(spark, table, runs)
 
 
 def ingest_exports(

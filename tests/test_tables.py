@@ -195,6 +195,24 @@ def test_ingest_keeps_scopes_apart(spark, lake):
     assert ingest() == ["a", "c"]
 
 
+def test_a_newest_run_without_rows_empties_its_month(spark, lake):
+    root, ingest = lake
+    put(root / "s 1" / SEP / "r1", "a", age=100)
+    put(root / "s 1" / OCT / "r1", "b", age=100, month="10")
+    put(root / "s 2" / SEP / "r1", "c", age=100)
+    assert ingest() == ["a", "b", "c"]
+    put(root / "s 1" / SEP / "r2")
+    assert ingest() == ["b", "c"]
+    put(root / "s 1" / SEP / "r3", "d")
+    assert ingest() == ["b", "c", "d"]
+
+
+def test_first_ingest_of_an_empty_run(spark, lake):
+    root, ingest = lake
+    put(root / "e" / SEP / "r1")
+    assert ingest() == []
+
+
 def test_ingest_of_flat_folders(spark, lake):
     root, ingest = lake
     put(root / "flat", "a")
