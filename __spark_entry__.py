@@ -249,22 +249,24 @@ def _health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @cache
-def _exports(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+def _exports(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
     """The star as cumulative CSV exports of two scopes, one plain and one compressed."""
     root = scratch_dir(spark, "exports")
     source = f"{root}/source"
     write_table(focus_rows(spark, sf_dir, FOCUS_STAR_COLUMNS), source)
     rows = read_table(spark, source).select(*FOCUS_STAR_COLUMNS)
+    is_open = F.col("ConsumedUnit").eqNullSafe("O")
+    scopes = {"scope-closed": (~is_open, "none"), "scope-open": (is_open, "gzip")}
     for run_day in RUN_DAYS:
-        for unit, compression in (("F", "none"), ("O", "gzip")):
+        for scope, (belongs, compression) in scopes.items():
             write_mtd_history(
-                rows.filter(F.col("ConsumedUnit") == unit),
-                f"{root}/scope-{unit}",
+                rows.filter(belongs),
+                f"{root}/{scope}",
                 "daily-focus-cost",
                 run_day,
                 compression=compression,
             )
-    return f"{root}/scope-F", f"{root}/scope-O"
+    return tuple(f"{root}/{scope}" for scope in scopes)
 
 
 def _export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,9 +338,8 @@ def _typed_table_month_over_month(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def _ingest_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scope, _ = _exports(spark, sf_dir)
+    root = _exports(spark, sf_dir)[0].rsplit("/", 1)[0]
     work = scratch_dir(spark, "ingest")
-    root = scope.rsplit("/", 1)[0]
     ingest_exports(spark, root, f"{work}/table", f"{work}/checkpoint").awaitTermination()
     return _month_totals(read_table(spark, f"{work}/table", ingested=True))
 

@@ -1,12 +1,15 @@
 """Finding runs and reading them by column name."""
 
 import os
-from datetime import date
+from datetime import date, datetime, timedelta
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from costlens.sources.exports import (
+    LISTING,
     export_status,
     latest_runs,
     list_export_files,
@@ -55,6 +58,52 @@ def test_runs_whose_folder_shows_another_last_day_are_one_period(spark, tmp_path
     assert ids(read_export(spark, str(tmp_path))) == ["a", "b"]
 
 
+PARTS = st.lists(
+    st.tuples(
+        st.sampled_from(["s1", "s2"]),
+        st.sampled_from(["20240901", "20241001", "current"]),
+        st.sampled_from(["r1", "r2", "r3"]),
+        st.integers(0, 4),
+        st.integers(0, 9),
+    ),
+    max_size=25,
+)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(parts=PARTS)
+def test_selection_against_plain_python(spark, parts):
+    """Any mix of scopes, periods, runs, parts and equal times."""
+    start = datetime(2024, 11, 1)
+    listing = [
+        (f"f{i}", f"p{i}", start + timedelta(seconds=at), size, scope, period, run, f"{scope}/{period}/{run}")
+        for i, (scope, period, run, at, size) in enumerate(parts)
+    ]
+    modified, files, size_of = {}, {}, {}
+    for scope, period, run, at, size in parts:
+        key = (scope, period, run)
+        modified[key] = max(modified.get(key, 0), at)
+        files[key] = files.get(key, 0) + 1
+        size_of[key] = size_of.get(key, 0) + size
+    newest, newest_overall = {}, {}
+    for (scope, period, run), at in modified.items():
+        entry = (at, run, f"{scope}/{period}/{run}", period)
+        newest[scope, period] = max(newest.get((scope, period), entry), entry)
+        newest_overall[scope] = max(newest_overall.get(scope, entry), entry)
+    frame = spark.createDataFrame(listing, LISTING)
+    chosen = latest_runs(frame).collect()
+    assert {(r["export_scope"], r["export_period"]): r["run"] for r in chosen} == {
+        k: v[1] for k, v in newest.items()
+    }
+    for r in chosen:
+        key = (r["export_scope"], r["export_period"], r["run"])
+        assert (r["files"], r["bytes"]) == (files[key], size_of[key])
+    overall = latest_runs(frame, mode="global").collect()
+    assert {r["export_scope"]: (r["export_period"], r["run"]) for r in overall} == {
+        k: (v[3], v[1]) for k, v in newest_overall.items()
+    }
+
+
 def test_older_periods_can_be_left_out(spark, tmp_path):
     put_csv(tmp_path / "e" / SEP / "r" / "p.csv", HEADER, [row("a")])
     put_csv(tmp_path / "e" / OCT / "r" / "p.csv", HEADER, [row("b")])
