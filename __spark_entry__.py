@@ -357,7 +357,20 @@ def _in_utc(query: Query) -> Query:
     return run
 
 
-def queries() -> dict[str, Query]:
+def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the corpus operators; none where that subpackage is absent."""
+    try:
+        import corpus_pipeline
+        from costlens.llm.queries import ORACLE_SQL, QUERIES
+    except ModuleNotFoundError as missing:
+        if not (missing.name or "").startswith(("corpus_pipeline", "costlens.llm")):
+            raise
+        return {}, {}
+    sql = {**ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {**QUERIES, "pipeline": corpus_pipeline.run}, {k: v for k, v in sql.items() if v}
+
+
+def billing_queries() -> dict[str, Query]:
     """Every report, operator, source and sink as name -> f(spark, sf_dir)."""
     registered = {
         **_reports(),
@@ -382,9 +395,14 @@ def queries() -> dict[str, Query]:
     return {name: _in_utc(query) for name, query in registered.items()}
 
 
+def queries() -> dict[str, Query]:
+    """All registered queries, those on text corpora included."""
+    return {**billing_queries(), **_corpus()[0]}
+
+
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL for every query but ``preview``, which returns any ten rows."""
-    return dict(ORACLE)
+    """DuckDB SQL by query name, wherever SQL can express the query."""
+    return {**ORACLE, **_corpus()[1]}
 
 
 def entry(spark: SparkSession) -> DataFrame:

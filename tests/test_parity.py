@@ -7,8 +7,8 @@ import pytest
 
 import __spark_entry__ as driver
 
-QUERIES = driver.queries()
-ORACLES = driver.oracle_sql()
+QUERIES = driver.billing_queries()
+ORACLES = {k: v for k, v in driver.oracle_sql().items() if k in QUERIES}
 
 # Spark type -> DuckDB type.
 DUCK_TYPES = {
