@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costlens.llm import decontaminate, quality_rules, secrets
+from costlens.llm import bpe, decontaminate, quality_rules, secrets
 from costlens.llm.common import table
 
 
@@ -52,10 +52,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_decontamination": op3_decontamination,
     "op4_quality_rules": op4_quality_rules,
+    "op5_byte_bpe": op5_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
