@@ -45,3 +45,29 @@ def pieces(text: Column, gap: str) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once per row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Positions of the filter that spares rows without a partner a shuffle.
+FILTER_BITS = 2**26
+
+
+def maybe_in(rows: DataFrame, key: Column, partners: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``maybe``: false only where ``key`` surely isn't in ``partners[name]``.
+
+    The partners' hashes set bits in a map of ``FILTER_BITS``, at most 8 MB whatever
+    their number, which is what gets broadcast.  With very many partners it filters
+    less; the exact join that follows gives the same result.
+    """
+
+    def at(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
+
+    own = at(F.col(name))
+    bits = partners.groupBy(F.bitmap_bucket_number(own).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(own)).alias("_bits")
+    )
+    place = F.bitmap_bit_position(at(key)).cast("int")
+    octet = F.conv(F.hex(F.substring("_bits", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10)
+    is_set = octet.cast("int").bitwiseAND(F.call_function("shiftleft", F.lit(1), place % 8)) != 0
+    found = rows.join(F.broadcast(bits), F.bitmap_bucket_number(at(key)) == F.col("_bucket"), "left")
+    return found.withColumn("maybe", F.coalesce(is_set, F.lit(False))).drop("_bucket", "_bits")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costlens.llm import bpe, decontaminate, quality_rules, secrets
+from costlens.llm import bpe, decontaminate, quality_rules, secrets, templates
 from costlens.llm.common import table
 
 
@@ -56,11 +56,25 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = templates.clean(table(spark, sf_dir, "documents"))
+    return done.select(
+        "row.doc_id",
+        F.size(templates.lines(F.col("row.text"))).cast("long").alias("n_lines"),
+        "cleaned.n_recurring",
+        "cleaned.n_dropped",
+        "cleaned.copy",
+        F.char_length("cleaned.clean").cast("long").alias("n_chars_kept"),
+        F.sha2("cleaned.clean", 256).alias("clean_sha256"),
+    )
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_decontamination": op3_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
