@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costlens.llm import bpe, decontaminate, quality_rules, secrets, templates
+from costlens.llm import bpe, decontaminate, jaccard, quality_rules, secrets, templates
 from costlens.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = templates.clean(table(spark, sf_dir, "documents"))
     return done.select(
@@ -74,6 +78,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
 }
 
