@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costlens.llm import decontaminate, quality_rules
+from costlens.llm import bpe, decontaminate, jaccard, quality_rules, templates
 from costlens.llm.common import stored, table
 
 
@@ -13,14 +13,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier one keeps."""
+    return templates.drop_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return jaccard.one_of_each(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't hold benchmark passages."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and of what they decode to."""
+    return bpe.round_trip(docs)
+
+
 STAGES = [
     ("quality_rules", quality),
+    ("line_dedup", line_dedup),
+    ("jaccard_join", near_duplicates),
     ("decontamination", decontaminated),
+    ("byte_bpe", encoded),
 ]
 
 # SQL can't express the encoding of the last stage.

@@ -370,3 +370,20 @@ def _with_equal_ids(edges: DataFrame, named: DataFrame, first: DataFrame) -> Dat
     several = named.join(again.select("doc_id"), "doc_id", "left_semi").select("doc_id", "digest").distinct()
     more = several.join(first, "digest").where("doc_id <> node")
     return edges.union(more.select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the smallest id stays.
+
+    Of rows that repeat an id one stays; rows without id all stay.
+    """
+    found = stored(near_duplicates(docs), "near_duplicates")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    special = stored(gone.union(again).distinct(), "special")
+    marked = maybe_in(docs, F.col("doc_id"), special, "doc_id")
+    certain = ~F.col("maybe") | F.col("doc_id").isNull()
+    # Only texts that may go are shuffled.
+    doubtful = marked.where(~certain).select(*docs.columns)
+    kept = doubtful.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
+    return marked.where(certain).select(*docs.columns).union(kept)
