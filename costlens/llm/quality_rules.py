@@ -26,15 +26,14 @@ SYMBOLS = "#*$%&|<>"
 RULE_NAMES = ("few_words", "repeated_words", "symbols", "repeated_lines", "word_length")
 
 
-def _rules() -> dict[str, Column]:
-    """When a document fails each rule."""
-    c = F.col
+def _rules(m: Column) -> dict[str, Column]:
+    """When a document with measurements ``m`` fails each rule."""
     return {
-        "few_words": c("n_words") < 10,
-        "repeated_words": 100 * c("n_repeat_words") > 20 * c("n_words"),
-        "symbols": 2 * c("n_symbols") > c("n_words"),
-        "repeated_lines": (c("n_dup_lines") >= 3) & (2 * c("n_dup_lines") > c("n_lines")),
-        "word_length": (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 40 * c("n_words")),
+        "few_words": m["n_words"] < 10,
+        "repeated_words": 100 * m["n_repeat_words"] > 20 * m["n_words"],
+        "symbols": 2 * m["n_symbols"] > m["n_words"],
+        "repeated_lines": (m["n_dup_lines"] >= 3) & (2 * m["n_dup_lines"] > m["n_lines"]),
+        "word_length": (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 40 * m["n_words"]),
     }
 
 
@@ -75,48 +74,65 @@ def _repeated_words(grams: Column) -> Column:
     return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(covered)
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document with every measurement the rules need."""
-    text = whole(F.col(text_col))
-    split = docs.select(
-        F.col(id_col),
-        text.alias("text"),
-        pieces(text, BLANKS).alias("words"),
-        F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
-    )
-    words = F.col("words")
+def _grams(words: Column) -> Column:
+    """Hash of each window of words."""
     starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))
-    following = lambda i: [F.get(words, i + k) for k in range(1, WINDOW)]
-    grams = split.select(
-        F.col(id_col),
-        "text",
-        "lines",
-        F.size(words).cast("long").alias("n_words"),
-        F.transform(starts, lambda w, i: F.xxhash64(w, *following(i))).alias("grams"),
+    return F.transform(
+        starts, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, WINDOW)])
+    )
+
+
+def judged(text: Column) -> Column:
+    """A struct of all measurements and ``fail_bits``, each computed once per text.
+
+    It is one expression, so a filter on it doesn't repeat any part of it.
+    """
+    text = whole(text)
+    long = lambda c, name: c.cast("long").alias(name)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    by_words = let(
+        pieces(text, BLANKS),
+        lambda w: F.struct(
+            long(F.size(w), "n_words"), long(let(_grams(w), _repeated_words), "n_repeat_words")
+        ),
+    )
+    by_lines = let(
+        lines,
+        lambda x: F.struct(
+            long(F.size(x), "n_lines"), long(F.size(x) - F.size(F.array_distinct(x)), "n_dup_lines")
+        ),
     )
-    long = lambda c: c.cast("long")
-    return grams.select(
-        F.col(id_col),
-        "n_words",
-        long(F.length(F.regexp_replace("text", BLANKS, ""))).alias("word_chars"),
-        long(F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).alias("n_symbols"),
-        long(F.size("lines")).alias("n_lines"),
-        long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        long(_repeated_words(F.col("grams"))).alias("n_repeat_words"),
+    measured = let(
+        F.struct(by_words.alias("w"), by_lines.alias("l")),
+        lambda x: F.struct(
+            x["w"]["n_words"].alias("n_words"),
+            long(F.length(F.regexp_replace(text, BLANKS, "")), "word_chars"),
+            long(F.length(text) - F.length(F.translate(text, SYMBOLS, "")), "n_symbols"),
+            x["l"]["n_lines"].alias("n_lines"),
+            x["l"]["n_dup_lines"].alias("n_dup_lines"),
+            x["w"]["n_repeat_words"].alias("n_repeat_words"),
+        ),
     )
 
+    def with_bits(m: Column) -> Column:
+        rules = _rules(m)
+        bits = F.lit(0).cast("long")
+        for i, name in enumerate(RULE_NAMES):
+            bits = bits + F.when(rules[name], F.lit(1 << i)).otherwise(F.lit(0))
+        return F.struct(m.alias("measured"), bits.alias("fail_bits"))
+
+    return let(measured, with_bits)
+
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Measurements plus ``fail_bits``: bit i is set where rule i of RULE_NAMES fails."""
-    bits = F.lit(0).cast("long")
-    rules = _rules()
-    for i, name in enumerate(RULE_NAMES):
-        bits = bits + F.when(rules[name], F.lit(1 << i)).otherwise(F.lit(0))
-    return measure(docs, id_col, text_col).withColumn("fail_bits", bits)
+    found = docs.select(F.col(id_col).alias(id_col), judged(F.col(text_col)).alias("j"))
+    return found.select(F.col(id_col), "j.measured.*", "j.fail_bits")
 
 
-def fails(policy: Policy, bits: str = "fail_bits") -> Column:
-    return F.col(bits).bitwiseAND(F.lit(policy.mask)) != 0
+def fails(policy: Policy, bits: Column | str = "fail_bits") -> Column:
+    bits = F.col(bits) if isinstance(bits, str) else bits
+    return bits.bitwiseAND(F.lit(policy.mask)) != 0
 
 
 def ablations(ledger: DataFrame, policies: Sequence[Policy]) -> DataFrame:
@@ -146,6 +162,4 @@ def ablations(ledger: DataFrame, policies: Sequence[Policy]) -> DataFrame:
 
 def keep_good(docs: DataFrame, policy: Policy = STANDARD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass the policy, unchanged and with all their columns."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    judged = ledger(docs.select(row.alias("row"), F.col(text_col).alias("text")), "row")
-    return judged.where(~fails(policy)).select("row.*")
+    return docs.where(~fails(policy, judged(docs[text_col])["fail_bits"]))
