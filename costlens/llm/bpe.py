@@ -17,10 +17,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Characters scanned at once, and pieces whose merges a worker remembers.
 CHARS_AT_ONCE = 1_000_000
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: Pieces of more bytes are merged with a heap; others side by side, so many at once.
 LONG_PIECE = 96
 MERGED_AT_ONCE = 20_000
@@ -172,6 +172,30 @@ def starts(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(found.T.ravel()[:n])
 
 
+def encode_pieces(
+    texts: list[str],
+    known: dict[str, bytes],
+    merge: Callable[[list[str]], Iterable[bytes]],
+) -> list[np.ndarray]:
+    """Ids of each text; ``merge`` gives those of pieces not ``known`` yet, as 32-bit integers."""
+    joined = "".join(texts)
+    edges = np.fromiter(accumulate(map(len, texts), initial=0), np.int64, len(texts) + 1)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    begins = starts(points, edges[:-1][edges[:-1] < len(points)])
+    places = [*begins.tolist(), len(points)]
+    pieces = [joined[a:b] for a, b in zip(places, places[1:], strict=False)]
+    if len(known) > REMEMBERED:
+        known.clear()
+    new = list(set(pieces).difference(known))
+    known.update(zip(new, merge(new), strict=True))
+    merged = list(map(known.__getitem__, pieces))
+    counts = np.fromiter(map(len, merged), np.int64, len(merged)) // 4
+    ids = np.frombuffer(b"".join(merged), "<i4")
+    # pieces before each text's first one, then ids before it
+    cuts = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(begins, edges)]
+    return np.split(ids, cuts[1:-1])
+
+
 class Vocabulary:
     """Ranks of a byte-level vocabulary, with remembered merges."""
 
@@ -192,7 +216,7 @@ class Vocabulary:
         ]
         self.pairs, self.pair_ranks = np.array(sorted(splits), np.int64).T.copy()
         self.pair_ranks = self.pair_ranks.astype(np.int32)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids, NO_PAIR where the two don't join."""
@@ -201,19 +225,19 @@ class Vocabulary:
         at[at == len(self.pairs)] = 0
         return np.where((self.pairs[at] == keys) & (right >= 0), self.pair_ranks[at], NO_PAIR)
 
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece: its pair of lowest rank is joined until none is left.
 
         All pieces of about one length are merged side by side, one pair each a round.
         """
-        out: list[list[int]] = [[] for _ in pieces]
+        out = [b""] * len(pieces)
         alike: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
             whole = self.ranks.get(piece)
             if whole is not None:
-                out[i] = [whole]
+                out[i] = whole.to_bytes(4, "little")
             elif len(piece) > LONG_PIECE:
-                out[i] = self._merge_long(piece)
+                out[i] = np.array(self._merge_long(piece), "<i4").tobytes()
             else:
                 alike.setdefault(-(-len(piece) // 8) * 8, []).append(i)
         for width, rows in alike.items():
@@ -221,7 +245,7 @@ class Vocabulary:
                 self._merge_alike([*rows[some : some + MERGED_AT_ONCE]], width, pieces, out)
         return out
 
-    def _merge_alike(self, rows, width: int, pieces: list[bytes], out: list[list[int]]) -> None:
+    def _merge_alike(self, rows, width: int, pieces: list[bytes], out: list[bytes]) -> None:
         filled = b"".join(pieces[i].ljust(width, b"\0") for i in rows)
         sizes = np.array([len(pieces[i]) for i in rows])
         ids = self.single[np.frombuffer(filled, np.uint8).reshape(-1, width)]
@@ -234,8 +258,11 @@ class Vocabulary:
             open_ = best < NO_PAIR
             if not open_.all():
                 done = ~open_
-                for i, row in zip(rows[done].tolist(), ids[done].tolist(), strict=True):
-                    out[i] = [x for x in row if x >= 0]
+                ended = ids[done]
+                flat = ended[ended >= 0].astype("<i4").tobytes()
+                cuts = np.concatenate([[0], np.cumsum((ended >= 0).sum(1) * 4)]).tolist()
+                for i, a, b in zip(rows[done].tolist(), cuts, cuts[1:], strict=False):
+                    out[i] = flat[a:b]
                 rows, ids, ranks, at, best = (x[open_] for x in (rows, ids, ranks, at, best))
                 if not len(rows):
                     break
@@ -282,23 +309,9 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        joined = "".join(texts)
-        edges = np.fromiter(accumulate(map(len, texts), initial=0), np.int64, len(texts) + 1)
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        begins = starts(points, edges[:-1][edges[:-1] < len(points)])
-        places = [*begins.tolist(), len(points)]
-        pieces = [joined[a:b] for a, b in zip(places, places[1:], strict=False)]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list(set(pieces).difference(known))
-        known.update(zip(new, self.merge([x.encode("utf-8", "surrogatepass") for x in new]), strict=True))
-        merged = list(map(known.__getitem__, pieces))
-        counts = np.fromiter(map(len, merged), np.int64, len(merged))
-        ids = np.fromiter(chain.from_iterable(merged), np.int32, int(counts.sum()))
-        # pieces before each text's first one, then ids before it
-        cuts = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(begins, edges)]
-        return np.split(ids, cuts[1:-1])
+        return encode_pieces(
+            texts, self.known, lambda new: self.merge([x.encode("utf-8", "surrogatepass") for x in new])
+        )
 
     def ends(self, ids: np.ndarray) -> np.ndarray:
         """Bytes up to the end of each token."""
@@ -316,7 +329,7 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     """Keys and texts, so many at a time that their characters stay bounded."""
     for batch in batches:
         keys, texts, size = [], [], 0
@@ -344,7 +357,7 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, columns: str, rows) ->
     key_type = _arrow(docs.schema[0])
 
     def each(batches):
-        for keys, texts in _portions(batches):
+        for keys, texts in portions(batches):
             arrays = [pa.array(keys, key_type), *rows(texts)]
             yield pa.RecordBatch.from_arrays(arrays, names)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costlens.llm import bpe, decontaminate, jaccard, quality_rules, secrets, templates
+from costlens.llm import bpe, decontaminate, jaccard, quality_rules, repair, secrets, templates
 from costlens.llm.common import table
 
 
@@ -73,6 +73,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.write_and_read(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_decontamination": op3_decontamination,
@@ -80,6 +84,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
+    "op10_repair_shards": op10_repair_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {}
