@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costlens.llm import bpe, decontaminate, jaccard, quality_rules, repair, secrets, templates, warc
+from costlens.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    jaccard,
+    quality_fm,
+    quality_rules,
+    repair,
+    secrets,
+    templates,
+    warc,
+)
 from costlens.llm.common import table
 
 
@@ -22,6 +33,19 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation 2k is the chosen answer of pair k, 2k + 1 the rejected one."""
+    conv = F.col("conv_id")
+    found = chat.format_preferences(
+        table(spark, sf_dir, "conversations"), F.floor(conv / 2), F.pmod(conv, F.lit(2)) == 0
+    )
+    return found.select(
+        *[c for c in found.columns if not c.endswith("_mask")],
+        chat.mask_text(F.col("chosen_mask")).alias("chosen_mask"),
+        chat.mask_text(F.col("rejected_mask")).alias("rejected_mask"),
+    )
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -56,6 +80,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_fm.score(docs, quality_fm.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(spark, sf_dir).drop("url")
 
@@ -83,9 +112,11 @@ def op10_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_preference_format": op2_preference_format,
     "op3_decontamination": op3_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_warc_index": op7_warc_index,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
