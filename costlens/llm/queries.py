@@ -123,4 +123,120 @@ QUERIES = {
     "op10_repair_shards": op10_repair_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# -- SQL ---------------------------------------------------------------------------
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS = r"list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_FOUND = {kind: (pattern.replace("'", "''"), group, least) for kind, (pattern, group, least) in
+          {**secrets.KINDS, "owned": secrets.LOOSE}.items()}
+
+
+def _sql_spans(rank: int, kind: str) -> str:
+    """All matches of a kind: gaps and matches alternate, so lengths add up to places."""
+    pattern, group, least = _FOUND[kind]
+    return f"""
+    SELECT r, {rank} AS rank, '{kind}' AS kind, values[i] AS value,
+      list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+        + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS s,
+      length(hits[i]) AS n
+    FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+      SELECT r, regexp_extract_all(t, '{pattern}', 0) AS hits,
+        regexp_extract_all(t, '{pattern}', {group}) AS values,
+        string_split_regex(t, '{pattern}') AS gaps
+      FROM d WHERE regexp_matches(t, '{pattern}')))
+    WHERE length(values[i]) >= {least}"""
+
+
+ORACLE_SQL = {
+    "op1_secret_scan": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, lang, source FROM documents),
+base AS ({" UNION ALL ".join(_sql_spans(i, k) for i, k in enumerate(secrets.KINDS))}),
+random AS (SELECT DISTINCT value, regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+    AND len(list_distinct(string_split(value, ''))) >= 10 AS random
+  FROM (SELECT value FROM base UNION ALL SELECT value FROM ({_sql_spans(3, "owned")}))),
+loose AS (SELECT o.* FROM ({_sql_spans(3, "owned")}) o JOIN random USING (value)
+  WHERE random AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = o.r AND b.s < o.s + o.n AND o.s < b.s + b.n)),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM loose),
+owners AS (SELECT value, count(DISTINCT coalesce(source, '')) AS n_owners FROM spans JOIN d USING (r) GROUP BY value),
+judged AS (SELECT spans.*, random AND n_owners < {secrets.EXAMPLE_OWNERS} AS live
+  FROM spans JOIN owners USING (value) JOIN random USING (value)),
+counted AS (SELECT r,
+    count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || s::BIGINT || ':' || (s + n)::BIGINT, ',' ORDER BY s, rank) FILTER (kind <> 'owned') AS base,
+    string_agg(kind || ':' || s::BIGINT || ':' || (s + n)::BIGINT, ',' ORDER BY s, rank)
+      FILTER (kind <> 'owned' OR live) AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live AND kind <> 'owned') AS n_example
+  FROM judged GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN counted USING (r)""",
+    "op2_preference_format": """
+WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role,
+    coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT * FROM t WHERE side = 0), r AS (SELECT * FROM t WHERE side = 1),
+p AS (SELECT pair_id, count(*) FILTER (side = 0) AS nc, count(*) FILTER (side = 1) AS nr
+  FROM t GROUP BY pair_id HAVING nc > 0 AND nr > 0),
+same AS (SELECT pair_id, c.n FROM c JOIN r USING (pair_id, n) WHERE c.role = r.role AND c.text = r.text),
+shared AS (SELECT pair_id, nc, nr, (SELECT count(*) FROM same s WHERE s.pair_id = p.pair_id
+    AND NOT EXISTS (SELECT 1 FROM range(1, s.n) g(i) WHERE NOT EXISTS
+      (SELECT 1 FROM same x WHERE x.pair_id = s.pair_id AND x.n = g.i))) AS k FROM p),
+told AS (SELECT t.*, k, '<|' || role || '|>' || chr(10) AS head,
+    '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS said FROM t JOIN shared USING (pair_id)),
+placed AS (SELECT *, sum(length(said)) OVER (PARTITION BY pair_id, side ORDER BY n) AS stop FROM told WHERE n > k),
+sides AS (SELECT pair_id, side, string_agg(said, '' ORDER BY n) AS said,
+    string_agg((stop - length(said) + length(head))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY n)
+      FILTER (role = 'assistant') AS mask
+  FROM placed GROUP BY pair_id, side),
+prompts AS (SELECT pair_id, string_agg(said, '' ORDER BY n) AS prompt FROM told WHERE side = 0 AND n <= k GROUP BY pair_id)
+SELECT pair_id, k AS n_prompt_turns, nc - k AS n_chosen_turns, nr - k AS n_rejected_turns,
+  coalesce(prompt, '') AS prompt, coalesce(a.said, '') AS chosen, coalesce(b.said, '') AS rejected,
+  nc = k AND nr = k AS identical, coalesce(a.mask, '') AS chosen_mask, coalesce(b.mask, '') AS rejected_mask
+FROM shared LEFT JOIN prompts USING (pair_id)
+LEFT JOIN (SELECT * FROM sides WHERE side = 0) a USING (pair_id)
+LEFT JOIN (SELECT * FROM sides WHERE side = 1) b USING (pair_id)""",
+    "op3_decontamination": rf"""
+WITH words AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+items AS (SELECT item_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark WHERE item_id IS NOT NULL),
+spans AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS span
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM spans),
+runs AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS span
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, lengths)),
+hits AS (SELECT r, i, n, span FROM runs WHERE span IN (SELECT span FROM spans)),
+covered AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM hits) GROUP BY r),
+found AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS items
+  FROM (SELECT DISTINCT r, span FROM hits) JOIN spans USING (span) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN covered USING (r) LEFT JOIN found USING (r)""",
+    "op4_quality_rules": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+split AS (SELECT r, doc_id, t, {_WORDS} AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+grams AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS gram
+  FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM split WHERE len(w) >= 5)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM grams) WHERE n > 1),
+repeated AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS j FROM again) GROUP BY r),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words,
+    coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines)::BIGINT AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n, 0) AS n_repeat_words
+  FROM split LEFT JOIN repeated USING (r)),
+f AS (SELECT *, n_words < 10 AS b0, 100 * n_repeat_words > 20 * n_words AS b1, 2 * n_symbols > n_words AS b2,
+    n_dup_lines >= 3 AND 2 * n_dup_lines > n_lines AS b3,
+    word_chars < 2 * n_words OR word_chars > 40 * n_words AS b4 FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b0 OR b1 AS base_failed,
+  NOT (b0 OR b1 OR b2 OR b3 OR b4) AS kept, n_lines,
+  (b0::INT + 2 * b1::INT + 4 * b2::INT + 8 * b3::INT + 16 * b4::INT)::BIGINT AS fail_bits
+FROM f""",
+}
