@@ -88,7 +88,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return sets
 
 
-def _portions(batches: Iterator[pa.RecordBatch], size: int = 4_000_000):
+def _portions(batches: Iterator[pa.RecordBatch], size: int = 1_000_000):
     """Ids and texts in portions of bounded length."""
     for batch in batches:
         ids, texts, chars = [], [], 0
@@ -211,6 +211,20 @@ def _can_link(a: str, b: str) -> Column:
     return 100 * both >= LINK * (F.col(f"{a}.n") + F.col(f"{b}.n") - both)
 
 
+def _can_meet(a: str, b: str) -> Column:
+    """Whether this can be the first region that two linked points have in common.
+
+    Linked points share at least ``alpha`` shingles, of which at most ``m - o`` lie
+    behind the regions of one of them; so they have ``t`` regions in common, and the
+    first of these has at least ``t - 1`` behind it on either side.
+    """
+    alpha = F.ceil(F.lit(LINK) * (F.col(f"{a}.n") + F.col(f"{b}.n")) / F.lit(100 + LINK))
+    behind = F.greatest(F.col(f"{a}.m") - F.col(f"{a}.o"), F.col(f"{b}.m") - F.col(f"{b}.o"))
+    t = F.greatest(alpha - behind, F.lit(1))
+    early = lambda x: F.col(f"{x}.place") <= F.col(f"{x}.o") - t
+    return _can_link(a, b) & early(a) & early(b)
+
+
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Exact distance of each pair (a, b), and whether the two are linked."""
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -264,7 +278,9 @@ def links(docs: DataFrame, found: DataFrame, first: DataFrame) -> DataFrame:
         first.select("digest", F.col("node").alias("doc_id"), "node"), ["doc_id", "digest"]
     )
     entries = stored(
-        heads.dropDuplicates(["digest", "node"]).select("node", "n", "m", F.explode("regions").alias("region")),
+        heads.dropDuplicates(["digest", "node"]).select(
+            "node", "n", "m", F.size("regions").alias("o"), F.posexplode("regions").alias("place", "region")
+        ),
         "entries",
     )
     central = F.struct((F.col("m") / F.col("n")).alias("share"), (-F.col("node")).alias("order"))
@@ -277,7 +293,7 @@ def links(docs: DataFrame, found: DataFrame, first: DataFrame) -> DataFrame:
     small = inside.where(F.col("points") <= SMALL_REGION)
     pairs = small.alias("x").join(
         small.alias("y"),
-        (F.col("x.region") == F.col("y.region")) & (F.col("x.node") < F.col("y.node")) & _can_link("x", "y"),
+        (F.col("x.region") == F.col("y.region")) & (F.col("x.node") < F.col("y.node")) & _can_meet("x", "y"),
     )
     pairs = stored(
         pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs"
@@ -330,7 +346,7 @@ def _across(large: DataFrame, known: DataFrame, near: DataFrame) -> DataFrame:
         y,
         (F.col("x.region") == F.col("y.region"))
         & (F.col("x.component") != F.col("y.component"))
-        & _can_link("x", "y")
+        & _can_meet("x", "y")
         & F.coalesce(ring, F.lit(True)),
     )
     a, b = F.col("x.node"), F.col("y.node")
