@@ -19,7 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from costlens.functions.columns import money, total  # noqa: E402
+from costlens.functions.columns import MONEY, money, total  # noqa: E402
 from costlens.operators.dataset import DATASETS, as_dataset  # noqa: E402
 from costlens.operators.dedup import latest_snapshot  # noqa: E402
 from costlens.plans import focus_reports as focus  # noqa: E402
@@ -85,6 +85,36 @@ def _usage_report(report, columns, window=(None, None), **kwargs) -> Query:
     return query
 
 
+OPEN_IN_LEGACY = [
+    "date",
+    "ResourceId",
+    "costInBillingCurrency",
+    "billingCurrency",
+    "SubscriptionId",
+    "subscriptionName",
+    "consumedService",
+    "billingPeriodStartDate",
+]
+
+
+def _on_legacy(report) -> Query:
+    """A report over the open vocabulary on an export of the provider-specific one."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text = legacy_text(spark, sf_dir, OPEN_IN_LEGACY)
+        return report(normalize(text, fill=False), as_of=AS_OF)
+
+    return query
+
+
+def _with_ids(columns, **kwargs) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = legacy_rows(spark, sf_dir, columns).where(F.col("ResourceId").isNotNull())
+        return usage.unused_resources(rows, **kwargs)
+
+    return query
+
+
 def _summary_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = normalize(focus_rows(spark, sf_dir, None, _LAST_30))
     return focus.billing_summary_view(rows, AS_OF)
@@ -124,6 +154,12 @@ def _reports() -> dict[str, Query]:
             as_of=AS_OF,
             null_aware=True,
         ),
+        "unused_resources_null_aware_kept": _with_ids(
+            [*dated_cost, "ResourceId", *group], as_of=AS_OF, null_aware=True
+        ),
+        "unused_resources_fold_case": _usage_report(
+            usage.unused_resources, [*dated_cost, "ResourceId", *group], as_of=AS_OF, fold_case=True
+        ),
         "department_chargeback": _usage_report(
             usage.department_chargeback, [*dated_cost, *group]
         ),
@@ -186,6 +222,14 @@ def _reports() -> dict[str, Query]:
         "customer_trend": _focus_report(
             focus.customer_trend, [PERIOD, "SubAccountId", "ServiceName", "BilledCost"], TENANT
         ),
+        "customer_trend_fold_case": _focus_report(
+            focus.customer_trend,
+            [PERIOD, "SubAccountId", "ServiceName", "BilledCost"],
+            TENANT,
+            fold_case=True,
+        ),
+        "legacy_cost_by_customer": _on_legacy(focus.cost_by_customer),
+        "legacy_month_over_month": _on_legacy(focus.month_over_month),
         "service_breakdown": _focus_report(
             focus.service_breakdown, [PERIOD, *SERVICE, "BilledCost", "SubAccountId"]
         ),
@@ -219,16 +263,37 @@ DAILY = [
 
 
 def _daily_granularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_daily(focus_rows(spark, sf_dir, DAILY))
+    """Each charge as two hourly rows, with its end and its date text."""
+    rows = focus_rows(spark, sf_dir, DAILY)
+    hour = F.explode(F.array(F.lit(3), F.lit(17))).alias("hour")
+    hourly = rows.select("*", hour)
+    start = F.col("ChargePeriodStart") + F.make_dt_interval(hours=F.col("hour"))
+    # the first hour has a tenth of the charge
+    part = lambda c: F.when(F.col("hour") == 3, tenth(c)).otherwise(F.col(c) - tenth(c)).cast(MONEY).alias(c)
+    tenth = lambda c: (F.col(c) * F.lit(0.1).cast("decimal(2,1)")).cast(MONEY)
+    return to_daily(
+        hourly.select(
+            start.alias("ChargePeriodStart"),
+            (start + F.expr("INTERVAL 1 HOUR")).alias("ChargePeriodEnd"),
+            F.date_format(start, "yyyy-MM-dd HH:mm").alias("date_raw"),
+            *[c for c in DAILY[1:] if c not in ("BilledCost", "ConsumedQuantity")],
+            part("BilledCost"),
+            part("ConsumedQuantity"),
+        )
+    )
 
 
 def _latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cumulative snapshots as rows: each run repeats the month up to its day."""
+    """Cumulative snapshots of two exports as rows: each run repeats the month up to its
+    day, and in odd months the open one's last run is missing."""
     rows = focus_rows(
-        spark, sf_dir, [PERIOD, "ChargePeriodStart", "ResourceId", "SubAccountId", "BilledCost"]
-    )
+        spark,
+        sf_dir,
+        [PERIOD, "ChargePeriodStart", "ResourceId", "SubAccountId", "BilledCost", "ConsumedUnit"],
+    ).withColumnRenamed("ConsumedUnit", "export_scope")
     run_days = F.array(*[F.lit(d) for d in (7, 14, 21, 31)])
-    covers = F.filter(run_days, lambda d: F.dayofmonth("ChargePeriodStart") <= d)
+    last = F.when((F.col("export_scope") == "O") & (F.month(PERIOD) % 2 == 1), 21).otherwise(31)
+    covers = F.filter(run_days, lambda d: (F.dayofmonth("ChargePeriodStart") <= d) & (d <= last))
     return latest_snapshot(rows.withColumn("run_day", F.explode(covers)), "run_day")
 
 
@@ -236,12 +301,16 @@ def _preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.preview(focus_rows(spark, sf_dir, [PERIOD, "ResourceId", *COSTS]))
 
 
+# Columns of the charges themselves: a count needs no dimension.
+COUNTED = [PERIOD, "ChargePeriodStart", "ResourceId", "BilledCost", "ConsumedQuantity", "Tags"]
+
+
 def _row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.row_count(views.publish_view(focus_rows(spark, sf_dir), "billing_data"))
+    return views.row_count(views.publish_view(focus_rows(spark, sf_dir, COUNTED), "counted_data"))
 
 
 def _health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views.publish_view(focus_rows(spark, sf_dir), "billing_data")
+    views.publish_view(focus_rows(spark, sf_dir, COUNTED), "billing_data")
     return views.health_report(spark, "billing_data")
 
 

@@ -7,30 +7,36 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Runs are exports x billing periods.  Up to this many keys are sent to every
-# executor (a few MB); beyond it the join shuffles.
-MAX_BROADCAST_RUNS = 50_000
+from costlens.sources.schema import EXPORT_SCOPE
+
+PERIOD_COLUMNS = ("BillingPeriodStart",)
 
 
 def latest_snapshot(
     df: DataFrame,
     run_col: str,
-    period_cols: Sequence[str] = ("BillingPeriodStart",),
-    max_broadcast: int = MAX_BROADCAST_RUNS,
+    period_cols: Sequence[str] | None = None,
+    few_periods: bool = False,
 ) -> DataFrame:
-    """Rows of the newest run of each billing period (O-06).
+    """Rows of the newest run of each billing period of each export (O-06).
+
+    The key is the billing period, and the export too where its column is present:
+    two exports number their runs independently.  The newest run per key is a MAX
+    that is combined before the shuffle, and it filters the rows with a semi join: no
+    window, hence no task that receives a whole period; a join partition with a hot
+    period is split by adaptive execution, as this side needs no grouping.
 
-    The newest run per period is found first with a map-side combined MAX, which
-    reads only the key columns and returns one row per period.  That
-    small result filters the rows with a semi join: no window, hence no task that
-    receives a whole period.  The keys are counted before they are broadcast.
-    A NULL period is a period of its own.
+    ``few_periods``  the caller knows that exports times periods fit every executor's
+                     memory, so the filter is sent to the rows.
+    A NULL key is a key of its own.
     """
+    if period_cols is None:
+        scope = [EXPORT_SCOPE] if EXPORT_SCOPE in df.columns else []
+        period_cols = [*scope, *PERIOD_COLUMNS]
     keys = [F.col(c).alias(f"latest_{c}") for c in period_cols]
     newest = df.groupBy(*keys).agg(F.max(run_col).alias(f"latest_{run_col}"))
-    found = newest.limit(max_broadcast + 1).collect()
-    if len(found) <= max_broadcast:
-        newest = F.broadcast(df.sparkSession.createDataFrame(found, newest.schema))
+    if few_periods:
+        newest = F.broadcast(newest)
     match = F.lit(True)
     for c in (*period_cols, run_col):
         match = match & df[c].eqNullSafe(newest[f"latest_{c}"])

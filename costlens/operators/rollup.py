@@ -63,13 +63,45 @@ def cost_rollup(
             group.append(as_column(source).alias(name))
 
     count_distinct = F.approx_count_distinct if approx else F.count_distinct
-    measures = [total(c).alias(name) for name, c in (sums or {}).items()]
-    for name, source in (distincts or {}).items():
-        value = F.lower(source) if fold_case and is_text(source) else as_column(source)
-        measures.append(count_distinct(value).alias(name))
-    if rows:
-        measures.append(F.count("*").alias(rows))
-
-    out = [*keys, *(sums or {}), *(distincts or {}), *([rows] if rows else [])]
-    grouped = df.groupBy(*group).agg(*spelling, *measures).select(*out)
+    sums, distincts = dict(sums or {}), dict(distincts or {})
+    counted = {
+        name: F.lower(source) if fold_case and is_text(source) else as_column(source)
+        for name, source in distincts.items()
+    }
+    out = [*keys, *sums, *distincts, *([rows] if rows else [])]
+    if len(counted) > 1 and not approx:
+        # Several distinct counts copy every row once each; so rows are first combined
+        # by keys and counted values, and only the result is copied.
+        names = [f"group_{i}" for i in range(len(group))]
+        first = df.groupBy(
+            *[g.alias(n) for g, n in zip(group, names)],
+            *[c.alias(f"value_{name}") for name, c in counted.items()],
+        ).agg(
+            F.count("*").alias("count_rows"),
+            *[F.min(source).alias(f"least_{name}") for name, source in keys.items() if is_text(source)],
+            *[total(c).alias(f"sum_{name}") for name, c in sums.items()],
+        )
+        shown = [
+            F.min(f"least_{name}").alias(name) if fold_case and is_text(source) else F.col(n).alias(name)
+            for (name, source), n in zip(keys.items(), names)
+        ]
+        grouped = first.groupBy(*names).agg(
+            *[c for c, (_, source) in zip(shown, keys.items()) if fold_case and is_text(source)],
+            *[total(f"sum_{name}").alias(name) for name in sums],
+            *[count_distinct(F.col(f"value_{name}")).alias(name) for name in counted],
+            *([F.sum("count_rows").alias(rows)] if rows else []),
+        )
+        grouped = grouped.select(
+            *[
+                F.col(name) if fold_case and is_text(source) else F.col(n).alias(name)
+                for (name, source), n in zip(keys.items(), names)
+            ],
+            *out[len(keys) :],
+        )
+    else:
+        measures = [total(c).alias(name) for name, c in sums.items()]
+        measures += [count_distinct(c).alias(name) for name, c in counted.items()]
+        if rows:
+            measures.append(F.count("*").alias(rows))
+        grouped = df.groupBy(*group).agg(*spelling, *measures).select(*out)
     return ranked(grouped, order_by, list(keys), limit) if order_by else grouped

@@ -159,12 +159,18 @@ def cost_by_region(df: DataFrame, as_of: AsOf = None, **options) -> DataFrame:
     )
 
 
+def _is_customer(customer_tenant_id: str, options: dict) -> Column:
+    """The rows of one customer (F-07); with ``fold_case`` whatever the case of its id."""
+    own, wanted = F.col("SubAccountId"), F.lit(customer_tenant_id)
+    return F.lower(own) == F.lower(wanted) if options.get("fold_case") else own == wanted
+
+
 def customer_deep_dive(
     df: DataFrame, customer_tenant_id: str, as_of: AsOf = None, **options
 ) -> DataFrame:
     """One customer's cost and usage per resource (Q-16)."""
     return cost_rollup(
-        _recent(df, as_of).filter(F.col("SubAccountId") == F.lit(customer_tenant_id)),
+        _recent(df, as_of).filter(_is_customer(customer_tenant_id, options)),
         keys={
             **SERVICE,
             "ResourceName": "ResourceName",
@@ -203,7 +209,9 @@ def discount_analysis(df: DataFrame, as_of: AsOf = None, **options) -> DataFrame
     )
 
 
-def month_over_month(df: DataFrame, as_of: AsOf = None, by_currency: bool = False) -> DataFrame:
+def month_over_month(
+    df: DataFrame, as_of: AsOf = None, by_currency: bool = False, fold_case: bool = False
+) -> DataFrame:
     """This calendar month against the last, per customer (Q-18, J-01, F-09).
 
     The rows are those of a full outer join of two monthly aggregates, found in
@@ -211,7 +219,7 @@ def month_over_month(df: DataFrame, as_of: AsOf = None, by_currency: bool = Fals
     the extra key that keeps their two months apart.  A customer without rows this
     month has a negative change and a NULL percentage; a new one has 0 percent.
     """
-    current = in_month(PERIOD, as_of)
+    current = in_month(PERIOD, as_of)  # a folded name shows its smallest spelling
     keys = {"CustomerName": "SubAccountName"}
     if by_currency:
         keys["BillingCurrency"] = "BillingCurrency"
@@ -219,10 +227,11 @@ def month_over_month(df: DataFrame, as_of: AsOf = None, by_currency: bool = Fals
     both = (
         df.filter((F.col(PERIOD) >= month_start(as_of, 1)) & (F.col(PERIOD) < month_start(as_of, -1)))
         .groupBy(
-            *[F.col(c).alias(name) for name, c in keys.items()],
+            *[(F.lower(c) if fold_case else F.col(c)).alias(f"group_{name}") for name, c in keys.items()],
             F.when(unmatched, current).alias("unmatched_month"),
         )
         .agg(
+            *[F.min(c).alias(name) for name, c in keys.items()],
             total(F.when(current, F.col("BilledCost"))).alias("this_month"),
             total(F.when(~current, F.col("BilledCost"))).alias("last_month"),
         )
@@ -280,7 +289,7 @@ def customer_trend(
 ) -> DataFrame:
     """One customer's cost and services per day (Q-22)."""
     return cost_rollup(
-        _recent(df, as_of, days_back).filter(F.col("SubAccountId") == F.lit(customer_tenant_id)),
+        _recent(df, as_of, days_back).filter(_is_customer(customer_tenant_id, options)),
         keys={"Date": day(PERIOD)},
         sums={"DailyCost": "BilledCost"},
         distincts={"ServicesUsed": "ServiceName"},

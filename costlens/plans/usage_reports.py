@@ -133,21 +133,29 @@ def top10_resources(df: DataFrame, **options) -> DataFrame:
 
 
 def unused_resources(
-    df: DataFrame, as_of: AsOf = None, days: int = 7, null_aware: bool = False
+    df: DataFrame,
+    as_of: AsOf = None,
+    days: int = 7,
+    null_aware: bool = False,
+    fold_case: bool = False,
 ) -> DataFrame:
     """Resources without any positive cost in the last days (Q-08).
 
-    Both sides are made distinct before the join, so a busy resource reaches the
-    shuffle once per task and not once per row.
+    One grouping, marked with whether the resource was used, feeds both sides of the
+    anti join, so the rows are read and combined once.  With ``fold_case`` ids and
+    groups that differ only in case are the same and show their smallest spelling.
     """
-    recent = df.filter(trailing_days(USED_ON, as_of, days) & (as_column(COST) > 0))
-    resources = (
-        df.filter(F.col("ResourceId").isNotNull())
-        .select(F.col("ResourceId").alias("resourceId"), F.col(GROUP).alias("resourceGroup"))
-        .distinct()
+    used = trailing_days(USED_ON, as_of, days) & (as_column(COST) > 0)
+    fold = F.lower if fold_case else F.col
+    marked = df.groupBy(fold("ResourceId").alias("id"), fold(GROUP).alias("group")).agg(
+        F.min("ResourceId").alias("resourceId"),
+        F.min(GROUP).alias("resourceGroup"),
+        F.max(F.coalesce(used, F.lit(False))).alias("used"),
+    )
+    absent = rows_absent(
+        marked.select("id", "resourceId", "resourceGroup"), "id", marked.filter("used").select("id"), null_aware
     )
-    used = recent.select(F.col("ResourceId").alias("resourceId"))
-    return rows_absent(resources, "resourceId", used, null_aware)
+    return absent.select("resourceId", "resourceGroup")
 
 
 def department_chargeback(df: DataFrame, **options) -> DataFrame:

@@ -7,15 +7,24 @@ MB = 1024 * 1024
 TASK_BYTES = 256 * MB
 
 
-def settings_for(input_bytes: int, cores: int) -> dict[str, str]:
+# Share of the input that is shuffled once sums were combined in each task.
+SHUFFLED_SHARE = 0.05
+
+
+def settings_for(
+    input_bytes: int, cores: int, shuffled_bytes: int | None = None
+) -> dict[str, str]:
     """Spark SQL settings for reading ``input_bytes`` on ``cores`` task slots.
 
-    Shuffles start with enough partitions that none exceeds the task size even if
-    the whole input is shuffled, and adaptive execution merges what turns out
-    small.  Skewed join partitions and rebalanced writes are split at the same
-    size.  All of these can be set on a running session.
+    Shuffles get enough partitions for ``shuffled_bytes`` (a share of the input when
+    not given), not for the input: map tasks times partitions is what driver and
+    shuffle service must keep track of.  Adaptive execution merges what turns out
+    small and splits skewed joins and rebalanced writes.  All of these can be set on
+    a running session.
     """
-    partitions = max(2 * cores, -(-input_bytes // TASK_BYTES))
+    if shuffled_bytes is None:
+        shuffled_bytes = int(input_bytes * SHUFFLED_SHARE)
+    partitions = max(2 * cores, -(-shuffled_bytes // TASK_BYTES))
     # Small inputs are cut finer, so that every core has a split to read.
     split = min(TASK_BYTES, max(4 * MB, input_bytes // (2 * cores)))
     return {
@@ -27,4 +36,6 @@ def settings_for(input_bytes: int, cores: int) -> dict[str, str]:
         "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
         "spark.sql.files.maxPartitionBytes": str(split),
         "spark.sql.shuffle.partitions": str(partitions),
+        # INT96, the default, has no statistics that a scan could skip by.
+        "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     }

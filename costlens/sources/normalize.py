@@ -23,6 +23,9 @@ from costlens.sources.schema import (
 )
 
 
+PERIOD_START = "BillingPeriodStart"
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -55,13 +58,17 @@ def normalize(
     date_formats: Iterable[str] = (),
     drop_header_rows: bool = False,
     fill: bool = True,
+    keep_others: bool = False,
 ) -> DataFrame:
     """Resolve both vocabularies, type the columns, keep the raw date text (O-11).
 
     A column may arrive under its canonical name, under an alias, or under both
     when files of two dataset versions were read together; the first readable
     value wins.  Absent columns become typed NULLs, or with ``fill=False`` are left
-    out, which spares a table writer dozens of empty columns.  ``date_formats``
+    out, which spares a table writer dozens of empty columns and makes a report that
+    needs one of them fail instead of finding nothing.  An export without billing
+    period gets the month of the charge.  ``keep_others`` appends columns that no
+    vocabulary declares, as they are.  ``date_formats``
     adds patterns such as ``MM/dd/yyyy`` for exports whose dates are not ISO.  Rows
     are dropped only on request, because some reports count rows whose date cannot
     be read.
@@ -78,14 +85,22 @@ def normalize(
         found = sources(field.name)
         if field.name == DATE_RAW and not found:
             found = sources("ChargePeriodStart")
-        if not found and not fill:
+        derived = field.name == PERIOD_START and sources("ChargePeriodStart")
+        if not found and not derived and not fill:
             continue
         values = [_typed(_quoted(f.name), f.dataType, field.dataType, formats) for f in found]
+        if field.name == PERIOD_START and not values:
+            charged = [_typed(_quoted(f.name), f.dataType, field.dataType, formats) for f in sources("ChargePeriodStart")]
+            values = [f"date_trunc('MM', {c})" for c in charged]
         if not values:
             values = [f"cast(NULL AS {field.dataType.simpleString()})"]
         value = values[0] if len(values) == 1 else f"coalesce({', '.join(values)})"
         out.append(f"{value} AS {_quoted(field.name)}")
     out += [c for c in (EXPORT_SCOPE, EXPORT_PERIOD) if c in present]
+    if keep_others:
+        names = {n.lower() for c in CANONICAL_SCHEMA.names for n in (c, *ALIASES.get(c, ()))}
+        names |= {EXPORT_SCOPE, EXPORT_PERIOD}
+        out += [_quoted(f.name) for f in df.schema if f.name.lower() not in names]
 
     rows = df.selectExpr(*out)
     if drop_header_rows:

@@ -112,20 +112,27 @@ ALIASES = {
     "x_ResourceGroupName": ("resourceGroupName", "resourceGroup"),
     "x_SkuServiceFamily": ("serviceFamily",),
     "RegionName": ("resourceLocation", "Region"),
-    "ConsumedQuantity": ("UsageQuantity",),
-    "ConsumedUnit": ("UsageUnit",),
+    "ConsumedQuantity": ("UsageQuantity", "quantity"),
+    "ConsumedUnit": ("UsageUnit", "unitOfMeasure"),
+    "BilledCost": ("costInBillingCurrency",),
+    "EffectiveCost": ("costInBillingCurrency",),
+    "ListCost": ("paygCostInBillingCurrency",),
+    "BillingCurrency": ("billingCurrencyCode",),
+    "BillingAccountName": ("billingAccountName",),
+    "BillingPeriodStart": ("billingPeriodStartDate",),
+    "BillingPeriodEnd": ("billingPeriodEndDate",),
+    "SubAccountId": ("SubscriptionId",),
+    "SubAccountName": ("subscriptionName",),
+    "ServiceCategory": ("serviceFamily",),
+    "ServiceName": ("consumedService", "meterCategory"),
+    "ChargeCategory": ("chargeType",),
+    "PricingCategory": ("pricingModel",),
+    "CommitmentDiscountId": ("reservationId",),
+    "x_CostCenter": ("costCenter",),
+    "x_SkuMeterId": ("meterId",),
+    "x_SkuMeterName": ("meterName",),
 }
 
-# Provider-specific columns the reports read.
-LEGACY_COLUMNS = (
-    "date",
-    "costInUsd",
-    "ResourceId",
-    "resourceGroupName",
-    "serviceFamily",
-    "resourceLocation",
-)
-
 # Read by the summary view but not part of the declared export.
 CHARGE_TYPE = "ChargeType"
 # The untouched date text, kept because a report filters on it.
@@ -141,12 +148,11 @@ def silver_type(name: str):
         return TimestampType()
     amount = (
         "Cost" in name and name not in ("x_CostAllocationRuleName", "x_CostCenter")
-    ) or name.endswith(("Price", "Quantity", "Rate", "CreditApplied", "BlockSize"))
+    ) or name.endswith(("Price", "Quantity", "Rate", "BlockSize"))
     return DecimalType(18, 6) if amount else StringType()
 
 
 RAW_SCHEMA = StructType([StructField(c, StringType()) for c in FOCUS_COLUMNS])
-LEGACY_SCHEMA = StructType([StructField(c, StringType()) for c in LEGACY_COLUMNS])
 CANONICAL_SCHEMA = StructType(
     [StructField(c, silver_type(c)) for c in FOCUS_COLUMNS]
     + [StructField(CHARGE_TYPE, StringType()), StructField(DATE_RAW, StringType())]

@@ -40,10 +40,11 @@ _BILLED = f"{_EFFECTIVE} * (cast(1 AS decimal(3,2)) + cast(l_tax AS decimal(3,2)
 _FOCUS = {
     "BillingPeriodStart": ("date_trunc('MM', l_shipdate)", ()),
     "ChargePeriodStart": ("l_shipdate", ()),
-    "SubAccountId": ("cast(o_custkey AS string)", ("orders",)),
+    # Ids, services and currencies come in two spellings each, as real exports mix them.
+    "SubAccountId": ("concat(if(l_linenumber % 2 = 0, 'T-', 't-'), o_custkey)", ("orders",)),
     "SubAccountName": ("c_name", ("orders", "customer")),
     "ServiceCategory": ("p_type", ("part",)),
-    "ServiceName": ("p_brand", ("part",)),
+    "ServiceName": ("if(l_linenumber % 2 = 0, upper(p_brand), p_brand)", ("part",)),
     "ResourceId": ("concat('/res/', l_partkey)", ()),
     "ResourceName": ("p_name", ("part",)),
     "ResourceType": ("cast(p_size AS string)", ("part",)),
@@ -52,10 +53,10 @@ _FOCUS = {
         ("orders", "customer", "nation", "region"),
     ),
     "x_ResourceGroupName": ("n_name", ("orders", "customer", "nation")),
-    "BillingCurrency": ("'USD'", ()),
+    "BillingCurrency": ("if(l_linenumber % 3 = 0, 'EUR', 'USD')", ()),
     "ListCost": (f"cast({_LIST} AS {MONEY})", ()),
     "EffectiveCost": (f"cast({_EFFECTIVE} AS {MONEY})", ()),
-    "ContractedCost": (f"cast({_EFFECTIVE} AS {MONEY})", ()),
+    "ContractedCost": (f"cast({_LIST} * cast(0.95 AS decimal(3,2)) AS {MONEY})", ()),
     "BilledCost": (f"cast({_BILLED} AS {MONEY})", ()),
     "ConsumedQuantity": (f"cast(l_quantity AS {MONEY})", ()),
     "ConsumedUnit": ("l_linestatus", ()),
@@ -88,28 +89,27 @@ _LEGACY = {
     "ResourceId": (
         "CASE WHEN l_linenumber = 3 AND l_returnflag = 'A' THEN '' "
         "WHEN l_linenumber = 2 AND l_returnflag = 'A' THEN NULL "
-        "ELSE concat('/res/', l_partkey) END",
+        "ELSE concat(if(l_linenumber % 2 = 0, '/RES/', '/res/'), l_partkey) END",
         (),
     ),
     "resourceGroupName": _FOCUS["x_ResourceGroupName"],
     "serviceFamily": _FOCUS["ServiceCategory"],
     "resourceLocation": _FOCUS["RegionName"],
+    "costInBillingCurrency": (f"cast({_LIST} AS string)", ()),
+    "billingCurrency": _FOCUS["BillingCurrency"],
+    "SubscriptionId": _FOCUS["SubAccountId"],
+    "subscriptionName": _FOCUS["SubAccountName"],
+    "consumedService": _FOCUS["ServiceName"],
+    "billingPeriodStartDate": ("date_format(date_trunc('MM', l_shipdate), 'yyyy-MM-dd')", ()),
 }
+# What a report over this vocabulary reads; the rest is for the open one's reports.
+LEGACY_STAR_COLUMNS = tuple(_LEGACY)[:6]
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.schema(_TABLES[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _spread(rows: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a table stored as fewer splits than there are cores.
-
-    A table of ordinary size has more splits than cores and is left as it is.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def _charges(
     spark: SparkSession, sf_dir: str, needed: set[str], used_from: str | None, used_before: str | None
 ) -> DataFrame:
@@ -123,8 +123,6 @@ def _charges(
         rows = rows.filter(F.col("l_shipdate") >= F.lit(used_from).cast("timestamp"))
     if used_before:
         rows = rows.filter(F.col("l_shipdate") < F.lit(used_before).cast("timestamp"))
-    if not (used_from or used_before):
-        rows = _spread(rows, "l_orderkey")
     joins = {
         "orders": "l_orderkey = o_orderkey",
         "customer": "o_custkey = c_custkey",
@@ -166,7 +164,7 @@ def legacy_text(
     used_before: str | None = None,
 ) -> DataFrame:
     """Charges as a provider-specific export holds them: text, partly unreadable."""
-    wanted = list(columns) if columns is not None else list(_LEGACY)
+    wanted = list(columns) if columns is not None else list(LEGACY_STAR_COLUMNS)
     needed = {t for c in wanted for t in _LEGACY[c][1]}
     rows = _charges(spark, sf_dir, needed, used_from, used_before)
     return rows.selectExpr(*[f"{_LEGACY[c][0]} AS `{c}`" for c in wanted])

@@ -2,34 +2,49 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, StringType, StructField, StructType, TimestampType
 
 from costlens.sources.exports import CSV_OPTIONS
-from costlens.sources.schema import CANONICAL_SCHEMA, EXPORT_PERIOD, EXPORT_SCOPE
+from costlens.sources.schema import CANONICAL_SCHEMA, DATE_RAW, EXPORT_PERIOD, EXPORT_SCOPE
 
 PERIOD_COLUMN = "BillingPeriodStart"
 _ADDITIVE = ("Cost", "CostInUsd", "Quantity")
 
 
+def _whole_days(field: StructField, date_col: str) -> Column:
+    """A moment of the charge widened to its day: starts to midnight, ends to the next one."""
+    c = F.col(f"`{field.name}`")
+    if field.name == DATE_RAW:
+        day = F.date_trunc("DAY", date_col)
+        return F.coalesce(F.date_format(day, "yyyy-MM-dd"), c)
+    if not isinstance(field.dataType, TimestampType):
+        return c
+    if field.name == date_col or field.name.endswith("PeriodStart"):
+        return F.date_trunc("DAY", c)
+    if field.name.endswith("PeriodEnd"):
+        last = c - F.expr("INTERVAL 1 MICROSECOND")
+        return F.date_trunc("DAY", last) + F.expr("INTERVAL 1 DAY")
+    return c
+
+
 def to_daily(df: DataFrame, date_col: str = "ChargePeriodStart") -> DataFrame:
     """Rows of one day that differ only in amounts become one row (daily granularity of O-09).
 
-    Costs and quantities are added up; prices and rates are kept as keys.
+    Every period column is widened to whole days and the raw date text becomes the
+    day, so hourly rows meet.  Costs and quantities are added up; prices and rates are
+    kept as keys.
     """
     moneys = [
         f.name
         for f in df.schema
         if isinstance(f.dataType, DecimalType) and f.name.endswith(_ADDITIVE)
     ]
-    keys = [
-        F.date_trunc("DAY", date_col).alias(c) if c == date_col else F.col(c)
-        for c in df.columns
-        if c not in moneys
-    ]
+    keys = [_whole_days(f, date_col).alias(f.name) for f in df.schema if f.name not in moneys]
     types = {f.name: f.dataType for f in df.schema}
     # The amounts keep their type; a sum it cannot hold raises under ANSI rules.
     return (
@@ -141,21 +156,45 @@ def write_table(
     day ranges skip row groups.
     """
     order = [c for c in ("ChargePeriodStart",) if c in df.columns and c not in partition_by]
-    (
-        df.hint("rebalance", *partition_by)
-        .sortWithinPartitions(*partition_by, *order)
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition_by)
-        .parquet(path)
-    )
-
-
-def read_table(spark: SparkSession, path: str, ingested: bool = False) -> DataFrame:
+    with _timestamps_with_statistics(df.sparkSession):
+        (
+            df.hint("rebalance", *partition_by)
+            .sortWithinPartitions(*partition_by, *order)
+            .write.mode(mode)
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*partition_by)
+            .parquet(path)
+        )
+
+
+@contextmanager
+def _timestamps_with_statistics(spark: SparkSession):
+    """Timestamps as microseconds while writing: INT96, the default, has no min/max."""
+    key = "spark.sql.parquet.outputTimestampType"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "TIMESTAMP_MICROS")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def read_table(
+    spark: SparkSession, path: str, ingested: bool = False, since: date | None = None
+) -> DataFrame:
     """A table written by :func:`write_table`.
 
     The schema is stated, not inferred, so columns that some files lack are NULL.
+    ``since`` leaves out billing periods that began before that day.  An ingested
+    table is partitioned by export and export period, which the billing period of a
+    row doesn't prune by itself; folders without date range are always read.
     """
     origin = (EXPORT_SCOPE, EXPORT_PERIOD) if ingested else ()
     schema = StructType([*CANONICAL_SCHEMA, *[StructField(c, StringType()) for c in origin]])
-    return spark.read.schema(schema).parquet(path)
+    rows = spark.read.schema(schema).parquet(path)
+    if since and ingested:
+        # ``current`` sorts after every date.
+        rows = rows.filter(F.col(EXPORT_PERIOD) >= f"{since:%Y%m%d}")
+    elif since:
+        rows = rows.filter(F.col(PERIOD_COLUMN) >= F.lit(str(since)).cast("timestamp"))
+    return rows

@@ -7,7 +7,7 @@ reporting moment of the registered queries.
 from __future__ import annotations
 
 AS_OF = "2001-10-15 00:00:00"
-TENANT = "5"
+TENANT = "t-5"
 
 _STAR = """
 FROM lineitem
@@ -26,19 +26,19 @@ focus AS (
     SELECT
         CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS BillingPeriodStart,
         CAST(l_shipdate AS TIMESTAMP) AS ChargePeriodStart,
-        CAST(o_custkey AS VARCHAR) AS SubAccountId,
+        CASE WHEN l_linenumber % 2 = 0 THEN 'T-' ELSE 't-' END || CAST(o_custkey AS VARCHAR) AS SubAccountId,
         c_name AS SubAccountName,
         p_type AS ServiceCategory,
-        p_brand AS ServiceName,
+        CASE WHEN l_linenumber % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS ServiceName,
         '/res/' || CAST(l_partkey AS VARCHAR) AS ResourceId,
         p_name AS ResourceName,
         CAST(p_size AS VARCHAR) AS ResourceType,
         CASE WHEN r_name <> 'MIDDLE EAST' THEN r_name END AS RegionName,
         n_name AS x_ResourceGroupName,
-        'USD' AS BillingCurrency,
+        CASE WHEN l_linenumber % 3 = 0 THEN 'EUR' ELSE 'USD' END AS BillingCurrency,
         CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DECIMAL(18,6)) AS ListCost,
         CAST({_EFFECTIVE} AS DECIMAL(18,6)) AS EffectiveCost,
-        CAST({_EFFECTIVE} AS DECIMAL(18,6)) AS ContractedCost,
+        CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(0.95 AS DECIMAL(3,2)) AS DECIMAL(18,6)) AS ContractedCost,
         CAST({_EFFECTIVE}
             * (CAST(1 AS DECIMAL(3,2)) + CAST(l_tax AS DECIMAL(3,2))) AS DECIMAL(18,6)) AS BilledCost,
         CAST(l_quantity AS DECIMAL(18,6)) AS ConsumedQuantity,
@@ -64,7 +64,8 @@ legacy_text AS (
              ELSE CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR) END AS cost_text,
         CASE WHEN l_linenumber = 3 AND l_returnflag = 'A' THEN ''
              WHEN l_linenumber = 2 AND l_returnflag = 'A' THEN NULL
-             ELSE '/res/' || CAST(l_partkey AS VARCHAR) END AS ResourceId,
+             ELSE CASE WHEN l_linenumber % 2 = 0 THEN '/RES/' ELSE '/res/' END || CAST(l_partkey AS VARCHAR)
+             END AS ResourceId,
         n_name AS resourceGroupName,
         p_type AS serviceFamily,
         CASE WHEN r_name <> 'MIDDLE EAST' THEN r_name END AS resourceLocation
@@ -94,6 +95,15 @@ def _focus(body: str) -> str:
     return f"WITH {_FOCUS}\n{body}"
 
 
+def _legacy_open(body: str) -> str:
+    """Charges under the open names, with the resource ids of the other vocabulary."""
+    dirty = """CASE WHEN l_linenumber = 3 AND l_returnflag = 'A' THEN ''
+             WHEN l_linenumber = 2 AND l_returnflag = 'A' THEN NULL
+             ELSE CASE WHEN l_linenumber % 2 = 0 THEN '/RES/' ELSE '/res/' END || CAST(l_partkey AS VARCHAR)
+             END AS ResourceId"""
+    return f"WITH {_FOCUS}\n{body}".replace("'/res/' || CAST(l_partkey AS VARCHAR) AS ResourceId", dirty)
+
+
 def _legacy(body: str) -> str:
     return f"WITH {_LEGACY}\n{body}"
 
@@ -196,6 +206,17 @@ ORACLE = {
     "unused_resources_null_aware": _legacy(
         _UNUSED + " AND ResourceId NOT IN (SELECT ResourceId FROM recent)"
     ),
+    "unused_resources_null_aware_kept": _legacy(
+        _UNUSED.replace("AND cost > 0", "AND cost > 0 AND ResourceId IS NOT NULL")
+        + " AND ResourceId NOT IN (SELECT ResourceId FROM recent)"
+    ),
+    "unused_resources_fold_case": _legacy(f"""
+    , recent AS (
+        SELECT DISTINCT lower(ResourceId) AS id FROM legacy
+        WHERE used_on >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND cost > 0 AND ResourceId IS NOT NULL)
+    SELECT MIN(ResourceId) AS "resourceId", MIN(resourceGroupName) AS "resourceGroup"
+    FROM legacy WHERE ResourceId IS NOT NULL AND lower(ResourceId) NOT IN (SELECT id FROM recent)
+    GROUP BY lower(ResourceId), lower(resourceGroupName)"""),
     "department_chargeback": _legacy(f"""
     SELECT resourceGroupName AS Department, {_YEAR_MONTH}, {_sum("cost", "MonthlyCharge")}
     FROM legacy WHERE resourceGroupName IS NOT NULL GROUP BY 1, 2, 3"""),
@@ -279,6 +300,15 @@ ORACLE = {
     SELECT CAST(BillingPeriodStart AS DATE) AS "Date", {_sum("BilledCost", "DailyCost")},
         {_distinct("ServiceName", "ServicesUsed")}
     FROM focus WHERE SubAccountId = '{TENANT}' AND {_RECENT} GROUP BY 1"""),
+    "customer_trend_fold_case": _focus(f"""
+    SELECT CAST(BillingPeriodStart AS DATE) AS "Date", {_sum("BilledCost", "DailyCost")},
+        {_distinct("lower(ServiceName)", "ServicesUsed")}
+    FROM focus WHERE lower(SubAccountId) = '{TENANT}' AND {_RECENT} GROUP BY 1"""),
+    "legacy_cost_by_customer": _legacy_open(f"""
+    SELECT {_CUSTOMER}, BillingCurrency, {_sum("ListCost", "TotalBilledCost")},
+        {_sum("ListCost", "TotalEffectiveCost")}, {_distinct("ResourceId", "ResourceCount")}
+    FROM focus WHERE {_RECENT} GROUP BY SubAccountName, SubAccountId, BillingCurrency"""),
+    "legacy_month_over_month": _MONTH_OVER_MONTH.replace("SUM(BilledCost)", "SUM(ListCost)"),
     "service_breakdown": _focus(f"""
     SELECT ServiceCategory, ServiceName, {_sum("BilledCost", "TotalCost")},
         {_distinct("SubAccountId", "CustomerCount")}
@@ -288,18 +318,20 @@ ORACLE = {
     "dataset_amortized_cost": _dataset("EffectiveCost"),
     "dataset_usage": _dataset("ConsumedQuantity"),
     "daily_granularity": _focus("""
-    SELECT ChargePeriodStart, SubAccountId, ServiceName, ChargeCategory,
+    SELECT ChargePeriodStart, ChargePeriodStart + INTERVAL 1 DAY AS ChargePeriodEnd,
+        strftime(ChargePeriodStart, '%Y-%m-%d') AS date_raw, SubAccountId, ServiceName, ChargeCategory,
         CAST(SUM(BilledCost) AS DECIMAL(18,6)) AS BilledCost,
         CAST(SUM(ConsumedQuantity) AS DECIMAL(18,6)) AS ConsumedQuantity
     FROM focus GROUP BY ChargePeriodStart, SubAccountId, ServiceName, ChargeCategory"""),
     "latest_snapshot": _focus("""
     , snapshots AS (
         SELECT focus.*, run_day FROM focus, (VALUES (7), (14), (21), (31)) AS runs(run_day)
-        WHERE day(ChargePeriodStart) <= run_day),
+        WHERE day(ChargePeriodStart) <= run_day
+          AND run_day <= CASE WHEN ConsumedUnit = 'O' AND month(BillingPeriodStart) % 2 = 1 THEN 21 ELSE 31 END),
     marked AS (
-        SELECT *, MAX(run_day) OVER (PARTITION BY BillingPeriodStart) AS newest FROM snapshots)
+        SELECT *, MAX(run_day) OVER (PARTITION BY ConsumedUnit, BillingPeriodStart) AS newest FROM snapshots)
     SELECT BillingPeriodStart, ChargePeriodStart, ResourceId, SubAccountId, BilledCost,
-        CAST(run_day AS INTEGER) AS run_day
+        ConsumedUnit AS export_scope, CAST(run_day AS INTEGER) AS run_day
     FROM marked WHERE run_day = newest"""),
     "export_files": _focus("""
     SELECT DISTINCT strftime(BillingPeriodStart, '%Y%m%d') AS export_period, 'run=' || r AS run

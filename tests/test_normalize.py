@@ -75,7 +75,7 @@ def test_normalizing_twice_changes_nothing(spark):
 
 def test_without_fill_only_found_columns(spark):
     df = normalize(text(spark, ["date", "costInUsd", "other"], ("2024-01-01", "1", "z")), fill=False)
-    assert df.columns == ["ChargePeriodStart", "x_BilledCostInUsd", "date_raw"]
+    assert df.columns == ["BillingPeriodStart", "ChargePeriodStart", "x_BilledCostInUsd", "date_raw"]
 
 
 def moments(spark, *values):

@@ -92,5 +92,9 @@ def test_a_hot_month_is_written_by_many_tasks(spark, tmp_path):
 def test_settings_follow_the_data():
     small, large = settings_for(40_000_000, 8), settings_for(100 * 10**12, 4000)
     assert int(small["spark.sql.shuffle.partitions"]) == 16
-    assert int(large["spark.sql.shuffle.partitions"]) * TASK_BYTES >= 100 * 10**12
+    # 100 TB: map tasks times partitions stays below 10 ** 10 shuffle blocks
+    maps = 100 * 10**12 // int(large["spark.sql.files.maxPartitionBytes"])
+    assert 8000 <= int(large["spark.sql.shuffle.partitions"]) and maps * int(large["spark.sql.shuffle.partitions"]) < 10**10
+    whole = settings_for(10**12, 400, shuffled_bytes=10**12)
+    assert int(whole["spark.sql.shuffle.partitions"]) * TASK_BYTES >= 10**12
     assert int(large["spark.sql.files.maxPartitionBytes"]) == TASK_BYTES
