@@ -28,11 +28,13 @@ from costlens.scratch import scratch_dir  # noqa: E402
 from costlens.sources import views  # noqa: E402
 from costlens.sources.exports import (  # noqa: E402
     CSV_OPTIONS,
+    export_status,
     latest_runs,
     list_export_files,
     read_export,
 )
 from costlens.sources.normalize import declared, normalize  # noqa: E402
+from costlens.sources.schema import FOCUS_COLUMNS  # noqa: E402
 from costlens.sources.star import (  # noqa: E402
     FOCUS_STAR_COLUMNS,
     focus_rows,
@@ -328,6 +330,9 @@ def _exports(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
     scopes = {"scope-closed": (~is_open, "none"), "scope-open": (is_open, "gzip")}
     for run_day in RUN_DAYS:
         for scope, (belongs, compression) in scopes.items():
+            if scope == "scope-open" and run_day == RUN_DAYS[-1]:
+                # in odd months this export's last run is missing
+                belongs = belongs & (F.month(PERIOD) % 2 == 0)
             write_mtd_history(
                 rows.filter(belongs),
                 f"{root}/{scope}",
@@ -339,12 +344,29 @@ def _exports(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
 
 
 def _export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_export_files(spark, _exports(spark, sf_dir)).select("export_period", "run").distinct()
+    return _exports_by_run(list_export_files(spark, _exports(spark, sf_dir)))
+
+
+def _exports_by_run(files: DataFrame) -> DataFrame:
+    return files.groupBy("export_period", "run").agg(F.count_distinct("export_scope").alias("exports"))
 
 
 def _export_latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = latest_runs(list_export_files(spark, _exports(spark, sf_dir), "daily-focus-cost"))
-    return runs.select("export_period", "run").distinct()
+    return _exports_by_run(runs)
+
+
+def _export_latest_run_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one newest run of each export, whatever its period."""
+    runs = latest_runs(list_export_files(spark, _exports(spark, sf_dir)), mode="global")
+    return runs.select("run", F.element_at(F.split("export_scope", "/"), -2).alias("export"))
+
+
+def _export_settled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No run counts as settled when a thousand days must have passed."""
+    files = list_export_files(spark, _exports(spark, sf_dir))
+    waiting = latest_runs(files, settle_seconds=86_400_000).agg(F.count("*").alias("settled_late"))
+    return waiting.crossJoin(latest_runs(files, settle_seconds=0).agg(F.count("*").alias("settled_now")))
 
 
 def _export_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,7 +390,11 @@ def _export_declared_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         declared(read_export(spark, _exports(spark, sf_dir)))
         .groupBy("ChargeCategory")
-        .agg(F.count("*").alias("RowCount"), total(money("BilledCost")).alias("TotalCost"))
+        .agg(
+            F.count("*").alias("RowCount"),
+            total(money("BilledCost")).alias("TotalCost"),
+            *[F.count(c).alias(f"n_{c}") for c in FOCUS_COLUMNS],
+        )
     )
 
 
@@ -413,6 +439,65 @@ def _ingest_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _month_totals(read_table(spark, f"{work}/table", ingested=True))
 
 
+def _ingested_month_over_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _exports(spark, sf_dir)[0].rsplit("/", 1)[0]
+    work = scratch_dir(spark, "ingest")
+    ingest_exports(spark, root, f"{work}/table", f"{work}/checkpoint").awaitTermination()
+    since = date.fromisoformat(_LAST_MONTH[:10])
+    return focus.month_over_month(read_table(spark, f"{work}/table", ingested=True, since=since), AS_OF)
+
+
+def _ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first load, a newer run of even months, then a run that empties one month."""
+    work = scratch_dir(spark, "incremental")
+    lake, table, checkpoint = (f"{work}/{x}" for x in ("lake", "table", "checkpoint"))
+    rows = focus_rows(spark, sf_dir, FOCUS_STAR_COLUMNS)
+
+    def ingest() -> None:
+        ingest_exports(spark, lake, table, checkpoint).awaitTermination()
+
+    write_mtd_history(rows, lake, "daily", 15)
+    ingest()
+    write_mtd_history(rows.filter(F.month(PERIOD) % 2 == 0), lake, "daily", 31)
+    ingest()
+    month = f"{_THIS_MONTH:%Y%m%d}-{_THIS_MONTH:%Y%m}31"
+    header = spark.createDataFrame([FOCUS_STAR_COLUMNS], ", ".join(f"`{c}` string" for c in FOCUS_STAR_COLUMNS))
+    header.coalesce(1).write.csv(f"{lake}/daily/daterange={month}/run=99")
+    ingest()
+    return _month_totals(read_table(spark, table, ingested=True))
+
+
+def _export_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export with files, and one that still waits for its first."""
+    delivered = _exports(spark, sf_dir)[0]
+    rows = [export_status(spark, delivered, "c", name, AS_OF) for name in ("daily-focus-cost", "none-yet")]
+    return rows[0].union(rows[1]).select("Status", "Message", "Container", "ExpectedPattern", "NextStep", "CheckedAt")
+
+
+def _drop_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views.publish_view(focus_rows(spark, sf_dir, COUNTED), "passing_data")
+    counted = views.row_count(spark.table("passing_data")).first()["row_count"]
+    dropped = [views.drop_view(spark, "passing_data") for _ in range(2)]
+    return spark.createDataFrame(
+        [(counted, *dropped, spark.catalog.tableExists("passing_data"))],
+        "row_count bigint, dropped boolean, dropped_again boolean, still_there boolean",
+    )
+
+
+def _list_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default database is listed, with the charges a view in it has."""
+    count = views.row_count(focus_rows(spark, sf_dir, COUNTED))
+    return views.list_databases(spark).where("database_name = 'default'").crossJoin(count)
+
+
+def _preview_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten rows, each of which is in the source."""
+    rows = focus_rows(spark, sf_dir, [PERIOD, "ResourceId", *COSTS])
+    shown = views.preview(rows)
+    found = shown.join(rows.distinct(), [PERIOD, "ResourceId", *COSTS], "left_semi")
+    return found.agg(F.count("*").alias("rows_found"))
+
+
 # -- contract --------------------------------------------------------------------
 
 
@@ -460,6 +545,14 @@ def billing_queries() -> dict[str, Query]:
         "typed_table": _typed_table,
         "typed_table_month_over_month": _typed_table_month_over_month,
         "ingest_exports": _ingest_exports,
+        "ingest_incremental": _ingest_incremental,
+        "ingested_month_over_month": _ingested_month_over_month,
+        "export_latest_run_overall": _export_latest_run_overall,
+        "export_settled_runs": _export_settled_runs,
+        "export_status": _export_status,
+        "drop_view": _drop_view,
+        "list_databases": _list_databases,
+        "preview_contained": _preview_contained,
     }
     return {name: _in_utc(query) for name, query in registered.items()}
 

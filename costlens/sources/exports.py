@@ -16,6 +16,7 @@ where ``<daterange>`` is ``YYYYMMDD-YYYYMMDD``.  A segment may carry a
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date
@@ -27,12 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from costlens.functions.columns import AsOf, instant
-from costlens.sources.schema import EXPORT_PERIOD, EXPORT_SCOPE, RAW_SCHEMA
+from costlens.sources.schema import EXPORT_PERIOD, EXPORT_SCOPE, FLAT_PERIOD, RAW_SCHEMA
 
 CSV_GLOB = "*.csv*"
-FLAT_PERIOD = "current"
-# Header jobs submitted at a time.
-HEADER_JOBS = 16
+# Folders looked for at a time when one is missing.
+ROOT_PROBES = 16
 
 # <scope>/<daterange>/[<run>/...]<file>; the last date range of a path counts.
 _DATED = r"^(.*)/(?:[^/=]+=)?(\d{8})-\d{8}/"
@@ -72,8 +72,8 @@ def _as_list(paths: str | Iterable[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
-def _csv_files(spark: SparkSession, folders: list[str]) -> DataFrame | None:
-    """Listing of the CSV files below the folders that exist; None when none does."""
+def _listing(spark: SparkSession, folders: list[str]) -> DataFrame | None:
+    """Listing of the CSV files below the folders; None when one does not exist."""
     try:
         return (
             spark.read.format("binaryFile")
@@ -84,27 +84,49 @@ def _csv_files(spark: SparkSession, folders: list[str]) -> DataFrame | None:
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    if len(folders) == 1:
         return None
-    found = [f for f in folders if _csv_files(spark, [f]) is not None]
-    return _csv_files(spark, found) if found else None
+
+
+def _csv_files(spark: SparkSession, folders: list[str], missing_ok: bool) -> DataFrame | None:
+    """Listing of the CSV files below the folders; None when none of them exists."""
+    files = _listing(spark, folders)
+    if files is not None:
+        return files
+    with ThreadPoolExecutor(ROOT_PROBES) as pool:
+        exists = list(pool.map(lambda f: _listing(spark, [f]) is not None, folders))
+    missing = [f for f, there in zip(folders, exists) if not there]
+    if missing and not missing_ok:
+        raise FileNotFoundError(f"export folders do not exist: {missing}")
+    found = [f for f in folders if f not in missing]
+    return _listing(spark, found) if found else None
+
+
+def literal(path: str) -> str:
+    """A listed path as a pattern that matches only itself."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
 def list_export_files(
-    spark: SparkSession, roots: str | Iterable[str], export_name: str | None = None
+    spark: SparkSession,
+    roots: str | Iterable[str],
+    export_name: str | None = None,
+    missing_ok: bool = False,
 ) -> DataFrame:
     """One row per CSV file under the roots, without reading any content (O-03, O-04, O-08).
 
-    A root that does not exist contributes no rows.
+    Roots may be patterns.  One that does not exist is an error, or with
+    ``missing_ok`` contributes no rows.
     """
     below = f"/{export_name}" if export_name else ""
-    files = _csv_files(spark, [f"{root.rstrip('/')}{below}" for root in _as_list(roots)])
+    folders = [f"{root.rstrip('/')}{below}" for root in _as_list(roots)]
+    files = _csv_files(spark, folders, missing_ok)
     if files is None:
         return spark.createDataFrame([], LISTING)
     files = files.select(
         F.col("_metadata.file_path").alias("file"), "path", "modificationTime", "length"
     )
     run_dir = F.regexp_extract("path", _RUN_DIR, 1)
+    escaped = lambda c: F.regexp_replace(c, r"([\\{}\[\]*?])", r"\\$1")
     return files.select(
         "*",
         scope_of("file").alias(EXPORT_SCOPE),
@@ -112,8 +134,8 @@ def list_export_files(
         F.regexp_extract("file", _RUN, 1).alias("run"),
         # Files outside a run folder are addressed one level deep, so that reading
         # them does not descend into dated folders beside them.
-        F.when(run_dir != "", run_dir)
-        .otherwise(F.concat(F.regexp_extract("path", _PARENT, 1), F.lit("/" + CSV_GLOB)))
+        F.when(run_dir != "", escaped(run_dir))
+        .otherwise(F.concat(escaped(F.regexp_extract("path", _PARENT, 1)), F.lit("/" + CSV_GLOB)))
         .alias("run_path"),
     )
 
@@ -142,8 +164,10 @@ def latest_runs(
         F.max("modificationTime").alias("modified"),
         F.count("*").alias("files"),
         F.sum("length").alias("bytes"),
-        # The part to take the header from: the one least likely to be empty.
-        F.max_by("path", F.struct("length", "path")).alias("sample"),
+        # The part to take the header from: the least to read.
+        F.min_by(
+            F.struct("path", "file"), F.when(F.col("length") > 0, F.struct("length", "path"))
+        ).alias("sample"),
     )
     if settle_seconds:
         settled = instant(as_of) - F.make_dt_interval(secs=F.lit(settle_seconds))
@@ -153,39 +177,60 @@ def latest_runs(
     return runs.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(newest.alias("r")).select("r.*")
 
 
-def _layouts(spark: SparkSession, runs: Sequence[Row]) -> dict[tuple[str, ...], list[Row]]:
-    """Runs by header, so that one reader serves all runs of one layout.
+def _first_lines(spark: SparkSession, paths: list[str], whole_runs: bool = False) -> dict[str, str]:
+    """First line with text of each file, in one job whatever the number of files."""
+    lines = (
+        spark.read.option("recursiveFileLookup", whole_runs)
+        .option("pathGlobFilter", CSV_GLOB)
+        .text(paths)
+        .select(
+            "value",
+            F.col("_metadata.file_path").alias("file"),
+            F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"),
+        )
+        .filter("trim(value) != ''")
+    )
+    first = lines.groupBy("file").agg(F.min_by("value", "place").alias("line"))
+    return {r["file"]: r["line"] for r in first.collect()}  # one row per run
 
-    The first line of one part per run is fetched; a LIMIT 1 opens a file and
-    stops, whatever its size, so this costs one tiny job per run and no scan.
-    Runs without any text have no rows and are left out.
-    """
 
-    def first_line(run: Row) -> Row | None:
-        return spark.read.text(run["sample"]).filter("trim(value) != ''").first()
+def layouts_of(spark: SparkSession, runs: Sequence[Row]) -> dict[tuple[str, ...], list[Row]]:
+    """Runs by header, so that one reader serves all runs of one layout.
 
-    runs = sorted(runs, key=lambda r: r["run_path"])
+    The headers of all runs' smallest parts are read in one job; only runs whose
+    smallest part has blank lines alone are looked at whole.  Runs without any text
+    have no rows and are left out.
+    """
+    runs = sorted((r for r in runs if r["sample"]), key=lambda r: r["run_path"])
+    if not runs:
+        return {}
+    lines = _first_lines(spark, [literal(r["sample"]["path"]) for r in runs])
+    blank = [r for r in runs if r["sample"]["file"] not in lines]
+    others = _first_lines(spark, [r["run_path"] for r in blank], True) if blank else {}
     layouts: dict[tuple[str, ...], list[Row]] = {}
-    with ThreadPoolExecutor(HEADER_JOBS) as pool:
-        for run, line in zip(runs, pool.map(first_line, runs)):
-            if line:
-                columns = tuple(next(csv.reader([line["value"].lstrip("\ufeff")])))
-                layouts.setdefault(columns, []).append(run)
+    for run in runs:
+        file = run["sample"]["file"]
+        home = re.match(_RUN_DIR, file)
+        below = f"{home[1] if home else file.rpartition('/')[0]}/"
+        line = lines.get(file) or next((x for f, x in sorted(others.items()) if f.startswith(below)), None)
+        if line:
+            columns = tuple(next(csv.reader([line.lstrip("\ufeff")])))
+            layouts.setdefault(columns, []).append(run)
     return layouts
 
 
-def _with_origin(rows: DataFrame, scope: str, flat: bool) -> DataFrame:
+def _with_origin(rows: DataFrame, depth: int, flat: bool) -> DataFrame:
     """Name the export and period of every row.
 
-    The scope is known, so the period is cut from the path by position; a
-    pattern match per row would cost more than parsing the row.
+    All scopes have ``depth`` path segments, so both are cut from the path by
+    position; a pattern match per row would cost more than parsing the row.
     """
-    folder = F.substring_index(
-        F.substr("_metadata.file_path", F.lit(len(scope) + 2)), "/", 1
-    )
+    file = F.col("_metadata.file_path")
+    folder = F.substring_index(F.substring_index(file, "/", depth + 1), "/", -1)
     # The folder ends in YYYYMMDD-YYYYMMDD.
     period = F.lit(FLAT_PERIOD) if flat else F.left(F.right(folder, F.lit(17)), F.lit(8))
-    return rows.select("*", F.lit(scope).alias(EXPORT_SCOPE), period.alias(EXPORT_PERIOD))
+    scope = F.substring_index(file, "/", depth)
+    return rows.select("*", scope.alias(EXPORT_SCOPE), period.alias(EXPORT_PERIOD))
 
 
 def read_runs(
@@ -193,13 +238,15 @@ def read_runs(
     runs: Sequence[Row],
     multi_line: bool = False,
     lineage: bool = False,
+    layouts: dict[tuple[str, ...], list[Row]] | None = None,
 ) -> DataFrame:
     """All rows of the given runs as text, bound by column *name* (O-01, O-12, O-20).
 
     Spark binds a CSV schema by position, so runs are grouped by their header and
     each group is read with its own column order.  ``enforceSchema=False`` makes a
     stray part with another header fail instead of shifting columns.  Compressed
-    parts are read as they are.  ``lineage`` adds the export and period.
+    parts are read as they are.  ``lineage`` adds the export and period; the plan has
+    one scan per layout and depth of folders, not one per export.
     """
 
     def read(columns: tuple[str, ...], group: list[Row]) -> DataFrame:
@@ -214,13 +261,13 @@ def read_runs(
         )
 
     parts = []
-    for columns, group in _layouts(spark, runs).items():
+    for columns, group in (layouts_of(spark, runs) if layouts is None else layouts).items():
         if not lineage:
             parts.append(read(columns, group))
             continue
-        origins: dict[tuple[str, bool], list[Row]] = {}
+        origins: dict[tuple[int, bool], list[Row]] = {}
         for r in group:
-            key = (r[EXPORT_SCOPE], r[EXPORT_PERIOD] == FLAT_PERIOD)
+            key = (r[EXPORT_SCOPE].count("/") + 1, r[EXPORT_PERIOD] == FLAT_PERIOD)
             origins.setdefault(key, []).append(r)
         parts += [_with_origin(read(columns, rs), *origin) for origin, rs in origins.items()]
     if not parts:
@@ -241,13 +288,15 @@ def read_export(
     since: date | None = None,
     multi_line: bool = False,
     lineage: bool = False,
+    missing_ok: bool = False,
 ) -> DataFrame:
     """The latest data of one or several exports as text columns (O-01 .. O-08).
 
     Only run folders reach the driver: one row per export and billing period.
-    A missing or empty folder gives an empty frame with the declared columns.
+    An empty folder, or with ``missing_ok`` a missing one, gives an empty frame with the
+    declared columns.
     """
-    files = list_export_files(spark, roots, export_name)
+    files = list_export_files(spark, roots, export_name, missing_ok)
     runs = latest_runs(files, mode, settle_seconds, as_of, since).collect()
     return read_runs(spark, runs, multi_line, lineage)
 
@@ -260,7 +309,7 @@ def export_status(
     as_of: AsOf = None,
 ) -> DataFrame:
     """One row saying what is awaited while an export has no files yet (O-14)."""
-    waiting = list_export_files(spark, root, export_name).limit(1).count() == 0
+    waiting = list_export_files(spark, root, export_name, missing_ok=True).limit(1).count() == 0
     # The texts shown before and after the first delivery.
     status = "No billing data available yet" if waiting else "Billing data available"
     message = (

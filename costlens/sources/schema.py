@@ -140,6 +140,8 @@ DATE_RAW = "date_raw"
 # Where a row came from; present on ingested tables.
 EXPORT_SCOPE = "export_scope"
 EXPORT_PERIOD = "export_period"
+# The export period of a folder without date range.
+FLAT_PERIOD = "current"
 
 
 def silver_type(name: str):

@@ -3,82 +3,160 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import datetime
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from costlens.functions.columns import AsOf
 from costlens.sources.exports import (
     CSV_GLOB,
-    FLAT_PERIOD,
     latest_runs,
+    layouts_of,
     list_export_files,
+    literal,
     period_of,
     read_runs,
     scope_of,
 )
 from costlens.sources.normalize import normalize
-from costlens.sources.schema import EXPORT_PERIOD, EXPORT_SCOPE
+from costlens.sources.schema import EXPORT_PERIOD, EXPORT_SCOPE, FLAT_PERIOD
 from costlens.sources.tables import read_table, write_table
 
-# No part this small on average can be ruled out to be a header alone.
-HEADER_BYTES = 8 * 1024
 # The columns of a file listing source.
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
+_KEYS = [EXPORT_SCOPE, EXPORT_PERIOD]
+_PENDING = f"{EXPORT_SCOPE} string, {EXPORT_PERIOD} string, at timestamp, waits boolean"
+_VERSIONS = f"{EXPORT_SCOPE} string, path string, modificationTime timestamp"
 
+Key = tuple[str, str]
 
-def _clear_emptied(spark: SparkSession, table: str, runs: list[Row]) -> None:
-    """Empty the partitions whose newest run holds a header at most.
 
-    Overwriting partitions by their rows cannot do that.  Only runs small enough to
-    be that are looked into.
+def _key(r: Row) -> Key:
+    return r[EXPORT_SCOPE], r[EXPORT_PERIOD]
+
+
+def _clear(spark: SparkSession, table: str, emptied: set[Key]) -> None:
+    """Empty the partitions of periods whose newest run has no rows.
+
+    Overwriting partitions by their rows cannot do that.
     """
-    small = [r for r in runs if r["bytes"] <= r["files"] * HEADER_BYTES]
-    if not small:
-        return
-    keys = [EXPORT_SCOPE, EXPORT_PERIOD]
-    filled = {tuple(k) for k in read_runs(spark, small, lineage=True).select(keys).distinct().collect()}
-    emptied = {(r[EXPORT_SCOPE], r[EXPORT_PERIOD]) for r in small} - filled
-    if not emptied:
-        return
     rows = read_table(spark, table, ingested=True)
-    stale = rows.filter(F.struct(*keys).isin([F.struct(F.lit(s), F.lit(p)) for s, p in emptied]))
-    folders = stale.select(
-        F.regexp_extract("_metadata.file_path", "^(.*)/[^/]+$", 1).alias("folder")
-    ).distinct()
-    nothing = spark.createDataFrame([], rows.drop(*keys).schema)
+    keys = spark.createDataFrame(sorted(emptied), f"{EXPORT_SCOPE} string, {EXPORT_PERIOD} string")
+    folder = F.regexp_extract("_metadata.file_path", "^(.*)/[^/]+$", 1).alias("folder")
+    stale = rows.select(*_KEYS, folder).join(F.broadcast(keys), _KEYS)  # periods of one batch
+    folders = stale.select("folder").distinct()
+    nothing = spark.createDataFrame([], rows.drop(*_KEYS).schema)
     for r in folders.collect():
         nothing.write.mode("overwrite").parquet(unquote(r["folder"]))
 
 
 def refresh_periods(
-    arrivals: DataFrame, table: str, date_formats: Iterable[str] = ()
-) -> None:
+    arrivals: DataFrame,
+    table: str,
+    date_formats: Iterable[str] = (),
+    settle_seconds: int = 0,
+    as_of: AsOf = None,
+) -> set[Key]:
     """Rewrite the table partitions of every (export, period) named in ``arrivals``.
 
     What is written depends only on the full listing of those periods: the parts of
     a run may arrive in different batches, a late older run does not replace a
-    newer one, and repeating a batch after a failure gives the same table.
+    newer one, and repeating a batch after a failure gives the same table.  A run
+    touched within ``settle_seconds`` may be half written: the one before it stays, and
+    its key is returned, because no new file may ever ask for it again.
     """
     spark = arrivals.sparkSession
-    touched = arrivals.select(EXPORT_SCOPE, EXPORT_PERIOD).distinct().collect()
+    # Only exports x periods reach the driver, never a row or file name.
+    touched = {_key(r) for r in arrivals.select(*_KEYS).distinct().collect()}
     if not touched:
-        return
+        return set()
     folders = set()
     for scope, period in touched:
-        folder = unquote(scope)
+        folder = literal(unquote(scope))
         folders.add(folder if period == FLAT_PERIOD else f"{folder}/*{period}-*")
-    # Only exports x periods reach the driver, never a row or file name.
-    wanted = {(r[EXPORT_SCOPE], r[EXPORT_PERIOD]) for r in touched}
-    runs = [
-        r
-        for r in latest_runs(list_export_files(spark, sorted(folders))).collect()
-        if (r[EXPORT_SCOPE], r[EXPORT_PERIOD]) in wanted
-    ]
-    rows = normalize(read_runs(spark, runs, lineage=True), date_formats, fill=False)
-    write_table(rows, table, (EXPORT_SCOPE, EXPORT_PERIOD))
-    _clear_emptied(spark, table, runs)
+    files = list_export_files(spark, sorted(folders))
+    newest = [r for r in latest_runs(files).collect() if _key(r) in touched]
+    runs = newest
+    if settle_seconds:
+        settled = latest_runs(files, settle_seconds=settle_seconds, as_of=as_of)
+        runs = [r for r in settled.collect() if _key(r) in touched]
+    chosen = {_key(r): r["run_path"] for r in runs}
+    waiting = {_key(r) for r in newest if chosen.get(_key(r)) != r["run_path"]}
+    if not runs:
+        return waiting
+    layouts = layouts_of(spark, runs)
+    rows = normalize(read_runs(spark, runs, lineage=True, layouts=layouts), date_formats, fill=False)
+    filled: set[Key] = set()
+    if layouts:
+        # Which keys got rows is learnt from the write itself.
+        seen = Observation()
+        watched = rows.observe(seen, F.collect_set(F.struct(*_KEYS)).alias("keys"))
+        write_table(watched, table, tuple(_KEYS))
+        try:
+            filled = {_key(k) for k in seen.get["keys"]}
+        except Py4JJavaError:
+            # A plan that Spark finds to be empty while it runs reports nothing.
+            if not rows.isEmpty():
+                raise
+    else:
+        write_table(rows, table, tuple(_KEYS))
+    emptied = set(chosen) - filled
+    if emptied:
+        _clear(spark, table, emptied)
+    return waiting
+
+
+class _State:
+    """What the stream's own checkpoint can't know, as two append-only tables beside it."""
+
+    def __init__(self, spark: SparkSession, checkpoint: str):
+        self.spark = spark
+        self.home = f"{checkpoint.rstrip('/')}-state"
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.home}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def pending(self) -> set[Key]:
+        """Keys whose newest run was passed over when they were last refreshed."""
+        last = F.max_by("waits", "at").alias("waits")
+        rows = self._table("pending", _PENDING).groupBy(*_KEYS).agg(last).where("waits")
+        return {_key(r) for r in rows.collect()}
+
+    def note(self, refreshed: set[Key], waiting: set[Key]) -> None:
+        """Remember who waits; who no longer does is noted too."""
+        now = datetime.now()
+        news = [(*k, now, k in waiting) for k in sorted(refreshed & (self.pending() | waiting))]
+        if news:
+            rows = self.spark.createDataFrame(news, _PENDING).coalesce(1)
+            rows.write.mode("append").parquet(f"{self.home}/pending")
+
+    def overwritten(self, root: str) -> set[Key]:
+        """Folders without date range of which a known file has another time now."""
+        files = list_export_files(self.spark, root, missing_ok=True)
+        flat = files.where(F.col(EXPORT_PERIOD) == FLAT_PERIOD).select(EXPORT_SCOPE, "path", "modificationTime")
+        known = self._table("flat", _VERSIONS)
+        news = flat.join(known, ["path", "modificationTime"], "left_anti").select(*flat.columns)
+        changed = news.join(known.select("path").distinct(), "path", "left_semi")
+        keys = {(r[EXPORT_SCOPE], FLAT_PERIOD) for r in changed.select(EXPORT_SCOPE).distinct().collect()}
+        if not news.isEmpty():
+            self._new_versions = news
+        return keys
+
+    def keep_versions(self) -> None:
+        """Called once the overwritten folders are in the table."""
+        news = getattr(self, "_new_versions", None)
+        if news is not None:
+            news.write.mode("append").parquet(f"{self.home}/flat")
 
 
 def ingest_exports(
@@ -87,14 +165,29 @@ def ingest_exports(
     table: str,
     checkpoint: str,
     date_formats: Iterable[str] = (),
+    settle_seconds: int = 0,
+    as_of: AsOf = None,
 ) -> StreamingQuery:
     """Process the files that arrived since the last call, then stop (ST-01).
 
     The stream only says *which* periods changed; it reads no file content.  The
     table is partitioned by export and period, so a changed month is replaced
-    without touching the others.  The caller waits with ``awaitTermination()``.
+    without touching the others.  Files that a reseller's export overwrites in place
+    are found by their time, and runs passed over as unsettled are tried again, both
+    before the stream starts.  The caller waits with ``awaitTermination()``.
     """
     formats = tuple(date_formats)
+    state = _State(spark, checkpoint)
+
+    def refresh(keys: DataFrame, session: SparkSession = spark) -> None:
+        waiting = refresh_periods(keys, table, formats, settle_seconds, as_of)
+        touched = {_key(r) for r in keys.select(*_KEYS).distinct().collect()}
+        _State(session, checkpoint).note(touched, waiting)
+
+    again = state.pending() | state.overwritten(root)
+    if again:
+        refresh(spark.createDataFrame(sorted(again), f"{EXPORT_SCOPE} string, {EXPORT_PERIOD} string"))
+    state.keep_versions()
     arrivals = (
         spark.readStream.format("binaryFile")
         .schema(_FILES)
@@ -107,7 +200,7 @@ def ingest_exports(
         )
     )
     return (
-        arrivals.writeStream.foreachBatch(lambda batch, _: refresh_periods(batch, table, formats))
+        arrivals.writeStream.foreachBatch(lambda batch, _: refresh(batch, batch.sparkSession))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

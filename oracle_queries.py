@@ -6,6 +6,8 @@ reporting moment of the registered queries.
 
 from __future__ import annotations
 
+from costlens.sources.schema import FOCUS_COLUMNS
+
 AS_OF = "2001-10-15 00:00:00"
 TENANT = "t-5"
 
@@ -148,11 +150,41 @@ _MONTH_OVER_MONTH = _focus(f"""
              ELSE 0.0::DOUBLE END AS PercentChange
     FROM cur FULL OUTER JOIN prev ON cur.n = prev.n""")
 
+_STAR_COLUMNS = (
+    "BillingPeriodStart", "ChargePeriodStart", "SubAccountId", "SubAccountName", "ServiceCategory",
+    "ServiceName", "ResourceId", "ResourceName", "ResourceType", "RegionName", "x_ResourceGroupName",
+    "BillingCurrency", "ListCost", "EffectiveCost", "ContractedCost", "BilledCost", "ConsumedQuantity",
+    "ConsumedUnit", "ChargeCategory", "PricingCategory", "CommitmentDiscountId", "Tags",
+)
+# All declared columns; those the star doesn't have are empty.
+_COUNTS = ", ".join(
+    (f"COUNT({c})" if c in _STAR_COLUMNS else "CAST(0 AS BIGINT)") + f' AS "n_{c}"' for c in FOCUS_COLUMNS
+)
+
 _DAILY_ROWS = """
     SELECT BillingPeriodStart, ChargePeriodStart, SubAccountId, SubAccountName, ServiceName, ResourceId,
         ResourceName, RegionName, BilledCost, EffectiveCost, ListCost, ConsumedQuantity, ChargeCategory, Tags
     FROM focus"""
 
+
+
+def _exported(sql: str) -> str:
+    """The charges that the newest runs of both exports hold."""
+    kept = """focus AS (
+    SELECT * FROM charges
+    WHERE NOT (ConsumedUnit = 'O' AND month(BillingPeriodStart) % 2 = 1 AND day(ChargePeriodStart) > 15)
+)"""
+    charges = _FOCUS.replace("focus AS (", "charges AS (", 1)
+    return sql.replace(_FOCUS, f"{charges},\n{kept}", 1)
+
+
+_RUNS = """
+    , runs AS (
+        SELECT strftime(BillingPeriodStart, '%Y%m%d') AS export_period, ConsumedUnit AS scope, r, run_day
+        FROM focus, (VALUES ('15', 15), ('31', 31)) AS runs(r, run_day)
+        WHERE day(ChargePeriodStart) <= run_day
+          AND NOT (run_day = 31 AND ConsumedUnit = 'O' AND month(BillingPeriodStart) % 2 = 1))"""
+
 _MONTH_TOTALS = _focus(f"""
     SELECT BillingPeriodStart, COUNT(*) AS "RowCount", {_sum("BilledCost", "TotalCost")},
         {_sum("ConsumedQuantity", "TotalUsage")}
@@ -333,16 +365,39 @@ ORACLE = {
     SELECT BillingPeriodStart, ChargePeriodStart, ResourceId, SubAccountId, BilledCost,
         ConsumedUnit AS export_scope, CAST(run_day AS INTEGER) AS run_day
     FROM marked WHERE run_day = newest"""),
-    "export_files": _focus("""
-    SELECT DISTINCT strftime(BillingPeriodStart, '%Y%m%d') AS export_period, 'run=' || r AS run
-    FROM focus, (VALUES ('15', 15), ('31', 31)) AS runs(r, run_day)
-    WHERE day(ChargePeriodStart) <= run_day"""),
-    "export_latest_runs": _focus("""
-    SELECT DISTINCT strftime(BillingPeriodStart, '%Y%m%d') AS export_period, 'run=31' AS run FROM focus"""),
-    "export_round_trip": _focus(_DAILY_ROWS),
-    "export_declared_columns": _focus(f"""
-    SELECT ChargeCategory, COUNT(*) AS "RowCount", {_sum("BilledCost", "TotalCost")}
-    FROM focus GROUP BY ChargeCategory"""),
+    "export_files": _focus(f"""{_RUNS}
+    SELECT export_period, 'run=' || r AS run, COUNT(DISTINCT scope) AS exports FROM runs GROUP BY export_period, r"""),
+    "export_latest_runs": _focus(f"""{_RUNS}
+    SELECT export_period, 'run=' || r AS run, COUNT(*) AS exports
+    FROM (SELECT export_period, scope, MAX(r) AS r FROM runs GROUP BY export_period, scope)
+    GROUP BY export_period, r"""),
+    "export_latest_run_overall": _focus("""
+    SELECT DISTINCT 'run=31' AS run, CASE ConsumedUnit WHEN 'O' THEN 'scope-open' ELSE 'scope-closed' END AS export
+    FROM focus"""),
+    "export_settled_runs": _focus(f"""{_RUNS}
+    SELECT CAST(0 AS BIGINT) AS settled_late, COUNT(DISTINCT (export_period, scope)) AS settled_now FROM runs"""),
+    "export_round_trip": _exported(_focus(_DAILY_ROWS)),
+    "export_declared_columns": _exported(_focus(f"""
+    SELECT ChargeCategory, COUNT(*) AS "RowCount", {_sum("BilledCost", "TotalCost")}, {_COUNTS}
+    FROM focus GROUP BY ChargeCategory""")),
+    "export_status": f"""
+    SELECT 'Billing data available' AS "Status", 'Export files were found' AS "Message", 'c' AS "Container",
+        'daily-focus-cost/YYYYMMDD-YYYYMMDD/GUID/*.csv' AS "ExpectedPattern", 'Read the export' AS "NextStep",
+        TIMESTAMP '{AS_OF}' AS "CheckedAt"
+    UNION ALL SELECT 'No billing data available yet', 'Waiting for billing export to complete', 'c',
+        'none-yet/YYYYMMDD-YYYYMMDD/GUID/*.csv', 'Read the export again once files exist', TIMESTAMP '{AS_OF}'""",
+    "drop_view": """
+    SELECT COUNT(*) AS row_count, TRUE AS dropped, FALSE AS dropped_again, FALSE AS still_there FROM lineitem""",
+    "list_databases": "SELECT 'default' AS database_name, COUNT(*) AS row_count FROM lineitem",
+    "preview_contained": "SELECT LEAST(COUNT(*), 10) AS rows_found FROM lineitem",
+    "ingest_incremental": _focus(f"""
+    SELECT BillingPeriodStart, COUNT(*) AS "RowCount", {_sum("BilledCost", "TotalCost")},
+        {_sum("ConsumedQuantity", "TotalUsage")}
+    FROM focus
+    WHERE (month(BillingPeriodStart) % 2 = 0 OR day(ChargePeriodStart) <= 15)
+      AND BillingPeriodStart <> date_trunc('month', TIMESTAMP '{AS_OF}')
+    GROUP BY BillingPeriodStart"""),
+    "ingested_month_over_month": _exported(_MONTH_OVER_MONTH),
     "export_month_to_date": _focus(f"""
     SELECT ChargePeriodStart, SubAccountId, ServiceName, ChargeCategory,
         CAST(SUM(BilledCost) AS DECIMAL(18,6)) AS BilledCost,
@@ -354,7 +409,7 @@ ORACLE = {
     "export_flat_legacy": _MONTHLY_TREND,
     "typed_table": _MONTH_TOTALS,
     "typed_table_month_over_month": _MONTH_OVER_MONTH,
-    "ingest_exports": _MONTH_TOTALS,
+    "ingest_exports": _exported(_MONTH_TOTALS),
     "row_count": 'SELECT COUNT(*) AS row_count FROM lineitem',
     "health_report": """
     SELECT 'database_exists' AS check_name, TRUE AS ok, CAST(NULL AS BIGINT) AS row_count

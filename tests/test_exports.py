@@ -17,7 +17,7 @@ from costlens.sources.exports import (
 )
 from costlens.sources.normalize import declared, normalize
 from costlens.sources.schema import CANONICAL_SCHEMA, FOCUS_COLUMNS
-from tests.helpers import put_csv
+from tests.helpers import plan_of, put_csv
 
 HEADER = ["ResourceId", "BilledCost", "ChargePeriodStart"]
 SEP, OCT = "20240901-20240930", "20241001-20241031"
@@ -153,9 +153,11 @@ def test_exports_and_roots_do_not_compete(spark, tmp_path):
     put_csv(tmp_path / "s1" / "e2" / SEP / "r1" / "x.csv", HEADER, [row("b")], age=50)
     put_csv(tmp_path / "s2" / "e1" / SEP / "r1" / "x.csv", HEADER, [row("c")])
     roots = [str(tmp_path / "s1"), str(tmp_path / "s2"), str(tmp_path / "absent")]
-    assert ids(read_export(spark, roots)) == ["a", "b", "c"]
-    assert ids(read_export(spark, roots, "e1")) == ["a", "c"]
-    df = read_export(spark, roots, lineage=True)
+    with pytest.raises(FileNotFoundError, match="absent"):
+        read_export(spark, roots)
+    assert ids(read_export(spark, roots, missing_ok=True)) == ["a", "b", "c"]
+    assert ids(read_export(spark, roots, "e1", missing_ok=True)) == ["a", "c"]
+    df = read_export(spark, roots, lineage=True, missing_ok=True)
     origin = {r["ResourceId"]: (r["export_scope"], r["export_period"]) for r in df.collect()}
     assert origin["c"][0].endswith("/s2/e1")
     assert {period for _, period in origin.values()} == {"20240901"}
@@ -226,7 +228,7 @@ def test_runs_of_empty_parts_have_no_rows(spark, tmp_path):
 def test_no_files_gives_an_empty_declared_frame(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     for root in (tmp_path / "absent", tmp_path / "empty"):
-        df = read_export(spark, str(root))
+        df = read_export(spark, str(root), missing_ok=True)
         assert df.columns == list(FOCUS_COLUMNS) and df.count() == 0
         assert normalize(df).schema == CANONICAL_SCHEMA
     put_csv(tmp_path / "header" / SEP / "r" / "p.csv", HEADER, [])
@@ -262,3 +264,39 @@ def test_period_of_paths_with_blanks(spark, tmp_path):
     put_csv(tmp_path / "my exports" / SEP / "r 1" / "p.csv", HEADER, [row("a")])
     df = read_export(spark, str(tmp_path), lineage=True)
     assert df.select(F.col("export_period")).first()[0] == "20240901"
+
+
+def test_folders_may_hold_pattern_characters(spark, tmp_path):
+    put_csv(tmp_path / "team [x]" / SEP / "r{1}" / "p.csv", HEADER, [row("a")])
+    put_csv(tmp_path / "flat*" / "p.csv", HEADER, [row("b")])
+    assert ids(read_export(spark, str(tmp_path))) == ["a", "b"]
+
+
+def test_header_of_a_run_whose_smallest_part_is_blank(spark, tmp_path):
+    put_csv(tmp_path / "e" / SEP / "r" / "p0.csv", None, [])
+    (tmp_path / "e" / SEP / "r" / "p0.csv").write_text("\n")
+    put_csv(tmp_path / "e" / SEP / "r" / "p1.csv", HEADER, [row("a")])
+    assert ids(read_export(spark, str(tmp_path))) == ["a"]
+
+
+def jobs_of(spark, action):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(group := f"g{id(action)}", "counted")
+    try:
+        df = action()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(tracker.getJobIdsForGroup(group)), df
+
+
+def test_many_runs_and_scopes_need_no_more_jobs_or_scans(spark, tmp_path):
+    seen = []
+    for n in (3, 40):
+        for i in range(n):
+            put_csv(tmp_path / f"t{n}" / f"scope{i}" / SEP / "r" / "p.csv", HEADER, [row(f"{i}")])
+        jobs, df = jobs_of(spark, lambda n=n: read_export(spark, str(tmp_path / f"t{n}"), lineage=True))
+        assert df.select("export_scope").distinct().count() == n
+        seen.append((jobs, plan_of(df).split("== Physical Plan ==")[1].count("FileScan csv")))
+    assert seen[0][1] == seen[1][1] == 1
+    # three listings, of files, headers and rows, may take a job each beyond 32 paths
+    assert seen[1][0] <= seen[0][0] + 3

@@ -5,6 +5,7 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from costlens.operators.dataset import as_dataset
@@ -317,6 +318,29 @@ def test_latest_snapshot_against_plain_python(spark, few_periods):
     assert "Window" not in physical(kept)
 
 
+def test_latest_snapshot_of_two_exports(spark):
+    rows = [("s1", "p", 1), ("s1", "p", 2), ("s2", "p", 1)]
+    df = spark.createDataFrame(rows, "export_scope string, BillingPeriodStart string, run int")
+    assert sorted(tuple(r) for r in latest_snapshot(df, "run").collect()) == [rows[1], rows[2]]
+
+
+def test_unused_resources_compare_ids_in_any_case(spark):
+    rows = [("2024-10-14", "1", "/Sub/VM1", "g"), ("2024-09-01", "1", "/sub/vm1", "g"), ("2024-09-01", "1", "x", "g")]
+    got = usage.unused_resources(billing(spark, USE, *rows), AS_OF, fold_case=True).collect()
+    assert [r["resourceId"] for r in got] == ["x"]
+
+
+def test_reports_fail_on_missing_columns(spark):
+    df = normalize(spark.createDataFrame([("2024-10-01", "1")], "date string, costInUsd string"), fill=False)
+    with pytest.raises(AnalysisException):
+        focus.cost_by_customer(df, AS_OF)
+
+
+def test_undeclared_columns_are_kept_on_request(spark):
+    df = normalize(spark.createDataFrame([("2024-10-01", "x")], "date string, myOwn string"), keep_others=True)
+    assert df.first()["myOwn"] == "x"
+
+
 def test_dataset_types(spark):
     df = billing(
         spark,

@@ -1,9 +1,11 @@
 """Writers, tables, views and incremental ingest."""
 
 import glob
-from datetime import date
+import re
+from datetime import date, datetime, timedelta, timezone
 from decimal import Decimal
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,6 +209,80 @@ def test_a_newest_run_without_rows_empties_its_month(spark, lake):
     assert ingest() == ["b", "c", "d"]
 
 
+def test_a_wide_header_alone_empties_its_month_too(spark, lake):
+    root, ingest = lake
+    put(root / "e" / SEP / "r1", "a", age=100)
+    assert ingest() == ["a"]
+    wide = [*HEADER, *[f"a_long_column_name_number_{i}" for i in range(400)]]
+    put_csv(root / "e" / SEP / "r2" / "part_0.csv", wide, [])
+    assert ingest() == []
+
+
+def test_a_half_written_run_waits(spark, tmp_path):
+    root, table = tmp_path / "lake", str(tmp_path / "table")
+
+    def ingest(as_of):
+        ingest_exports(
+            spark, str(root), table, str(tmp_path / "checkpoint"), settle_seconds=600, as_of=as_of
+        ).awaitTermination()
+        return sorted(r["ResourceId"] for r in read_table(spark, table, ingested=True).collect())
+
+    now = datetime.now(timezone.utc).replace(tzinfo=None)
+    put(root / "e" / SEP / "r1", "a", "b", age=3600)
+    assert ingest(now) == ["a", "b"]
+    put(root / "e" / SEP / "r2", "half")
+    assert ingest(now) == ["a", "b"]
+    # No new file arrives, yet the run is taken once it has settled.
+    assert ingest(now + timedelta(hours=1)) == ["half"]
+    assert ingest(now + timedelta(hours=1)) == ["half"]
+
+
+def test_files_overwritten_in_place(spark, lake):
+    root, ingest = lake
+    put(root / "flat", "a", age=100)
+    assert ingest() == ["a"]
+    put(root / "flat", "a", "b")
+    assert ingest() == ["a", "b"]
+    put(root / "flat", "c", age=-100)
+    assert ingest() == ["c"]
+
+
+def test_an_ingested_table_prunes(spark, lake, tmp_path):
+    root, ingest = lake
+    put(root / "e" / SEP / "r1", "a")
+    put(root / "e" / OCT / "r1", "b", month="10")
+    put(root / "flat", "f")
+    ingest()
+    recent = read_table(spark, str(tmp_path / "table"), ingested=True, since=date(2024, 10, 1))
+    assert sorted(r["ResourceId"] for r in recent.collect()) == ["b", "f"]
+    filters = re.search(r"PartitionFilters: \[(.*?)\]", physical(recent))[1]
+    assert "export_period" in filters
+
+
+def test_charge_days_have_statistics(spark, tmp_path):
+    write_table(charges(spark, *ROWS), str(tmp_path / "t"))
+    for file in (tmp_path / "t").rglob("*.parquet"):
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        column = next(
+            group.column(i) for i in range(group.num_columns) if group.column(i).path_in_schema == "ChargePeriodStart"
+        )
+        assert column.is_stats_set and column.statistics.has_min_max
+
+
+def test_hourly_rows_of_all_columns_become_daily(spark):
+    hours = [
+        {"ResourceId": "a", "ChargePeriodStart": f"2024-09-02T{h:02}:00:00Z", "BilledCost": "1",
+         "ChargePeriodEnd": f"2024-09-0{2 + (h + 1) // 24}T{(h + 1) % 24:02}:00:00Z", "x_PartnerCreditApplied": "True"}
+        for h in range(24)
+    ]
+    text = spark.createDataFrame(hours, ", ".join(f"{k} string" for k in hours[0]))
+    daily = to_daily(normalize(text))
+    (one,) = daily.collect()
+    assert len(daily.columns) >= 96 and one["BilledCost"] == 24 and one["x_PartnerCreditApplied"] == "True"
+    assert (str(one["ChargePeriodStart"]), str(one["ChargePeriodEnd"])) == ("2024-09-02 00:00:00", "2024-09-03 00:00:00")
+    assert one["date_raw"] == "2024-09-02"
+
+
 def test_first_ingest_of_an_empty_run(spark, lake):
     root, ingest = lake
     put(root / "e" / SEP / "r1")
