@@ -176,23 +176,32 @@ def encode_pieces(
     texts: list[str],
     known: dict[str, bytes],
     merge: Callable[[list[str]], Iterable[bytes]],
+    remembered: int = REMEMBERED,
 ) -> list[np.ndarray]:
     """Ids of each text; ``merge`` gives those of pieces not ``known`` yet, as 32-bit integers."""
-    joined = "".join(texts)
     edges = np.fromiter(accumulate(map(len, texts), initial=0), np.int64, len(texts) + 1)
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     begins = starts(points, edges[:-1][edges[:-1] < len(points)])
-    places = [*begins.tolist(), len(points)]
-    pieces = [joined[a:b] for a, b in zip(places, places[1:], strict=False)]
-    if len(known) > REMEMBERED:
+    pieces: list[str] = []
+    firsts = np.searchsorted(begins, edges)
+    for text, edge, a, b in zip(texts, edges.tolist(), firsts.tolist(), firsts[1:].tolist(), strict=False):
+        # cut from its own text: one of narrow characters is copied without a look at each
+        places = (begins[a:b] - edge).tolist()
+        places.append(len(text))
+        pieces += [text[i:j] for i, j in zip(places, places[1:], strict=False)]
+    if len(known) > remembered:
         known.clear()
-    new = list(set(pieces).difference(known))
-    known.update(zip(new, merge(new), strict=True))
-    merged = list(map(known.__getitem__, pieces))
+    merged = list(map(known.get, pieces))
+    unknown = [i for i, x in enumerate(merged) if x is None]
+    if unknown:
+        new = list({pieces[i] for i in unknown})
+        known.update(zip(new, merge(new), strict=True))
+        for i in unknown:
+            merged[i] = known[pieces[i]]
     counts = np.fromiter(map(len, merged), np.int64, len(merged)) // 4
     ids = np.frombuffer(b"".join(merged), "<i4")
     # pieces before each text's first one, then ids before it
-    cuts = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(begins, edges)]
+    cuts = np.concatenate([[0], np.cumsum(counts)])[firsts]
     return np.split(ids, cuts[1:-1])
 
 

@@ -29,6 +29,9 @@ from costlens.scratch import scratch_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
+#: Pieces whose ids a worker remembers (about 300 MB): asking the library costs more
+#: than all else that is done for a piece.
+REMEMBERED = 1_500_000
 #: Ids after which a shard is closed.
 SHARD_IDS = 1_000_000
 ROUNDS = 4
@@ -76,7 +79,7 @@ class Library:
         return [found[x] for x in pieces]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return bpe.encode_pieces(texts, self.known, self._new)
+        return bpe.encode_pieces(texts, self.known, self._new, REMEMBERED)
 
 
 @lru_cache(2)
