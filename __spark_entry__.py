@@ -343,6 +343,12 @@ def _exports(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
     return tuple(f"{root}/{scope}" for scope in scopes)
 
 
+def prepare_exports(spark: SparkSession, sf_dir: str) -> None:
+    """Write the exports that the export queries read, unless this session has them."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    _exports(spark, sf_dir)
+
+
 def _export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exports_by_run(list_export_files(spark, _exports(spark, sf_dir)))
 
