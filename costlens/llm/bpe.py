@@ -17,7 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import accumulate
@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from costlens.llm.common import portions
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Characters scanned at once, and pieces whose merges a worker remembers.
-CHARS_AT_ONCE = 1_000_000
+#: Pieces whose merges a worker remembers.
 REMEMBERED = 500_000
 #: Pieces of more bytes are merged with a heap; others side by side, so many at once.
 LONG_PIECE = 96
@@ -338,22 +339,6 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """Keys and texts, so many at a time that their characters stay bounded."""
-    for batch in batches:
-        keys, texts, size = [], [], 0
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = text.as_py() or ""
-            keys.append(key)
-            texts.append(text)
-            size += len(text)
-            if size >= CHARS_AT_ONCE:
-                yield keys, texts
-                keys, texts, size = [], [], 0
-        if keys:
-            yield keys, texts
-
-
 def _arrow(field: T.StructField) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

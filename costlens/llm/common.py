@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,25 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Characters a worker handles at once; one longer text is handled alone.
+CHARS_AT_ONCE = 1_000_000
+
+
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Keys and whole texts (null: empty) of Arrow batches, in portions of bounded length."""
+    for batch in batches:
+        keys, texts, size = [], [], 0
+        for key, text in zip(batch.column(0), batch.column(1), strict=True):
+            keys.append(key.as_py())
+            texts.append(text.as_py() or "")
+            size += len(texts[-1])
+            if size >= CHARS_AT_ONCE:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+        if keys:
+            yield keys, texts
+
+
 #: Positions of the filter that spares rows without a partner a shuffle.
 FILTER_BITS = 2**26
 

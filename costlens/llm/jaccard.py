@@ -28,15 +28,13 @@ gives no rows; only the named columns are read, so other columns may have any na
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costlens.llm.common import UPPER, maybe_in, stored
+from costlens.llm.common import UPPER, maybe_in, portions, stored
 
 WORDS = 5
 #: Two sets are linked when 100 * intersection >= LINK * union.
@@ -61,9 +59,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, ascending."""
-    words = [(x or "").encode().translate(LOWER).split() for x in texts]
+    words = [x.encode().translate(LOWER).split() for x in texts]
     counts = np.array([len(w) for w in words], np.int64)
     hashes = np.fromiter(
         (xxhash.xxh3_64_intdigest(w) for text in words for w in text), np.uint64, int(counts.sum())
@@ -88,21 +86,6 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return sets
 
 
-def _portions(batches: Iterator[pa.RecordBatch], size: int = 1_000_000):
-    """Ids and texts in portions of bounded length."""
-    for batch in batches:
-        ids, texts, chars = [], [], 0
-        for i, text in zip(batch.column(0), batch.column(1), strict=True):
-            ids.append(i.as_py())
-            texts.append(text.as_py())
-            chars += len(texts[-1] or "")
-            if chars >= size:
-                yield ids, texts
-                ids, texts, chars = [], [], 0
-        if ids:
-            yield ids, texts
-
-
 def _bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - COUNTED_BITS)).astype(np.int64)
 
@@ -115,7 +98,7 @@ def shingle_counts(docs: DataFrame) -> DataFrame:
     """Shingle buckets that several documents may share, with their counts."""
 
     def each(batches):
-        for _, texts in _portions(batches):
+        for _, texts in portions(batches):
             sets = shingle_sets(texts)
             if sets:
                 found, n = np.unique(_bucket(np.concatenate(sets)), return_counts=True)
@@ -153,7 +136,7 @@ def points(docs: DataFrame, counts: DataFrame) -> DataFrame:
 
     def each(batches):
         bits, often = shared_map.value, frequent.value
-        for ids, texts in _portions(batches):
+        for ids, texts in portions(batches):
             sizes, digests, most, regions = [], [], [], []
             for shingles in shingle_sets(texts):
                 n = len(shingles)
@@ -196,7 +179,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     some = some.join(nodes, some["doc_id"] == nodes["node"], "left_semi")
 
     def each(batches):
-        for ids, texts in _portions(batches):
+        for ids, texts in portions(batches):
             sets = [x.view(np.int64) for x in shingle_sets(texts)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"]

@@ -56,7 +56,7 @@ def features(text: str, recorded: int | None) -> tuple[np.ndarray, np.ndarray]:
     size = max(len(data), 1)
     letters = max(int(count[_UPPER].sum() + count[_LOWER].sum()), 1)
     hashes = np.fromiter(map(crc32, words), np.uint32, n)
-    buckets = np.bincount(hashes % WORD_FEATURES, minlength=0)
+    buckets = np.bincount(hashes % WORD_FEATURES)
     places = np.flatnonzero(buckets)
     values = np.log1p(buckets[places])
     values = values / max(float(np.sqrt((values**2).sum())), 1e-9)
@@ -81,7 +81,7 @@ def features(text: str, recorded: int | None) -> tuple[np.ndarray, np.ndarray]:
             float(n < 10),
         ]
     )
-    return np.concatenate([places]), np.concatenate([values, structure])
+    return places, np.concatenate([values, structure])
 
 
 @dataclass

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costlens.llm import bpe
+from costlens.llm.common import portions
 from costlens.scratch import scratch_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -95,7 +96,7 @@ def token_ids(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFra
         if tokenizer.size >= SYMBOLS:
             raise ValueError("the vocabulary leaves no room for rules in 16 bits")
         end = np.array([END], np.uint16)
-        for ids, texts in bpe.portions(batches):
+        for ids, texts in portions(batches):
             coded = [np.concatenate([x.astype("<u2"), end]).tobytes() for x in tokenizer.encode(texts)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(coded, pa.binary())], ["doc_id", "ids"]

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costlens.llm.common import let, stored, whole
+from costlens.llm.common import stored, whole
 
 
 def _either_case(word: str) -> str:
