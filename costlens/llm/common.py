@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -93,3 +95,58 @@ def maybe_in(rows: DataFrame, key: Column, partners: DataFrame, name: str) -> Da
     is_set = octet.cast("int").bitwiseAND(F.call_function("shiftleft", F.lit(1), place % 8)) != 0
     found = rows.join(F.broadcast(bits), F.bitmap_bucket_number(at(key)) == F.col("_bucket"), "left")
     return found.withColumn("maybe", F.coalesce(is_set, F.lit(False))).drop("_bucket", "_bits")
+
+
+#: Bytes of text that a part of an ordered table takes, about.
+PART_BYTES = 32 * 2**20
+#: Stands for a missing id in an order; it comes first.
+NO_ID = -(2**63)
+
+
+class Order:
+    """Cuts a table into parts that follow each other by id, then by the hash of the text.
+
+    The cuts are quantiles of the ids (one pass over ids and text lengths, one number
+    a part for the driver).  An id that fills several parts alone, or the missing
+    one, is cut further by the hash, so no part grows with one id's rows unless these
+    are equal.  There are as many parts as the text needs, and no fewer than
+    ``spark.sql.shuffle.partitions``.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        self.id = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
+        self.tie = F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+        size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+        least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(least, math.ceil(size / PART_BYTES))
+        steps = [i / parts for i in range(1, parts)]
+        at = docs.select(self.id.alias("id")).approxQuantile("id", steps, 0.1 / parts) if steps else []
+        most = 2**63 - 1
+        cuts = []
+        for bound, times in sorted(Counter(int(x) for x in at).items()):
+            if times > 1:  # its rows are parts of their own
+                cuts.append((max(bound - 1, NO_ID), most if bound > NO_ID else NO_ID))
+                cuts += [(bound, NO_ID + 2**64 * k // times) for k in range(1, times)]
+            cuts.append((bound, most))
+        self.cuts = sorted(set(cuts))
+
+    def _below(self, cuts: list[tuple[int, int]]) -> Column:
+        ids, ties = longs([c[0] for c in cuts]), longs([c[1] for c in cuts])
+        return F.arrays_zip(ids.alias("id"), ties.alias("tie"))
+
+    def part(self) -> Column:
+        """How many cuts lie below a row's place: first among every k-th, then among the k that follow."""
+        if not self.cuts:
+            return F.lit(0)
+        k = math.isqrt(len(self.cuts)) + 1
+        before = lambda c: (c["id"] < self.id) | ((c["id"] == self.id) & (c["tie"] < self.tie))
+        passed = F.size(F.filter(self._below(self.cuts[::k]), before))
+        rest = F.size(F.filter(F.slice(self._below(self.cuts), (F.greatest(passed, F.lit(1)) - 1) * k + 1, F.lit(k)), before))
+        return F.when(passed > 0, (passed - 1) * k + rest).otherwise(0)
+
+
+def longs(values: list[int]) -> Column:
+    """An array of fixed numbers, one literal whatever their count."""
+    if not values:
+        return F.array().cast("array<bigint>")
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")

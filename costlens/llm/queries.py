@@ -10,14 +10,17 @@ from costlens.llm import (
     chat,
     decontaminate,
     jaccard,
+    periodic,
+    prefix_trie,
     quality_fm,
     quality_rules,
     repair,
     secrets,
+    sketch,
     templates,
     warc,
 )
-from costlens.llm.common import table
+from costlens.llm.common import BLANKS, let, pieces, table, whole
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +113,77 @@ def op10_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.write_and_read(table(spark, sf_dir, "documents"))
 
 
+def _with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """Every tenth document (by the CRC-32 of its id) repeats a stretch of its words from some place on."""
+    code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    shift = F.floor(code / 10)
+
+    def repeated(words):
+        n = F.size(words)
+        a = (shift % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + shift % 8))).cast("int")
+        source = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        made = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, source(i)))
+        return F.when(n > 0, F.array_join(made, " "))
+
+    changed = F.when(code % 10 == 0, let(pieces(whole(F.col("text")), BLANKS), repeated))
+    return docs.select("doc_id", F.coalesce(changed, "text").alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(_with_periodic_tails(table(spark, sf_dir, "documents")))
+    best = F.col("best")
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))))
+    return found.withColumn("best", periodic.longest(F.col("runs"))).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+def _with_shared_beginnings(conversations: DataFrame) -> DataFrame:
+    """Every conversation c begins with the first turns of conversation c - c % 5."""
+    conv = F.col("conv_id").cast("long")
+    lists = prefix_trie.turn_lists(conversations, conv - conv % 5)
+    near = lists.groupBy("together").agg(F.collect_list(F.struct("conv_id", "turns")).alias("near"))
+    head = F.get(F.filter("near", lambda x: x["conv_id"] == F.col("together")), F.lit(0))["turns"]
+    none = F.array().cast(prefix_trie.TURNS)
+    each = near.select(F.coalesce(head, none).alias("head"), F.explode("near").alias("own"))
+    h = (F.crc32(F.col("own.conv_id").cast("string").cast("binary")) % 9).cast("int")
+    own, n = F.col("own.turns"), F.size("own.turns")
+    rest = F.when(n > h, F.slice(own, h + 1, n - h)).otherwise(none)
+    return each.select("own.conv_id", F.concat(F.slice("head", F.lit(1), h), rest).alias("turns"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_with_shared_beginnings(table(spark, sf_dir, "conversations")))
+
+
+def op13_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sketch.with_next(table(spark, sf_dir, "documents"))
+    found = found.withColumn("edited", sketch.edited(F.col("text"), F.col("next_text")))
+    found = found.withColumn("edited_print", sketch.fingerprint(sketch.sketch(F.col("edited"))))
+    own, other, following = (sketch.hashes_of(F.col(c)) for c in ("print", "edited_print", "next_print"))
+    return found.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.col("print").alias("fingerprint"),
+        F.col("edited_print").alias("edited_fingerprint"),
+        sketch.likeness(own, other).alias("near_edited"),
+        sketch.likeness(own, following).alias("near_next"),
+        sketch.containment(own, other).alias("contained_edited"),
+        sketch.containment(own, following).alias("contained_next"),
+    )
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_preference_format": op2_preference_format,
@@ -121,6 +195,9 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_repair_shards": op10_repair_shards,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_scaled_sketch": op13_scaled_sketch,
 }
 
 # -- SQL ---------------------------------------------------------------------------
@@ -248,6 +325,58 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN first <> page_id THEN first END AS refers_to
 FROM f""",
+    "op12_prefix_trie": """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER
+    (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id FROM t),
+-- CRC-32 of the decimal id, bit by bit
+h AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)),
+        lambda b, k: xor(b >> 1, 3988292384::BIGINT * (b & 1)))), 4294967295::BIGINT) % 9 AS h FROM ids),
+turns AS (SELECT h.conv_id, t.n, t.role, t.text FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 5 WHERE t.n <= h
+  UNION ALL SELECT h.conv_id, 1000000 + t.n, t.role, t.text FROM h JOIN t ON t.conv_id = h.conv_id WHERE t.n > h),
+told AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS d,
+    sha256(octet_length(encode(role)) || ':' || role || text) AS s, octet_length(encode(text)) AS bytes FROM turns),
+path AS (SELECT conv_id, list(s ORDER BY d) AS p FROM told GROUP BY conv_id),
+begun AS (SELECT conv_id, p, unnest(range(1, len(p) + 1)) AS d FROM path),
+member AS (SELECT b.conv_id, b.d, sha256(array_to_string(p[1:b.d], ',')) AS node,
+    CASE WHEN b.d > 1 THEN sha256(array_to_string(p[1:b.d - 1], ',')) ELSE 'root' END AS parent, bytes, len(p) = b.d AS last
+  FROM begun b JOIN told ON told.conv_id = b.conv_id AND told.d = b.d
+  UNION ALL SELECT conv_id, 0, 'root', NULL, 0, NOT EXISTS (SELECT 1 FROM path WHERE path.conv_id = ids.conv_id) FROM ids),
+nodes AS (SELECT node, any_value(parent) AS parent, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    any_value(bytes) AS bytes, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '') AS ends
+  FROM member GROUP BY node),
+kids AS (SELECT parent AS node, count(*) AS n FROM nodes GROUP BY parent),
+-- a node lies below those that its smallest member passes
+below AS (SELECT m.node, sum((x.n_convs - 1) * x.bytes)::BIGINT AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+  FROM nodes x JOIN member m ON m.conv_id = x.conv_id AND m.d <= x.depth LEFT JOIN kids ON kids.node = x.node
+  GROUP BY m.node)
+SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, coalesce(kids.n, 0) AS n_children,
+  leaves AS n_leaves, saved AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM nodes x LEFT JOIN nodes p ON p.node = x.parent LEFT JOIN kids ON kids.node = x.node JOIN below ON below.node = x.node""",
+    "op13_scaled_sketch": rf"""
+WITH o AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT o.r, o.doc_id, o.t, n.r AS nr, n.t AS nt FROM o JOIN o n ON n.r = o.r % (SELECT count(*) FROM o) + 1),
+e AS (SELECT *, left(t, length(t) - length(t) // 2) || left(nt, length(t) // 2) AS et FROM p),
+texts AS (SELECT r, 0 AS k, t FROM e UNION ALL SELECT r, 1, et FROM e),
+w AS (SELECT r, k, list_filter(regexp_split_to_array(
+    translate(t, '{_UPPER}', '{_UPPER.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM texts),
+h AS (SELECT DISTINCT r, k, left(md5(array_to_string(w[i:i + 4], ' ')), 16) AS h
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+f AS (SELECT r, k, coalesce(list(h ORDER BY h) FILTER (h < '{int(sketch.SHARE * 2**64):016x}'), [min(h)]) AS f
+  FROM h GROUP BY r, k),
+g AS (SELECT e.*, coalesce(a.f, []) AS own, coalesce(b.f, []) AS edited, coalesce(c.f, []) AS following FROM e
+  LEFT JOIN f a ON a.r = e.r AND a.k = 0 LEFT JOIN f b ON b.r = e.r AND b.k = 1 LEFT JOIN f c ON c.r = e.nr AND c.k = 0),
+c AS (SELECT *, len(list_intersect(own, edited)) AS ie, len(list_intersect(own, following)) AS i_n FROM g)
+SELECT doc_id, length(t) AS n_chars, sha256(et) AS edited_sha256, array_to_string(own, ',') AS fingerprint,
+  array_to_string(edited, ',') AS edited_fingerprint,
+  CASE WHEN len(own) + len(edited) = 0 THEN 1.0::DOUBLE ELSE ie::DOUBLE / (len(own) + len(edited) - ie) END AS near_edited,
+  CASE WHEN len(own) + len(following) = 0 THEN 1.0::DOUBLE ELSE i_n::DOUBLE / (len(own) + len(following) - i_n) END AS near_next,
+  CASE WHEN len(own) = 0 THEN 1.0::DOUBLE ELSE ie::DOUBLE / len(own) END AS contained_edited,
+  CASE WHEN len(own) = 0 THEN 1.0::DOUBLE ELSE i_n::DOUBLE / len(own) END AS contained_next
+FROM c""",
     "op8_jaccard_join": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
     translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
