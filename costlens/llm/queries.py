@@ -100,10 +100,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = templates.clean(table(spark, sf_dir, "documents"))
     return done.select(
         "row.doc_id",
-        F.size(templates.lines(F.col("row.text"))).cast("long").alias("n_lines"),
         "cleaned.n_recurring",
         "cleaned.n_dropped",
-        "cleaned.copy",
         F.char_length("cleaned.clean").cast("long").alias("n_chars_kept"),
         F.sha2("cleaned.clean", 256).alias("clean_sha256"),
     )

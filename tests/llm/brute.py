@@ -88,37 +88,65 @@ def components(rows):
 LINE = re.compile(r"(?<=\n)|(?<=[.!?])(?=\x20)")
 
 
-def clean(rows):
-    """(text, n_recurring, n_dropped, copy) of each (doc_id, text) row"""
-    cut = lambda t: [x for x in LINE.split(t or "") if x]
+def tree(lines, lead=2, leaf=1000):
+    """line -> template, for token tuples; leaves with more lines are split by 1, 2, 4, ... further tokens"""
+    out, waiting = {}, [(lead, 1, sorted(lines, key=lambda t: " ".join(t).encode()))]
+    while waiting:
+        depth, step, some = waiting.pop()
+        leaves = defaultdict(list)
+        for t in some:
+            leaves[len(t), t[:depth]].append(t)
+        for key, own in leaves.items():
+            if len(own) > leaf and key[0] > 3:
+                waiting.append((depth + step, 2 * step, own))
+                continue
+            known = []  # (number, places)
+            for t in own:
+                agree = [sum(a == b for a, b in zip(t, places, strict=True)) for _, places in known]
+                best = max(range(len(known)), key=lambda k: (agree[k], -k)) if known else None
+                if known and 4 * agree[best] >= 3 * len(t):
+                    known[best][1][:] = [a if a == b else None for a, b in zip(known[best][1], t, strict=True)]
+                else:
+                    best = len(known)
+                    known.append((t, list(t)))
+                out[t] = known[best][0]
+    return out
 
-    def templates(line):
-        t = WORD.findall(re.sub("[0-9]+", "0", line))
-        n = len(t)
-        ends = [int(n * i / 3) for i in range(4)]
-        return [(n, i, *t[: ends[i]], None, *t[ends[i + 1] :]) for i in range(3)] if n >= 9 else []
 
-    keeper = defaultdict(set)
+def clean(rows, spare_copies=False, leaf=1000):
+    """(text, n_recurring, n_dropped) of each (doc_id, text) row"""
+    cut = lambda t: [x for x in LINE.split(t or "") if x]
+    masked = lambda x: tuple(WORD.findall(re.sub("[0-9]+", "0", x)))
+    template = tree({masked(x) for _, t in rows for x in cut(t)}, leaf=leaf)
+    owners, texts = defaultdict(set), defaultdict(set)
     for i, text in rows:
-        for line in cut(text):
-            for t in templates(line):
-                if i is not None:
-                    keeper[t].add(i)
+        texts[i].add(text)
+        for x in cut(text):
+            if i is not None and masked(x):
+                owners[template[masked(x)]].add(i)
     out = []
     for i, text in rows:
-        lines = cut(text)
-        sizes = [len(WORD.findall(x)) for x in lines]
-        gone = [any(len(keeper[t]) > 1 and i != min(keeper[t]) for t in templates(x)) for x in lines]
-        n_recurring, drop = sum(gone), list(gone)
-        for a in range(len(lines)):  # short lines between lost ones
-            if not gone[a] and sizes[a] < 9:
-                left = next((gone[b] for b in range(a - 1, -1, -1) if gone[b] or sizes[b] >= 9), False)
-                right = next((gone[b] for b in range(a + 1, len(lines)) if gone[b] or sizes[b] >= 9), False)
-                drop[a] = left and right
-        lost = sum(n for n, x in zip(sizes, drop, strict=True) if x)
-        if n_recurring and lost >= 0.7 * sum(sizes):
-            out.append((text, n_recurring, 0, True))
-        else:
-            kept = "".join(x for x, x_drop in zip(lines, drop, strict=True) if not x_drop)
-            out.append((kept if n_recurring else text, n_recurring, sum(drop), False))
+        parts = cut(text)
+        sizes = [len(masked(x)) for x in parts]
+        of = [owners[template[masked(x)]] if masked(x) else () for x in parts]
+        gone = [len(ids) > 1 and min(ids) != i for ids in of]
+        if spare_copies and any(gone):
+            shared = Counter()
+            for n, ids, lost in zip(sizes, of, gone, strict=True):
+                shared[min(ids) if lost else None] += n if lost else 0
+            shared.pop(None, None)
+            first = min(shared, key=lambda k: (-shared[k], k))
+            a = shingles(text)
+            if 2 * shared[first] >= sum(sizes) and any(
+                100 * len(a & b) >= 80 * len(a | b) for b in map(shingles, texts[first])
+            ):
+                gone = [False] * len(parts)
+        drop = list(gone)
+        for k, n in enumerate(sizes):
+            if not n:
+                left = next((gone[j] for j in range(k - 1, -1, -1) if sizes[j]), False)
+                right = next((gone[j] for j in range(k + 1, len(sizes)) if sizes[j]), False)
+                drop[k] = left and right
+        kept = "".join(x for x, out_ in zip(parts, drop, strict=True) if not out_)
+        out.append((kept, sum(gone), sum(drop)))
     return out

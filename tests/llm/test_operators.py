@@ -284,22 +284,6 @@ def test_one_of_each(spark):
     assert counted(r.doc_id for r in kept.collect()) == counted([1, 2, 3, 4, 5, 6, 7, 8, 10, None])
 
 
-def test_lines(spark, sf_dir):
-    for docs, rows in both(spark, sf_dir):
-        got = templates.clean(docs).select("row.doc_id", "cleaned.*").collect()
-        assert counted(map(tuple, got)) == counted((i, *x) for (i, _), x in zip(rows, brute.clean(rows), strict=True))
-
-
-def test_repeated_passage_stays_once(spark):
-    passage = "This passage of many words stands in several documents. It has a second sentence that is long enough too."
-    own = lambda i: " ".join(f"own{'abcd'[i]}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(60))
-    rows = [(i, f"{own(i)}. {passage} Ends {i}.") for i in range(4)]
-    rows.append((9, rows[0][1].replace("several", "various")))
-    kept = {r.doc_id: r.text for r in templates.drop_lines(frame(spark, rows, extra=False)).collect()}
-    assert [passage in kept[i] for i in range(4)] == [True, False, False, False]
-    assert kept[9] == rows[4][1]  # a copy of 0 stays whole
-
-
 def test_shards(spark, sf_dir):
     tokenizer = Tokenizer.from_file(repair.TOKENIZER)
     tokenizer.encode_special_tokens = True
@@ -336,7 +320,7 @@ def test_pipeline(spark, sf_dir):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     kept = {r.doc_id for r in quality_rules.ledger(docs).where(~quality_rules.fails(quality_rules.STANDARD)).collect()}
     rows = [x for x in rows if x[0] in kept]
-    rows = [(i, x[0]) for (i, _), x in zip(rows, brute.clean(rows), strict=True) if x[2] == 0 or x[0].strip(" \t\n\x0b\x0c\r")]
+    rows = [(i, x[0]) for (i, _), x in zip(rows, brute.clean(rows, spare_copies=True), strict=True) if x[2] == 0 or x[0].strip(" \t\n\x0b\x0c\r")]
     linked = brute.components(rows)
     rows = [x for x in rows if linked[x[0]] == x[0]]
     bad = brute.contamination([t for _, t in rows], items)
