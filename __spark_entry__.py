@@ -49,6 +49,7 @@ from costlens.sources.tables import (  # noqa: E402
     write_table,
 )
 from costlens.streaming.ingest import ingest_exports  # noqa: E402
+from costlens.streaming.version_log import read_version  # noqa: E402
 from oracle_queries import AS_OF, ORACLE, TENANT  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -473,6 +474,42 @@ def _ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _month_totals(read_table(spark, table, ingested=True))
 
 
+def _ingest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps of ``ingest_incremental``, each published at once; all three versions stay readable."""
+    work = scratch_dir(spark, "versions")
+    lake, table, checkpoint = (f"{work}/{x}" for x in ("lake", "table", "checkpoint"))
+    rows = focus_rows(spark, sf_dir, FOCUS_STAR_COLUMNS)
+
+    def ingest() -> DataFrame:
+        ingest_exports(spark, lake, table, checkpoint, versioned=True).awaitTermination()
+        return read_version(spark, table)
+
+    write_mtd_history(rows, lake, "daily", 15)
+    versions = [ingest()]
+    write_mtd_history(rows.filter(F.month(PERIOD) % 2 == 0), lake, "daily", 31)
+    versions.append(ingest())
+    month = f"{_THIS_MONTH:%Y%m%d}-{_THIS_MONTH:%Y%m}31"
+    header = spark.createDataFrame([FOCUS_STAR_COLUMNS], ", ".join(f"`{c}` string" for c in FOCUS_STAR_COLUMNS))
+    header.coalesce(1).write.csv(f"{lake}/daily/daterange={month}/run=99")
+    versions.append(ingest())
+    shown = [_month_totals(v).withColumn("version", F.lit(i)) for i, v in enumerate(versions, 1)]
+    return shown[0].union(shown[1]).union(shown[2])
+
+
+def _export_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of several lines with doubled quotes, in plain and compressed parts."""
+    root = scratch_dir(spark, "multiline")
+    shown = [PERIOD, "ResourceId", "BilledCost", "ServiceName", "Tags"]
+    rows = focus_rows(spark, sf_dir, [*shown, "ChargePeriodStart", "ChargeCategory", "ConsumedUnit"])
+    tags = F.concat(F.lit('{"owner": "'), "ServiceName", F.lit('",\n\n "id": "'), "ResourceId", F.lit('"}\n'))
+    rows = rows.withColumn("Tags", F.when(F.col("ChargeCategory") == "A", tags).otherwise(F.col("Tags")))
+    is_open = F.col("ConsumedUnit").eqNullSafe("O")
+    for scope, belongs, compression in (("plain", ~is_open, "none"), ("packed", is_open, "gzip")):
+        write_mtd_history(rows.filter(belongs), f"{root}/{scope}", "daily", 31, compression=compression)
+    lake = [f"{root}/plain", f"{root}/packed"]
+    return normalize(read_export(spark, lake, "daily", multi_line=True)).select(*shown)
+
+
 def _export_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An export with files, and one that still waits for its first."""
     delivered = _exports(spark, sf_dir)[0]
@@ -552,6 +589,8 @@ def billing_queries() -> dict[str, Query]:
         "typed_table_month_over_month": _typed_table_month_over_month,
         "ingest_exports": _ingest_exports,
         "ingest_incremental": _ingest_incremental,
+        "ingest_versions": _ingest_versions,
+        "export_multiline": _export_multiline,
         "ingested_month_over_month": _ingested_month_over_month,
         "export_latest_run_overall": _export_latest_run_overall,
         "export_settled_runs": _export_settled_runs,

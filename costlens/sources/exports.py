@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from costlens.functions.columns import AsOf, instant
+from costlens.sources.records import parsed, records
 from costlens.sources.schema import EXPORT_PERIOD, EXPORT_SCOPE, FLAT_PERIOD, RAW_SCHEMA
 
 CSV_GLOB = "*.csv*"
@@ -219,13 +220,12 @@ def layouts_of(spark: SparkSession, runs: Sequence[Row]) -> dict[tuple[str, ...]
     return layouts
 
 
-def _with_origin(rows: DataFrame, depth: int, flat: bool) -> DataFrame:
+def _with_origin(rows: DataFrame, file: Column, depth: int, flat: bool) -> DataFrame:
     """Name the export and period of every row.
 
     All scopes have ``depth`` path segments, so both are cut from the path by
     position; a pattern match per row would cost more than parsing the row.
     """
-    file = F.col("_metadata.file_path")
     folder = F.substring_index(F.substring_index(file, "/", depth + 1), "/", -1)
     # The folder ends in YYYYMMDD-YYYYMMDD.
     period = F.lit(FLAT_PERIOD) if flat else F.left(F.right(folder, F.lit(17)), F.lit(8))
@@ -247,13 +247,19 @@ def read_runs(
     stray part with another header fail instead of shifting columns.  Compressed
     parts are read as they are.  ``lineage`` adds the export and period; the plan has
     one scan per layout and depth of folders, not one per export.
+
+    ``multi_line`` accepts line breaks inside quotes: lines are read in parallel and records
+    put together from them (:mod:`costlens.sources.records`), which also deals a large
+    compressed part out to many tasks before it is parsed.
     """
 
     def read(columns: tuple[str, ...], group: list[Row]) -> DataFrame:
+        if multi_line:
+            found = records(spark, [r["run_path"] for r in group], CSV_GLOB)
+            return parsed(found, columns, {"quote": '"', "escape": '"', "nullValue": _NEVER})
         return (
             spark.read.options(**CSV_OPTIONS, nullValue=_NEVER)
             .option("enforceSchema", False)
-            .option("multiLine", multi_line)
             .option("recursiveFileLookup", True)
             .option("pathGlobFilter", CSV_GLOB)
             .schema(StructType([StructField(c, StringType()) for c in columns]))
@@ -263,13 +269,17 @@ def read_runs(
     parts = []
     for columns, group in (layouts_of(spark, runs) if layouts is None else layouts).items():
         if not lineage:
-            parts.append(read(columns, group))
+            rows = read(columns, group)
+            parts.append(rows.drop("file") if multi_line else rows)
             continue
         origins: dict[tuple[int, bool], list[Row]] = {}
         for r in group:
             key = (r[EXPORT_SCOPE].count("/") + 1, r[EXPORT_PERIOD] == FLAT_PERIOD)
             origins.setdefault(key, []).append(r)
-        parts += [_with_origin(read(columns, rs), *origin) for origin, rs in origins.items()]
+        for origin, some in origins.items():
+            file = F.col("file") if multi_line else F.col("_metadata.file_path")
+            rows = _with_origin(read(columns, some), file, *origin)
+            parts.append(rows.drop("file") if multi_line else rows)
     if not parts:
         empty = RAW_SCHEMA.fields
         if lineage:

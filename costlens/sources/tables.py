@@ -70,6 +70,8 @@ def _csv_writer(df: DataFrame, compression: str, max_records_per_file: int):
     return (
         df.write.mode("overwrite")
         .options(**CSV_OPTIONS)
+        # white space at the ends of a text is part of it
+        .options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         .option("compression", compression)
         .option("maxRecordsPerFile", max_records_per_file)
     )

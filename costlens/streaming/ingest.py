@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from datetime import datetime
 from urllib.parse import unquote
 
@@ -26,6 +26,7 @@ from costlens.sources.exports import (
 from costlens.sources.normalize import normalize
 from costlens.sources.schema import EXPORT_PERIOD, EXPORT_SCOPE, FLAT_PERIOD
 from costlens.sources.tables import read_table, write_table
+from costlens.streaming.version_log import Conflict, VersionLog
 
 # The columns of a file listing source.
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
@@ -34,6 +35,8 @@ _PENDING = f"{EXPORT_SCOPE} string, {EXPORT_PERIOD} string, at timestamp, waits
 _VERSIONS = f"{EXPORT_SCOPE} string, path string, modificationTime timestamp"
 
 Key = tuple[str, str]
+# Times a refresh is repeated because another job published the same months meanwhile.
+CONFLICTS = 5
 
 
 def _key(r: Row) -> Key:
@@ -55,12 +58,26 @@ def _clear(spark: SparkSession, table: str, emptied: set[Key]) -> None:
         nothing.write.mode("overwrite").parquet(unquote(r["folder"]))
 
 
+def _filled(rows: DataFrame, write: Callable[[DataFrame], None]) -> set[Key]:
+    """Write rows; the keys that got any are learnt from the write itself."""
+    seen = Observation()
+    write(rows.observe(seen, F.collect_set(F.struct(*_KEYS)).alias("keys")))
+    try:
+        return {_key(k) for k in seen.get["keys"]}
+    except Py4JJavaError:
+        # A plan that Spark finds to be empty while it runs reports nothing.
+        if not rows.isEmpty():
+            raise
+        return set()
+
+
 def refresh_periods(
     arrivals: DataFrame,
     table: str,
     date_formats: Iterable[str] = (),
     settle_seconds: int = 0,
     as_of: AsOf = None,
+    versioned: bool = False,
 ) -> set[Key]:
     """Rewrite the table partitions of every (export, period) named in ``arrivals``.
 
@@ -69,6 +86,10 @@ def refresh_periods(
     newer one, and repeating a batch after a failure gives the same table.  A run
     touched within ``settle_seconds`` may be half written: the one before it stays, and
     its key is returned, because no new file may ever ask for it again.
+
+    ``versioned`` publishes all touched months in one step as the next version of the
+    table (:mod:`costlens.streaming.version_log`); else a reader may see some of them replaced
+    and others not yet.
     """
     spark = arrivals.sparkSession
     # Only exports x periods reach the driver, never a row or file name.
@@ -91,18 +112,13 @@ def refresh_periods(
         return waiting
     layouts = layouts_of(spark, runs)
     rows = normalize(read_runs(spark, runs, lineage=True, layouts=layouts), date_formats, fill=False)
+    if versioned:
+        # Without layouts there are no rows to write, only months to empty.
+        VersionLog(spark, table).publish(rows, chosen, _filled if layouts else lambda *_: set())
+        return waiting
     filled: set[Key] = set()
     if layouts:
-        # Which keys got rows is learnt from the write itself.
-        seen = Observation()
-        watched = rows.observe(seen, F.collect_set(F.struct(*_KEYS)).alias("keys"))
-        write_table(watched, table, tuple(_KEYS))
-        try:
-            filled = {_key(k) for k in seen.get["keys"]}
-        except Py4JJavaError:
-            # A plan that Spark finds to be empty while it runs reports nothing.
-            if not rows.isEmpty():
-                raise
+        filled = _filled(rows, lambda df: write_table(df, table, tuple(_KEYS)))
     else:
         write_table(rows, table, tuple(_KEYS))
     emptied = set(chosen) - filled
@@ -167,6 +183,7 @@ def ingest_exports(
     date_formats: Iterable[str] = (),
     settle_seconds: int = 0,
     as_of: AsOf = None,
+    versioned: bool = False,
 ) -> StreamingQuery:
     """Process the files that arrived since the last call, then stop (ST-01).
 
@@ -175,12 +192,21 @@ def ingest_exports(
     without touching the others.  Files that a reseller's export overwrites in place
     are found by their time, and runs passed over as unsettled are tried again, both
     before the stream starts.  The caller waits with ``awaitTermination()``.
+
+    With ``versioned`` the months of a batch are published together, read the table with
+    :func:`costlens.streaming.version_log.read_version`.
     """
     formats = tuple(date_formats)
     state = _State(spark, checkpoint)
 
     def refresh(keys: DataFrame, session: SparkSession = spark) -> None:
-        waiting = refresh_periods(keys, table, formats, settle_seconds, as_of)
+        for left in range(CONFLICTS, -1, -1):
+            try:
+                waiting = refresh_periods(keys, table, formats, settle_seconds, as_of, versioned)
+                break
+            except Conflict:
+                if not left:
+                    raise
         touched = {_key(r) for r in keys.select(*_KEYS).distinct().collect()}
         _State(session, checkpoint).note(touched, waiting)
 

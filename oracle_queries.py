@@ -397,6 +397,19 @@ ORACLE = {
     WHERE (month(BillingPeriodStart) % 2 = 0 OR day(ChargePeriodStart) <= 15)
       AND BillingPeriodStart <> date_trunc('month', TIMESTAMP '{AS_OF}')
     GROUP BY BillingPeriodStart"""),
+    "ingest_versions": _focus(f"""
+    , loaded AS (SELECT unnest(range(1, 4))::INTEGER AS version, * FROM focus)
+    SELECT version, BillingPeriodStart, COUNT(*) AS "RowCount", {_sum("BilledCost", "TotalCost")},
+        {_sum("ConsumedQuantity", "TotalUsage")}
+    FROM loaded
+    WHERE ((version > 1 AND month(BillingPeriodStart) % 2 = 0) OR day(ChargePeriodStart) <= 15)
+      AND (version < 3 OR BillingPeriodStart <> date_trunc('month', TIMESTAMP '{AS_OF}'))
+    GROUP BY version, BillingPeriodStart"""),
+    "export_multiline": _focus("""
+    SELECT BillingPeriodStart, ResourceId, BilledCost, ServiceName,
+        CASE WHEN ChargeCategory = 'A' THEN '{"owner": "' || ServiceName || '",' || chr(10) || chr(10)
+            || ' "id": "' || ResourceId || '"}' || chr(10) ELSE Tags END AS Tags
+    FROM focus"""),
     "ingested_month_over_month": _exported(_MONTH_OVER_MONTH),
     "export_month_to_date": _focus(f"""
     SELECT ChargePeriodStart, SubAccountId, ServiceName, ChargeCategory,
