@@ -6,26 +6,33 @@ every rule expands to, and its symbols, so any range of ids is decoded from the
 symbols that cover it.  Shards are rows of a Parquet table (``FORMAT``), in ascending
 document order; ``before`` counts the ids of earlier shards of the same part.
 
-Defined results: null and empty texts hold the end id only; rows that repeat an id
-follow each other, ordered by their ids; rows without id come first; texts of any
-length stay within one shard; an empty table gives no rows; only the named columns
+Documents are dealt to parts by id and text hash (``common.Order``), so neither one id nor
+the rows without any fill a part that grows with them, unless their texts are equal.
+
+Defined results: null and empty texts hold the end id only; a text's added tokens
+(``<|endoftext|>``) are one id each, as the library has it; rows that repeat an id
+follow each other, ordered by the hash of their text; rows without id come first; texts of
+any length stay within one shard; an empty table gives no rows; only the named columns
 are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costlens.llm import bpe
-from costlens.llm.common import portions
+from costlens.llm.common import NO_ID, Order, portions
 from costlens.scratch import scratch_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,9 +42,8 @@ END = 2
 REMEMBERED = 1_500_000
 #: Ids after which a shard is closed.
 SHARD_IDS = 1_000_000
-ROUNDS = 4
-#: Neighbours that are replaced occur so often (as far as a hashed count tells).
-LEAST_COUNT = 24
+#: Neighbours that are replaced occur at least so often in a shard.
+LEAST_COUNT = 4
 COUNTERS = 2**21
 #: Symbols are 16-bit; rules fill what the vocabulary leaves.
 SYMBOLS = 2**16
@@ -48,6 +54,12 @@ FORMAT = (
 )
 
 
+#: Below this code point the regex module's classes are the library's; a text beyond it
+#: is cut by the code-point classes of ``bpe``.
+WIDE = re.compile("[^\\x00-\u04ff]")
+PIECES = regex.compile(public_tokenizers.PATTERN)
+
+
 class Library:
     """The tokenizers library, asked once per distinct piece of text."""
 
@@ -56,9 +68,13 @@ class Library:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
+        (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
+        # Added tokens are cut out of a text before it is cut into pieces, as the library does.
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.apart = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
 
     def _new(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces.  Newlines between visible ones keep them apart in one text."""
@@ -66,21 +82,43 @@ class Library:
         apart = [x for x in pieces if not x.isspace()]
         for i in range(0, len(apart), 2000):
             some = apart[i : i + 2000]
-            coded = self.tokenizer.encode("\n".join(some), add_special_tokens=False)
-            flat = np.array(coded.ids, "<i4").tobytes()
-            # every second word is a newline, which is one id
-            first = np.searchsorted(coded.word_ids, np.arange(0, 2 * len(some) + 1, 2)) * 4
+            (coded,) = self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)
+            ids = np.array(coded.ids, "<i4")
+            # a newline is one id, which no visible piece has
+            ends = np.append(np.flatnonzero(ids == self.newline), len(ids)) * 4
+            flat, starts = ids.tobytes(), np.concatenate([[0], ends[:-1] + 4])
             found.update(
-                (x, flat[a : b - 4] if k < len(some) - 1 else flat[a:])
-                for k, (x, a, b) in enumerate(zip(some, first[:-1].tolist(), first[1:].tolist(), strict=True))
+                (x, flat[a:b]) for x, a, b in zip(some, starts.tolist(), ends.tolist(), strict=True)
             )
         for x in pieces:
             if x not in found:
                 found[x] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<i4").tobytes()
         return [found[x] for x in pieces]
 
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without added tokens."""
+        if any(map(WIDE.search, texts)):
+            return bpe.encode_pieces(texts, self.known, self._new, REMEMBERED)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        cut = [PIECES.findall(x) for x in texts]
+        pieces = [x for own in cut for x in own]
+        if new := list({x for x in pieces if x not in self.known}):
+            self.known.update(zip(new, self._new(new), strict=True))
+        coded = iter(map(self.known.__getitem__, pieces))
+        return [np.frombuffer(b"".join(islice(coded, len(own))), "<i4") for own in cut]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return bpe.encode_pieces(texts, self.known, self._new, REMEMBERED)
+        if not (self.apart and any(map(self.apart.search, texts))):
+            return self._plain(texts)
+        out = []
+        for x in texts:
+            parts = self.apart.split(x)
+            ids = self._plain(parts[::2])
+            for k, token in enumerate(parts[1::2]):
+                ids[k] = np.append(ids[k], self.added[token])
+            out.append(np.concatenate(ids))
+        return out
 
 
 @lru_cache(2)
@@ -88,46 +126,59 @@ def library(path: str) -> Library:
     return Library(path)
 
 
-def token_ids(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
-    """Per document its ids with the end id, as little-endian 16-bit integers."""
+def token_ids(docs: DataFrame, path: str, id_col: str, text_col: str, order: Order) -> DataFrame:
+    """Per document its place and its ids with the end id, as little-endian 16-bit integers."""
 
     def each(batches):
         tokenizer = library(path)
         if tokenizer.size >= SYMBOLS:
             raise ValueError("the vocabulary leaves no room for rules in 16 bits")
         end = np.array([END], np.uint16)
-        for ids, texts in portions(batches):
-            coded = [np.concatenate([x.astype("<u2"), end]).tobytes() for x in tokenizer.encode(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(coded, pa.binary())], ["doc_id", "ids"]
-            )
+        for batch in batches:
+            done = 0
+            for ids, texts in portions([batch]):
+                coded = [np.concatenate([x.astype("<u2"), end]).tobytes() for x in tokenizer.encode(texts)]
+                place = [batch.column(i).slice(done, len(ids)) for i in (2, 3)]
+                done += len(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(coded, pa.binary()), *place], ["doc_id", "ids", "part", "tie"]
+                )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(each, "doc_id bigint, ids binary")
+    rows = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+        F.col(f"`{text_col}`").cast("string").alias("text"),
+        order.part().alias("part"),
+        order.tie.alias("tie"),
+    )
+    return rows.mapInArrow(each, "doc_id bigint, ids binary, part int, tie bigint")
 
 
 def compress(ids: np.ndarray, last: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (pairs of symbols; rule i is symbol ``first_rule + i``).
 
-    ``last`` marks the ids that end a document.  A round replaces, side by side, the
-    pairs that are more frequent than both pairs overlapping them.
+    ``last`` marks the ids that end a document.  A round replaces, side by side, the pairs
+    that are more frequent than both pairs overlapping them, the most frequent first, until
+    no pair that can be replaced occurs ``LEAST_COUNT`` times or the symbols are used up.  Hashed
+    counts, which are never too small, pick the places; a pair's own places are counted exactly.
     """
     symbols, rules = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)]
     free = SYMBOLS - first_rule
-    for _ in range(ROUNDS):
-        if len(symbols) < 2 or free <= 0:
-            break
+    while len(symbols) > 1 and free > 0:
         left, right = symbols[:-1], symbols[1:]
         slot = ((left * np.uint32(2654435761)) ^ (right * np.uint32(40503))) % np.uint32(COUNTERS)
         often = np.bincount(slot, minlength=COUNTERS).astype(np.int32)[slot]
         often[last[:-1] | (often < LEAST_COUNT)] = 0
         padded = np.concatenate([[0], often, [0]])
-        take = (often > padded[:-2]) & (often >= padded[2:]) & (often > 0)
-        at = np.flatnonzero(take)
+        at = np.flatnonzero((often >= padded[:-2]) & (often >= padded[2:]) & (often > 0))
+        # of equals side by side every second one
+        run = np.cumsum(np.diff(at, prepend=-2) > 1)
+        begin = np.flatnonzero(np.diff(run, prepend=0))
+        at = at[(at - at[begin][run - 1]) % 2 == 0]
         codes = left[at].astype(np.uint64) << np.uint64(32) | right[at]
         pairs, which, counts = np.unique(codes, return_inverse=True, return_counts=True)
-        rank = np.lexsort((pairs, -counts))[:free]
-        rank = rank[counts[rank] > 1]
+        # Half of the symbols left go to one round, so that later ones can build on its rules.
+        rank = np.lexsort((pairs, -counts))[: max(free // 2, 1)]
+        rank = rank[counts[rank] >= LEAST_COUNT]
         if not len(rank):
             break
         name = np.full(len(pairs), -1, np.int64)
@@ -187,16 +238,23 @@ class Shard:
     def ids(self) -> np.ndarray:
         return expand(self.symbols, self.rules, self.first_rule)
 
+    @cached_property
+    def ends(self) -> np.ndarray:
+        """Ids up to the end of each symbol."""
+        return np.cumsum(np.concatenate([np.ones(self.first_rule, np.int64), self.lengths])[self.symbols])
+
+    @cached_property
+    def stops(self) -> np.ndarray:
+        return np.cumsum(self.counts)
+
     def slice(self, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` of the shard, from the symbols that cover them."""
-        sizes = np.concatenate([np.ones(self.first_rule, np.int64), self.lengths])[self.symbols]
-        ends = np.cumsum(sizes)
-        a, b = np.searchsorted(ends, [start, stop - 1], "right")
-        first = int(ends[a] - sizes[a]) if a < len(ends) else 0
+        a, b = np.searchsorted(self.ends, [start, stop - 1], "right").tolist()
+        first = int(self.ends[a - 1]) if a else 0
         return expand(self.symbols[a : b + 1], self.rules, self.first_rule)[start - first : stop - first]
 
     def document(self, i: int) -> np.ndarray:
-        stop = int(self.counts[: i + 1].sum())
+        stop = int(self.stops[i])
         return self.slice(stop - int(self.counts[i]), stop)
 
 
@@ -221,25 +279,14 @@ def _shard(part: int, shard: int, before: int, doc_ids: list, coded: list, first
     }
 
 
-#: Stands for a missing document id inside a shard.
-NO_ID = -(2**63)
-
-
 def write_shards(
     docs: DataFrame, folder: str, path: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
     """Encodes ``docs`` and writes their shards, ordered by document id, to ``folder``."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = [i / parts for i in range(1, parts)]
-    known = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null")
-    bounds = sorted(set(known.approxQuantile("doc_id", cuts, 0.1 / parts))) if cuts else []
-    found = token_ids(docs, path, id_col, text_col)
-    # Bounds are doubles: an id beyond 2 ** 53 may go to the next part with its neighbours.
-    below = F.array(*[F.lit(int(b)) for b in bounds]).cast("array<bigint>")
-    part = F.size(F.filter(below, lambda b: b < F.col("doc_id")))
-    placed = found.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part))
-    ordered = placed.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "ids")
+    order = Order(docs, id_col, text_col)
+    found = token_ids(docs, path, id_col, text_col, order)
+    placed = found.repartitionById(len(order.cuts) + 1, "part")
+    ordered = placed.sortWithinPartitions("doc_id", "tie", "ids").select("doc_id", "ids", "part")
 
     def each(batches):
         first_rule = library(path).size
@@ -285,10 +332,9 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 shard = Shard(row)
-                ids = shard.ids().astype("<u4")
-                stops = np.cumsum(shard.counts)
-                sums = [zlib.crc32(x.tobytes()) for x in np.split(ids, stops[:-1])]
-                starts = offsets[row["part"]] + row["before"] + stops - shard.counts
+                # each document is decoded from the symbols that cover it
+                sums = [zlib.crc32(shard.document(i).astype("<u4").tobytes()) for i in range(len(shard.counts))]
+                starts = offsets[row["part"]] + row["before"] + shard.stops - shard.counts
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(shard.doc_ids, mask=shard.doc_ids == NO_ID),
