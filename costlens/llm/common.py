@@ -47,6 +47,16 @@ def pieces(text: Column, gap: str) -> Column:
     return F.array_remove(F.split(text, gap), "")
 
 
+def as_row(docs: DataFrame) -> Column:
+    """All columns of a row as one struct ``row``, so helper columns beside it clash with none."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def of_row(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` again, from the struct ``row``."""
+    return [F.col("row").getField(c).alias(c) for c in docs.columns]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once per row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costlens.llm.common import ascii_lower, let, pieces, stored, whole
+from costlens.llm.common import as_row, ascii_lower, let, of_row, pieces, stored, whole
 
 SPAN = 13
 GRAM = 6
@@ -196,5 +196,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """The clean rows of ``docs`` with all their columns."""
     judged = contamination(docs, benchmark, text_col=text_col).where("contaminated")
     dirty = judged.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_version"))
-    return docs.join(stored(dirty, "contaminated"), same, "left_anti")
+    rows = docs.select(as_row(docs), F.col("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("version"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
+    return rows.join(stored(dirty, "contaminated"), same, "left_anti").select(*of_row(docs))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costlens.llm.common import UPPER, maybe_in, portions, stored
+from costlens.llm.common import UPPER, as_row, maybe_in, of_row, portions, stored
 
 WORDS = 5
 #: Two sets are linked when 100 * intersection >= LINK * union.
@@ -380,9 +380,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     special = stored(gone.union(again).distinct(), "special")
-    marked = maybe_in(docs, F.col("doc_id"), special, "doc_id")
+    rows = docs.select(as_row(docs), F.col("doc_id"))
+    marked = maybe_in(rows, F.col("doc_id"), special, "doc_id")
     certain = ~F.col("maybe") | F.col("doc_id").isNull()
     # Only texts that may go are shuffled.
-    doubtful = marked.where(~certain).select(*docs.columns)
-    kept = doubtful.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
-    return marked.where(certain).select(*docs.columns).union(kept)
+    doubtful = marked.where(~certain).select("row", "doc_id")
+    kept = doubtful.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return marked.where(certain).select("row").union(kept.select("row")).select(*of_row(docs))

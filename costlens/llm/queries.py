@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from costlens.llm import (
@@ -36,12 +36,27 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation 2k is the chosen answer of pair k, 2k + 1 the rejected one."""
-    conv = F.col("conv_id")
-    found = chat.format_preferences(
-        table(spark, sf_dir, "conversations"), F.floor(conv / 2), F.pmod(conv, F.lit(2)) == 0
+def _two_answers(conversations: DataFrame) -> DataFrame:
+    """Turns of both sides: every conversation as it is, and with the last assistant turn's
+    text replaced by that of the neighbouring conversation (id with the last bit flipped)."""
+    turns = conversations.select(
+        F.col("conv_id").cast("long").alias("conv_id"), "turn", whole(F.col("role")).alias("role"), whole(F.col("text")).alias("text")
     )
+    is_answer = F.col("role") == chat.TRAINED_ROLE
+    last = Window.partitionBy("conv_id", is_answer).orderBy(F.col("turn").desc_nulls_last(), F.desc("role"), F.desc("text"))
+    turns = turns.where(F.col("conv_id").isNotNull())
+    turns = turns.withColumn("answers", is_answer & (F.row_number().over(last) == 1))
+    other = turns.where("answers").select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.col("text").alias("other"))
+    swapped = turns.where("answers").drop("text").join(other, "conv_id", "left").withColumnRenamed("other", "text")
+    columns = ["conv_id", "turn", "role", "text"]
+    rejected = turns.where("not answers").select(*columns).union(swapped.select(*columns))
+    return turns.select(*columns, F.lit(True).alias("chosen")).union(rejected.select(*columns, F.lit(False)))
+
+
+def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table names no preference: a conversation is chosen over itself with another's last answer."""
+    turns = _two_answers(table(spark, sf_dir, "conversations"))
+    found = chat.format_preferences(turns, F.col("conv_id"), F.col("chosen"))
     return found.select(
         *[c for c in found.columns if not c.endswith("_mask")],
         chat.mask_text(F.col("chosen_mask")).alias("chosen_mask"),
@@ -248,10 +263,14 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
 FROM d LEFT JOIN counted USING (r)""",
     "op2_preference_format": """
-WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role,
-    coalesce(text, '') AS text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS n
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER
+    (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
   FROM conversations WHERE conv_id IS NOT NULL),
+last AS (SELECT conv_id, max(n) FILTER (role = 'assistant') AS final FROM o GROUP BY conv_id),
+answer AS (SELECT o.conv_id, o.text FROM o JOIN last ON last.conv_id = o.conv_id AND n = final),
+t AS (SELECT conv_id AS pair_id, 0 AS side, role, text, n FROM o
+  UNION ALL SELECT o.conv_id, 1, role, CASE WHEN n = final THEN coalesce(a.text, '') ELSE o.text END, n
+  FROM o JOIN last ON last.conv_id = o.conv_id LEFT JOIN answer a ON a.conv_id = xor(o.conv_id, 1)),
 c AS (SELECT * FROM t WHERE side = 0), r AS (SELECT * FROM t WHERE side = 1),
 p AS (SELECT pair_id, count(*) FILTER (side = 0) AS nc, count(*) FILTER (side = 1) AS nr
   FROM t GROUP BY pair_id HAVING nc > 0 AND nr > 0),

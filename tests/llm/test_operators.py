@@ -41,6 +41,7 @@ ODD = [
     (8, "one two"),
     (9, "ONE two"),
     (10, "'s 're x'll  'Sam  　\U0001f642 ３٣ don't " + "a" * 300),
+    (11, "a <|endoftext|> b<|endoftext|><|endoftext|>\n <|endoftext|"),
     (None, "a row without any id but with more than ten words in it, so it stays"),
 ]
 BENCHMARK = [(1, PASSAGE), (2, "one two"), (None, "a row without any id"), (3, None), (4, "...")]
@@ -281,12 +282,11 @@ def test_one_of_each(spark):
     docs = frame(spark, ODD)
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert counted(r.doc_id for r in kept.collect()) == counted([1, 2, 3, 4, 5, 6, 7, 8, 10, None])
+    assert counted(r.doc_id for r in kept.collect()) == counted([1, 2, 3, 4, 5, 6, 7, 8, 10, 11, None])
 
 
 def test_shards(spark, sf_dir):
     tokenizer = Tokenizer.from_file(repair.TOKENIZER)
-    tokenizer.encode_special_tokens = True
     for docs, rows in both(spark, sf_dir):
         got = sorted(map(tuple, repair.write_and_read(docs).collect()), key=lambda r: r[1])
         coded = [
@@ -300,6 +300,28 @@ def test_shards(spark, sf_dir):
         assert got == want
 
 
+def test_rows_of_one_id_are_spread_over_parts(spark, tmp_path):
+    rows = [(None if i % 2 else 7, f"row {i} of many") for i in range(3000)] + [(i, "x") for i in range(20)]
+    folder = str(tmp_path / "shards")
+    repair.write_shards(frame(spark, rows), folder)
+    sizes = [len(r.counts) // 8 for r in spark.read.schema(repair.FORMAT).parquet(folder).collect()]
+    assert len(sizes) >= 6 and max(sizes) < 1000 and sum(sizes) == len(rows)
+    got = sorted(map(tuple, repair.read_documents(spark, folder).collect()), key=lambda r: r[1])
+    ids = [r[0] for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert [r[1] for r in got] == np.concatenate([[0], np.cumsum([r[2] for r in got])[:-1]]).tolist()
+
+
+def test_grammar_replaces_until_few_pairs_are_left():
+    draw = np.random.default_rng(3)
+    same, varied = np.tile(draw.integers(0, 40, 64), 2000), draw.integers(0, 300, 20_000)
+    for ids, most in ((np.full(100_000, 5), 40), (same, 60), (varied, 20_000)):
+        last = np.zeros(len(ids), bool)
+        last[-1] = True
+        symbols, rules = repair.compress(ids.astype(np.uint16), last, 50_257)
+        assert len(symbols) <= most and (repair.expand(symbols, rules, 50_257) == ids).all()
+
+
 def test_grammar_gives_back_every_range():
     draw = np.random.default_rng(2)
     texts = [np.append(np.tile(draw.integers(0, 40, 30), draw.integers(1, 60)), 2).astype("<u2") for _ in range(50)]
@@ -327,3 +349,24 @@ def test_pipeline(spark, sf_dir):
     rows = [x for x, b in zip(rows, bad, strict=True) if not b[3]]
     got = corpus_pipeline.run(spark, sf_dir).select("doc_id", "n_tokens", "decoded_sha256").collect()
     assert counted(map(tuple, got)) == counted((i, len(encoding.encode_ordinary(t)), brute.sha(t)) for i, t in rows)
+
+
+def test_stages_keep_other_columns_whole(spark):
+    names = ("maybe", "_id", "_version", "_bits", "_bucket", "row", "a.b", "version", "component_id")
+    items = spark.createDataFrame(BENCHMARK, "item_id bigint, text string")
+    for rows in (ODD, [(i % 3, "same words in all of these rows") for i in range(9)], []):
+        docs = frame(spark, rows, extra=False).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in names})
+        known = {tuple(r) for r in docs.collect()}
+        for kept in (
+            quality_rules.keep_good(docs), jaccard.one_of_each(docs), decontaminate.drop_contaminated(docs, items),
+        ):
+            assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} <= known
+
+
+def test_both_sides_share_their_turns(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    sizes = {r.conv_id: r["count"] for r in turns.groupBy("conv_id").count().collect()}
+    got = QUERIES["op2_preference_format"](spark, sf_dir).collect()
+    assert {r.pair_id for r in got} == set(sizes)
+    assert all(r.n_prompt_turns > 0 for r in got if sizes[r.pair_id] > 1)
+    assert sum(r.prompt != "" and r.chosen != r.rejected for r in got) > len(got) / 2
