@@ -21,6 +21,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from costlens.functions.columns import MONEY, money, total  # noqa: E402
 from costlens.operators.dataset import DATASETS, as_dataset  # noqa: E402
+from costlens.operators import distinct  # noqa: E402
 from costlens.operators.dedup import latest_snapshot  # noqa: E402
 from costlens.plans import focus_reports as focus  # noqa: E402
 from costlens.plans import usage_reports as usage  # noqa: E402
@@ -510,6 +511,20 @@ def _export_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(read_export(spark, lake, "daily", multi_line=True)).select(*shown)
 
 
+def _distinct_over_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resources and customers a month, from bitmaps of days; nothing but bitmaps is read for the month."""
+    work = scratch_dir(spark, "distinct")
+    rows = focus_rows(spark, sf_dir, [PERIOD, "ChargePeriodStart", "ResourceId", "SubAccountId"])
+    counts = []
+    for column, name in (("ResourceId", "ResourceCount"), ("SubAccountId", "CustomerCount")):
+        distinct.numbered(rows, column).write.parquet(f"{work}/{column}")
+        known = spark.read.parquet(f"{work}/{column}")
+        daily = distinct.bitmaps(rows, [PERIOD, "ChargePeriodStart"], column, known)
+        daily.write.parquet(f"{work}/{column}-days")
+        counts.append(distinct.counted(spark.read.parquet(f"{work}/{column}-days"), [PERIOD], name))
+    return counts[0].join(counts[1], PERIOD)
+
+
 def _export_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An export with files, and one that still waits for its first."""
     delivered = _exports(spark, sf_dir)[0]
@@ -559,8 +574,9 @@ def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
     try:
         import corpus_pipeline
         from costlens.llm.queries import ORACLE_SQL, QUERIES
-    except ModuleNotFoundError as missing:
-        if not (missing.name or "").startswith(("corpus_pipeline", "costlens.llm")):
+    except ImportError as missing:
+        # the subpackage, or a package that only it needs
+        if (missing.name or "").startswith(("pyspark", "costlens.")) and not missing.name.startswith("costlens.llm"):
             raise
         return {}, {}
     sql = {**ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
@@ -590,6 +606,7 @@ def billing_queries() -> dict[str, Query]:
         "ingest_exports": _ingest_exports,
         "ingest_incremental": _ingest_incremental,
         "ingest_versions": _ingest_versions,
+        "distinct_over_days": _distinct_over_days,
         "export_multiline": _export_multiline,
         "ingested_month_over_month": _ingested_month_over_month,
         "export_latest_run_overall": _export_latest_run_overall,

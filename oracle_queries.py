@@ -405,6 +405,9 @@ ORACLE = {
     WHERE ((version > 1 AND month(BillingPeriodStart) % 2 = 0) OR day(ChargePeriodStart) <= 15)
       AND (version < 3 OR BillingPeriodStart <> date_trunc('month', TIMESTAMP '{AS_OF}'))
     GROUP BY version, BillingPeriodStart"""),
+    "distinct_over_days": _focus("""
+    SELECT BillingPeriodStart, COUNT(DISTINCT ResourceId) AS "ResourceCount", COUNT(DISTINCT SubAccountId) AS "CustomerCount"
+    FROM focus GROUP BY BillingPeriodStart"""),
     "export_multiline": _focus("""
     SELECT BillingPeriodStart, ResourceId, BilledCost, ServiceName,
         CASE WHEN ChargeCategory = 'A' THEN '{"owner": "' || ServiceName || '",' || chr(10) || chr(10)
