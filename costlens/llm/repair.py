@@ -97,8 +97,11 @@ class Library:
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts without added tokens."""
-        if any(map(WIDE.search, texts)):
-            return bpe.encode_pieces(texts, self.known, self._new, REMEMBERED)
+        wide = [x for x in texts if WIDE.search(x)]
+        if wide:
+            coded = iter(bpe.encode_pieces(wide, self.known, self._new, REMEMBERED))
+            rest = iter(self._plain([x for x in texts if not WIDE.search(x)]))
+            return [next(coded if WIDE.search(x) else rest) for x in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         cut = [PIECES.findall(x) for x in texts]
