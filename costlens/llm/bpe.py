@@ -8,7 +8,7 @@ scan over blocks, then all positions.  The pieces go through a cache of merged
 pairs; token ends (in bytes) are kept, so any token can be decoded in place.
 
 Defined results: null and empty texts have no tokens; texts of any length are
-scanned whole; repeated rows get equal results; an empty table gives no rows; only
+scanned whole, those without tokens end at byte 0; repeated rows get equal results; an empty table gives no rows; only
 the named columns are read, so other columns may have any names.
 """
 
@@ -39,6 +39,8 @@ MERGED_AT_ONCE = 20_000
 NO_PAIR = np.int32(2**31 - 1)
 #: Positions in a block of the scan.
 BLOCK = 256
+#: Bytes of a text that are decoded at once.
+DECODED_AT_ONCE = 2**16
 
 # The white space of the cutting pattern.
 WHITE_SPACE = [(0x9, 0xD), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
@@ -327,8 +329,11 @@ class Vocabulary:
         """Bytes up to the end of each token."""
         return np.cumsum(self.lengths[ids])
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+    def decode(self, ids: np.ndarray, ends: np.ndarray, start: int, stop: int) -> bytes:
+        """Bytes ``start`` to ``stop`` of what the ids stand for, from the tokens that cover them."""
+        a, b = np.searchsorted(ends, [start, stop - 1], "right").tolist()
+        first = int(ends[a - 1]) if a else 0
+        return b"".join(map(self.bytes.__getitem__, ids[a : b + 1].tolist()))[start - first : stop - first]
 
     def spell(self, ids: np.ndarray) -> str:
         return " ".join(map(self.names.__getitem__, ids.tolist()))
@@ -373,14 +378,33 @@ def encode(
     return _mapped(docs, id_col, text_col, "ids array<int>, ends array<bigint>", rows)
 
 
-def decode(encoded: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id") -> DataFrame:
-    """Per document: the ``bytes`` its ``ids`` stand for."""
-    encoded = encoded.select(id_col, "ids")
+def decode(
+    encoded: DataFrame,
+    path: str = VOCABULARY,
+    id_col: str = "doc_id",
+    start: int = 0,
+    stop: int | None = None,
+) -> DataFrame:
+    """Per document: the ``bytes`` its ``ids`` stand for, or those from ``start`` to ``stop``.
+
+    ``ends`` says which tokens cover the range; the others aren't looked at.  A range
+    beyond the end of a text is cut there.
+    """
+    encoded = encoded.select(id_col, "ids", "ends")
+
+    def part(vocab, ids, ends):
+        size = int(ends[-1]) if len(ends) else 0
+        last = size if stop is None else min(stop, size)
+        return vocab.decode(ids, ends, start, last) if start < last else b""
 
     def each(batches):
         vocab = vocabulary(path)
         for batch in batches:
-            data = [vocab.decode(np.asarray(x.values or [], np.int32)) for x in batch.column(1)]
+            rows = zip(batch.column(1), batch.column(2), strict=True)
+            data = [
+                part(vocab, np.asarray(x.values or [], np.int32), np.asarray(y.values or [], np.int64))
+                for x, y in rows
+            ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names)
 
     schema = T.StructType([encoded.schema[0], T.StructField("bytes", T.BinaryType())])
@@ -391,20 +415,29 @@ def decode(encoded: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id") -
 def round_trip(
     docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Per document: token count, digest of the ids, and digest of what they decode to.
+    """Per document: token count, digest of the ids, digest of what they decode to, and
+    the byte at which the last token ends.
 
-    The same as encode() and decode() in a row, in one pass over the texts.
+    The same as encode() and decode() in a row, in one pass over the texts.  Bytes are
+    decoded in ranges of ``DECODED_AT_ONCE`` by the token ends.
     """
 
+    def decoded(vocab, ids, ends) -> str:
+        digest, size = hashlib.sha256(), int(ends[-1]) if len(ends) else 0
+        for at in range(0, size, DECODED_AT_ONCE):
+            digest.update(vocab.decode(ids, ends, at, min(at + DECODED_AT_ONCE, size)))
+        return digest.hexdigest()
+
     def rows(texts):
         vocab = vocabulary(path)
         ids = vocab.encode(texts)
-        digest = lambda data: hashlib.sha256(data).hexdigest()
+        ends = [vocab.ends(x) for x in ids]
         return (
             pa.array([len(x) for x in ids], pa.int64()),
-            pa.array([digest(vocab.spell(x).encode()) for x in ids], pa.string()),
-            pa.array([digest(vocab.decode(x)) for x in ids], pa.string()),
+            pa.array([hashlib.sha256(vocab.spell(x).encode()).hexdigest() for x in ids], pa.string()),
+            pa.array([decoded(vocab, x, y) for x, y in zip(ids, ends, strict=True)], pa.string()),
+            pa.array([int(y[-1]) if len(y) else 0 for y in ends], pa.int64()),
         )
 
-    columns = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    columns = "n_tokens bigint, ids_sha256 string, decoded_sha256 string, last_end bigint"
     return _mapped(docs, id_col, text_col, columns, rows)

@@ -171,13 +171,16 @@ def test_bpe(spark, sf_dir):
         got = counted(map(tuple, bpe.round_trip(docs).collect()))
         ids = [encoding.encode_ordinary(t or "") for _, t in rows]
         assert got == counted(
-            (i, len(x), brute.sha(" ".join(map(str, x))), brute.sha(t or ""))
+            (i, len(x), brute.sha(" ".join(map(str, x))), brute.sha(t or ""), len((t or "").encode()))
             for (i, t), x in zip(rows, ids, strict=True)
         )
     coded = bpe.encode(frame(spark, ODD))
     assert counted((r.doc_id, bytes(r.bytes).decode()) for r in bpe.decode(coded).collect()) == counted(
         (i, t or "") for i, t in ODD
     )
+    for a, b in ((0, 0), (0, 1), (3, 4), (2, 11), (5, 10**6), (9, 3)):  # ranges that begin or end within a token too
+        got = counted((r.doc_id, bytes(r.bytes)) for r in bpe.decode(coded, start=a, stop=b).collect())
+        assert got == counted((i, (t or "").encode()[a:b]) for i, t in ODD)
     for row in coded.where("doc_id = 10").collect():
         data, text = [0, *row.ends], dict(ODD)[10].encode()
         parts = [text[a:b] for a, b in zip(data, data[1:], strict=False)]
