@@ -50,6 +50,7 @@ from costlens.sources.tables import (  # noqa: E402
     write_table,
 )
 from costlens.streaming.ingest import ingest_exports  # noqa: E402
+from costlens.streaming.rollups import ROLLUPS, read_rollup  # noqa: E402
 from costlens.streaming.version_log import read_version  # noqa: E402
 from oracle_queries import AS_OF, ORACLE, TENANT  # noqa: E402
 
@@ -497,6 +498,69 @@ def _ingest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown[0].union(shown[1]).union(shown[2])
 
 
+@cache
+def _rolled_up(spark: SparkSession, sf_dir: str) -> str:
+    """The exports as a versioned table with its rollups."""
+    root = _exports(spark, sf_dir)[0].rsplit("/", 1)[0]
+    work = scratch_dir(spark, "rollups")
+    places = root, f"{work}/table", f"{work}/checkpoint"
+    ingest_exports(spark, *places, versioned=True, rollups=ROLLUPS).awaitTermination()
+    return places[1]
+
+
+def _on_rollup(report, name: str, *args, **kwargs) -> Query:
+    """A report answered from maintained partial sums; no charges are read."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return report(read_rollup(spark, _rolled_up(spark, sf_dir), name), *args, as_of=AS_OF, **kwargs)
+
+    return query
+
+
+def _rollup_reports() -> dict[str, Query]:
+    """By the name of the same report on charges, ``rollup_`` before it."""
+    return {
+        "rollup_cost_by_customer": _on_rollup(focus.cost_by_customer, "resources"),
+        "rollup_focus_daily_trend": _on_rollup(focus.daily_trend, "resources"),
+        "rollup_focus_daily_trend_short": _on_rollup(focus.daily_trend_short, "customers"),
+        "rollup_focus_daily_trend_charge": _on_rollup(focus.daily_trend, "days", date_col="ChargePeriodStart"),
+        "rollup_cost_by_service_category": _on_rollup(focus.cost_by_service_category, "resources"),
+        "rollup_top10_customers": _on_rollup(focus.top10_customers, "resources"),
+        "rollup_cost_by_region": _on_rollup(focus.cost_by_region, "resources"),
+        "rollup_customer_deep_dive": _on_rollup(focus.customer_deep_dive, "resources", TENANT),
+        "rollup_discount_analysis": _on_rollup(focus.discount_analysis, "customers"),
+        "rollup_month_over_month": _on_rollup(focus.month_over_month, "customers"),
+        "rollup_untagged_resources": _on_rollup(focus.untagged_resources, "resources"),
+        "rollup_commitment_utilization": _on_rollup(focus.commitment_utilization, "customers"),
+        "rollup_customer_summary": _on_rollup(focus.customer_summary, "resources"),
+        "rollup_customer_trend": _on_rollup(focus.customer_trend, "customers", TENANT),
+        "rollup_service_breakdown": _on_rollup(focus.service_breakdown, "customers"),
+    }
+
+
+def _rollup_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q-21 from the rollup after the three steps of ``ingest_versions``."""
+    work = scratch_dir(spark, "rollups")
+    lake, table, checkpoint = (f"{work}/{x}" for x in ("lake", "table", "checkpoint"))
+    rows = focus_rows(spark, sf_dir, FOCUS_STAR_COLUMNS)
+
+    def ingest() -> DataFrame:
+        names = ["resources"]
+        ingest_exports(spark, lake, table, checkpoint, versioned=True, rollups=names).awaitTermination()
+        return focus.customer_summary(read_rollup(spark, table, "resources"), AS_OF, days_back=150)
+
+    write_mtd_history(rows, lake, "daily", 15)
+    reports = [ingest()]
+    write_mtd_history(rows.filter(F.month(PERIOD) % 2 == 0), lake, "daily", 31)
+    reports.append(ingest())
+    month = f"{_THIS_MONTH:%Y%m%d}-{_THIS_MONTH:%Y%m}31"
+    header = spark.createDataFrame([FOCUS_STAR_COLUMNS], ", ".join(f"`{c}` string" for c in FOCUS_STAR_COLUMNS))
+    header.coalesce(1).write.csv(f"{lake}/daily/daterange={month}/run=99")
+    reports.append(ingest())
+    shown = [r.withColumn("version", F.lit(i)) for i, r in enumerate(reports, 1)]
+    return shown[0].union(shown[1]).union(shown[2])
+
+
 def _export_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of several lines with doubled quotes, in plain and compressed parts."""
     root = scratch_dir(spark, "multiline")
@@ -606,6 +670,8 @@ def billing_queries() -> dict[str, Query]:
         "ingest_exports": _ingest_exports,
         "ingest_incremental": _ingest_incremental,
         "ingest_versions": _ingest_versions,
+        **_rollup_reports(),
+        "rollup_versions": _rollup_versions,
         "distinct_over_days": _distinct_over_days,
         "export_multiline": _export_multiline,
         "ingested_month_over_month": _ingested_month_over_month,

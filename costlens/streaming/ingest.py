@@ -26,6 +26,7 @@ from costlens.sources.exports import (
 from costlens.sources.normalize import normalize
 from costlens.sources.schema import EXPORT_PERIOD, EXPORT_SCOPE, FLAT_PERIOD
 from costlens.sources.tables import read_table, write_table
+from costlens.streaming.rollups import refresh_rollups
 from costlens.streaming.version_log import Conflict, VersionLog
 
 # The columns of a file listing source.
@@ -184,6 +185,7 @@ def ingest_exports(
     settle_seconds: int = 0,
     as_of: AsOf = None,
     versioned: bool = False,
+    rollups: Iterable[str] = (),
 ) -> StreamingQuery:
     """Process the files that arrived since the last call, then stop (ST-01).
 
@@ -194,9 +196,13 @@ def ingest_exports(
     before the stream starts.  The caller waits with ``awaitTermination()``.
 
     With ``versioned`` the months of a batch are published together, read the table with
-    :func:`costlens.streaming.version_log.read_version`.
+    :func:`costlens.streaming.version_log.read_version`.  The ``rollups`` named are brought in step after
+    every batch, and before the first one in case an earlier call died on the way.
     """
-    formats = tuple(date_formats)
+    formats, rollups = tuple(date_formats), tuple(rollups)
+    if rollups and not versioned:
+        raise ValueError("rollups need a versioned table")
+    refresh_rollups(spark, table, rollups)
     state = _State(spark, checkpoint)
 
     def refresh(keys: DataFrame, session: SparkSession = spark) -> None:
@@ -207,6 +213,7 @@ def ingest_exports(
             except Conflict:
                 if not left:
                     raise
+        refresh_rollups(session, table, rollups)
         touched = {_key(r) for r in keys.select(*_KEYS).distinct().collect()}
         _State(session, checkpoint).note(touched, waiting)
 

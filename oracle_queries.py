@@ -405,6 +405,15 @@ ORACLE = {
     WHERE ((version > 1 AND month(BillingPeriodStart) % 2 = 0) OR day(ChargePeriodStart) <= 15)
       AND (version < 3 OR BillingPeriodStart <> date_trunc('month', TIMESTAMP '{AS_OF}'))
     GROUP BY version, BillingPeriodStart"""),
+    "rollup_versions": _focus(f"""
+    , loaded AS (SELECT unnest(range(1, 4))::INTEGER AS version, * FROM focus)
+    SELECT version, {_CUSTOMER}, {_sum("BilledCost", "TotalCost")}, {_sum("EffectiveCost", "EffectiveCost")},
+        {_distinct("ServiceName", "ServicesUsed")}, {_distinct("ResourceId", "ResourceCount")}
+    FROM loaded
+    WHERE ((version > 1 AND month(BillingPeriodStart) % 2 = 0) OR day(ChargePeriodStart) <= 15)
+      AND (version < 3 OR BillingPeriodStart <> date_trunc('month', TIMESTAMP '{AS_OF}'))
+      AND BillingPeriodStart >= TIMESTAMP '{AS_OF}' - INTERVAL 150 DAY
+    GROUP BY version, SubAccountName, SubAccountId"""),
     "distinct_over_days": _focus("""
     SELECT BillingPeriodStart, COUNT(DISTINCT ResourceId) AS "ResourceCount", COUNT(DISTINCT SubAccountId) AS "CustomerCount"
     FROM focus GROUP BY BillingPeriodStart"""),
@@ -432,3 +441,12 @@ ORACLE = {
     UNION ALL SELECT 'view_exists', TRUE, NULL
     UNION ALL SELECT 'view_has_rows', COUNT(*) > 0, COUNT(*) FROM lineitem""",
 }
+
+# Reports on rollups of the ingested exports equal the same reports on the exports' charges.
+ROLLED_UP = (
+    "cost_by_customer", "focus_daily_trend", "focus_daily_trend_short", "focus_daily_trend_charge",
+    "cost_by_service_category", "top10_customers", "cost_by_region", "customer_deep_dive",
+    "discount_analysis", "month_over_month", "untagged_resources", "commitment_utilization",
+    "customer_summary", "customer_trend", "service_breakdown",
+)
+ORACLE |= {f"rollup_{name}": _exported(ORACLE[name]) for name in ROLLED_UP}
