@@ -255,6 +255,49 @@ def test_archives(spark, sf_dir, tmp_path):
     assert warc.write_and_read(spark, str(empty)).count() == 0
 
 
+def test_lookup_reads_the_blocks_it_needs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_ENTRIES", 7)
+    n = F.col("id")
+    hot = F.when(n < 60, "http://hot.example/same")  # one capture key that fills several blocks
+    pages = spark.range(900).select(
+        F.when(n < 60, 1).otherwise(n).alias("page_id"),
+        F.coalesce(hot, F.concat(F.lit("http://h"), n % 13, F.lit(".example/p"), n)).alias("url"),
+        F.concat(F.lit("page "), n, F.repeat(F.lit("x"), (n % 50).cast("int"))).alias("html"),
+    )
+    warc.write_archives(pages, f"{tmp_path}/a")
+    warc.build_index(spark, f"{tmp_path}/a", f"{tmp_path}/i")
+    directory = spark.read.parquet(f"{tmp_path}/i/directory")
+    assert directory.count() >= 900 // 7
+    key = warc.capture_key(warc.target(F.col("url")), F.col("page_id")).alias("key")
+    ten = pages.where(n >= 60).where("page_id % 90 = 61").unionAll(pages.where("page_id = 99")).limit(10)
+    wanted = sorted(r.page_id for r in ten.collect())
+    absent = spark.createDataFrame([("zz) 0",), ("",), (None,)], "key string")
+    found = warc.lookup(spark, f"{tmp_path}/i", ten.select(key).union(absent)).collect()
+    assert sorted(r.page_id for r in found) == wanted
+    read = warc.blocks_of(spark, f"{tmp_path}/i", ten.select(key)).select("path", "place").distinct()
+    assert 0 < read.count() <= 10
+    hot_ones = warc.lookup(spark, f"{tmp_path}/i", pages.where("page_id = 1").select(key))
+    assert hot_ones.count() == 60 and hot_ones.select("payload_digest").distinct().count() == 60
+
+
+def test_archives_of_others(spark, tmp_path):
+    block = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\nhello"
+    ids = {"warcinfo": "<urn:uuid:1>", "response": "<urn:uuid:5f0c-11>"}
+    data = b"".join(
+        f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {name}\r\nWARC-Target-URI: http://b.a/x\r\n"
+        f"Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+        for kind, name in ids.items()
+    )
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "crawl.warc").write_bytes(data)
+    warc.build_index(spark, str(tmp_path / "a"), str(tmp_path / "i"))
+    key = spark.createDataFrame([("http://b.a/x", ids["response"])], "url string, id string")
+    key = key.select(warc.capture_key(F.col("url"), F.col("id")).alias("key"))
+    (row,) = warc.lookup(spark, str(tmp_path / "i"), key).collect()
+    assert (row.page_id, row.url, row.payload_bytes) == (None, "http://b.a/x", 5)
+    assert row.payload_digest == brute.sha("hello")
+
+
 def test_near_duplicates(spark, sf_dir):
     for docs, rows in both(spark, sf_dir):
         got = jaccard.near_duplicates(docs).collect()
