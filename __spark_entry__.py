@@ -441,6 +441,13 @@ def _typed_table_month_over_month(spark: SparkSession, sf_dir: str) -> DataFrame
     return focus.month_over_month(read_table(spark, path), AS_OF)
 
 
+def _clustered_customer_deep_dive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q-16 on a table whose files are clustered by customer."""
+    path = scratch_dir(spark, "clustered")
+    write_table(focus_rows(spark, sf_dir, FOCUS_STAR_COLUMNS), path, cluster_by=("SubAccountId",))
+    return focus.customer_deep_dive(read_table(spark, path), TENANT, AS_OF)
+
+
 def _ingest_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _exports(spark, sf_dir)[0].rsplit("/", 1)[0]
     work = scratch_dir(spark, "ingest")
@@ -667,6 +674,7 @@ def billing_queries() -> dict[str, Query]:
         "export_flat_legacy": _export_flat_legacy,
         "typed_table": _typed_table,
         "typed_table_month_over_month": _typed_table_month_over_month,
+        "typed_table_customer_deep_dive": _clustered_customer_deep_dive,
         "ingest_exports": _ingest_exports,
         "ingest_incremental": _ingest_incremental,
         "ingest_versions": _ingest_versions,

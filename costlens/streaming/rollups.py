@@ -1,7 +1,7 @@
 """Partial sums of a versioned table, kept in step month by month (Q-11 .. Q-23).
 
 A rollup is a smaller table of charges: rows that agree in its keys are added up, and
-the columns keep their names.  So the reports of :mod:`costlens.plans.focus_reports` run on it as
+the columns keep their names; a month's files are clustered by customer.  So the reports of :mod:`costlens.plans.focus_reports` run on it as
 they are: a sum of partial sums is the sum, and a distinct count is exact as long as what it
 counts is one of the keys.
 
@@ -122,7 +122,7 @@ def _refresh(charges: VersionLog, name: str) -> None:
         rows = read_folders(charges, stale.values(), rollup.charge_columns)
         sums = rollup.partials(rows, also=(*KEYS, WRITE))
         sums = sums.withColumn(WRITE, F.concat(F.lit(f"{write}-"), F.col(WRITE)))
-        write_table(sums, own.data, (*KEYS, WRITE), mode="append")
+        write_table(sums, own.data, (*KEYS, WRITE), mode="append", cluster_by=("SubAccountId",))
         filled = {k: f.replace(f"/{WRITE}=", f"/{WRITE}={write}-") for k, f in stale.items()}
     if filled or gone:
         own.commit(base, filled, gone)

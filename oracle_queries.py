@@ -450,3 +450,4 @@ ROLLED_UP = (
     "customer_summary", "customer_trend", "service_breakdown",
 )
 ORACLE |= {f"rollup_{name}": _exported(ORACLE[name]) for name in ROLLED_UP}
+ORACLE["typed_table_customer_deep_dive"] = ORACLE["customer_deep_dive"]
