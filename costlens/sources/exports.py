@@ -38,7 +38,7 @@ ROOT_PROBES = 16
 # <scope>/<daterange>/[<run>/...]<file>; the last date range of a path counts.
 _DATED = r"^(.*)/(?:[^/=]+=)?(\d{8})-\d{8}/"
 _RUN = r"^.*/(?:[^/=]+=)?\d{8}-\d{8}/([^/]+)/"
-_RUN_DIR = r"^(.*/(?:[^/=]+=)?\d{8}-\d{8}/[^/]+)/.+$"
+RUN_DIR = r"^(.*/(?:[^/=]+=)?\d{8}-\d{8}/[^/]+)/.+$"
 _PARENT = r"^(.*)/[^/]+$"
 
 LISTING = (
@@ -126,7 +126,7 @@ def list_export_files(
     files = files.select(
         F.col("_metadata.file_path").alias("file"), "path", "modificationTime", "length"
     )
-    run_dir = F.regexp_extract("path", _RUN_DIR, 1)
+    run_dir = F.regexp_extract("path", RUN_DIR, 1)
     escaped = lambda c: F.regexp_replace(c, r"([\\{}\[\]*?])", r"\\$1")
     return files.select(
         "*",
@@ -211,7 +211,7 @@ def layouts_of(spark: SparkSession, runs: Sequence[Row]) -> dict[tuple[str, ...]
     layouts: dict[tuple[str, ...], list[Row]] = {}
     for run in runs:
         file = run["sample"]["file"]
-        home = re.match(_RUN_DIR, file)
+        home = re.match(RUN_DIR, file)
         below = f"{home[1] if home else file.rpartition('/')[0]}/"
         line = lines.get(file) or next((x for f, x in sorted(others.items()) if f.startswith(below)), None)
         if line:

@@ -23,6 +23,7 @@ from costlens.sources.exports import (
     read_runs,
     scope_of,
 )
+from costlens.sources.manifests import complete_only
 from costlens.sources.normalize import normalize
 from costlens.sources.schema import EXPORT_PERIOD, EXPORT_SCOPE, FLAT_PERIOD
 from costlens.sources.tables import read_table, write_table
@@ -79,6 +80,7 @@ def refresh_periods(
     settle_seconds: int = 0,
     as_of: AsOf = None,
     versioned: bool = False,
+    manifests: bool = False,
 ) -> set[Key]:
     """Rewrite the table partitions of every (export, period) named in ``arrivals``.
 
@@ -88,6 +90,9 @@ def refresh_periods(
     touched within ``settle_seconds`` may be half written: the one before it stays, and
     its key is returned, because no new file may ever ask for it again.
 
+    With ``manifests`` the same holds for a run whose parts don't agree with its manifest yet
+    (:mod:`costlens.sources.manifests`).
+
     ``versioned`` publishes all touched months in one step as the next version of the
     table (:mod:`costlens.streaming.version_log`); else a reader may see some of them replaced
     and others not yet.
@@ -104,8 +109,9 @@ def refresh_periods(
     files = list_export_files(spark, sorted(folders))
     newest = [r for r in latest_runs(files).collect() if _key(r) in touched]
     runs = newest
-    if settle_seconds:
-        settled = latest_runs(files, settle_seconds=settle_seconds, as_of=as_of)
+    if settle_seconds or manifests:
+        whole = complete_only(files) if manifests else files
+        settled = latest_runs(whole, settle_seconds=settle_seconds, as_of=as_of)
         runs = [r for r in settled.collect() if _key(r) in touched]
     chosen = {_key(r): r["run_path"] for r in runs}
     waiting = {_key(r) for r in newest if chosen.get(_key(r)) != r["run_path"]}
@@ -186,13 +192,14 @@ def ingest_exports(
     as_of: AsOf = None,
     versioned: bool = False,
     rollups: Iterable[str] = (),
+    manifests: bool = False,
 ) -> StreamingQuery:
     """Process the files that arrived since the last call, then stop (ST-01).
 
     The stream only says *which* periods changed; it reads no file content.  The
     table is partitioned by export and period, so a changed month is replaced
     without touching the others.  Files that a reseller's export overwrites in place
-    are found by their time, and runs passed over as unsettled are tried again, both
+    are found by their time, and runs passed over as unsettled or incomplete are tried again, both
     before the stream starts.  The caller waits with ``awaitTermination()``.
 
     With ``versioned`` the months of a batch are published together, read the table with
@@ -208,7 +215,7 @@ def ingest_exports(
     def refresh(keys: DataFrame, session: SparkSession = spark) -> None:
         for left in range(CONFLICTS, -1, -1):
             try:
-                waiting = refresh_periods(keys, table, formats, settle_seconds, as_of, versioned)
+                waiting = refresh_periods(keys, table, formats, settle_seconds, as_of, versioned, manifests)
                 break
             except Conflict:
                 if not left:

@@ -451,3 +451,8 @@ ROLLED_UP = (
 )
 ORACLE |= {f"rollup_{name}": _exported(ORACLE[name]) for name in ROLLED_UP}
 ORACLE["typed_table_customer_deep_dive"] = ORACLE["customer_deep_dive"]
+ORACLE["export_complete_runs"] = _focus(f"""
+    SELECT BillingPeriodStart, COUNT(*) AS "RowCount", {_sum("BilledCost", "TotalCost")},
+        {_sum("ConsumedQuantity", "TotalUsage")}
+    FROM focus WHERE month(BillingPeriodStart) % 2 = 0 OR day(ChargePeriodStart) <= 15
+    GROUP BY BillingPeriodStart""")
