@@ -8,6 +8,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from costlens.operators.absent import may_be_listed, rows_absent
 from costlens.operators.dataset import as_dataset
 from costlens.operators.dedup import latest_snapshot
 from costlens.operators.rollup import cost_rollup
@@ -324,6 +325,47 @@ def test_latest_snapshot_of_two_exports(spark):
     assert sorted(tuple(r) for r in latest_snapshot(df, "run").collect()) == [rows[1], rows[2]]
 
 
+def test_latest_snapshot_is_sent_to_rows_that_stay_where_they_are(spark):
+    df = spark.range(20_000).selectExpr("id % 7 period", "id % 5 run", "id v")
+    assert "Exchange hashpartitioning" not in physical(latest_snapshot(df, "run", ["period"]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        shuffled = latest_snapshot(df, "run", ["period"])
+        assert "Broadcast" not in physical(shuffled)
+        got = shuffled.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == latest_snapshot(df, "run", ["period"]).count() == sum(i % 5 == 4 for i in range(20_000))
+
+
+@pytest.mark.parametrize("listed", [0, 500, 1_000])
+def test_absent_rows_by_the_share_that_is_listed(spark, listed):
+    key = F.when(F.col("id") % 11 != 0, F.concat(F.lit("k"), (F.col("id") % 1_000).cast("string")))
+    df = spark.range(5_000).select(key.alias("key"), F.col("id").alias("maybe"), F.lit(1).alias("bits"))
+    names = spark.range(1_000).selectExpr(f"CASE WHEN id < {listed} THEN concat('k', id) END key", "id other")
+    got = rows_absent(df, "key", names)
+    assert got.columns == df.columns
+    want = [(f"k{i % 1_000}", i, 1) for i in range(5_000) if i % 11 and i % 1_000 >= listed]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert rows_absent(df, "key", names, null_aware=True).count() == (len(want) if listed == 1_000 else 0)
+
+
+def test_absent_rows_of_empty_sides(spark):
+    df = spark.createDataFrame([("a",), (None,)], "key string")
+    assert [r.key for r in rows_absent(df, "key", df.limit(0)).collect()] == ["a"]
+    assert rows_absent(df.limit(0), "key", df).count() == 0
+
+
+def test_only_rows_that_may_be_listed_reach_the_anti_join(spark):
+    df = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    names = df.where("key like 'k1___'")
+    maybe = may_be_listed(F.col("key"), names, "key")
+    seen = df.filter(maybe)
+    assert names.join(seen, "key", "left_anti").count() == 0
+    assert 1_000 <= seen.count() <= 1_010
+
+
 def test_unused_resources_compare_ids_in_any_case(spark):
     rows = [("2024-10-14", "1", "/Sub/VM1", "g"), ("2024-09-01", "1", "/sub/vm1", "g"), ("2024-09-01", "1", "x", "g")]
     got = usage.unused_resources(billing(spark, USE, *rows), AS_OF, fold_case=True).collect()
