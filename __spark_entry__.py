@@ -155,6 +155,9 @@ def _reports() -> dict[str, Query]:
         "unused_resources": _usage_report(
             usage.unused_resources, [*dated_cost, "ResourceId", *group], as_of=AS_OF
         ),
+        "unused_resources_prefiltered": _usage_report(
+            usage.unused_resources, [*dated_cost, "ResourceId", *group], as_of=AS_OF, prefilter=True
+        ),
         "unused_resources_null_aware": _usage_report(
             usage.unused_resources,
             [*dated_cost, "ResourceId", *group],

@@ -34,7 +34,9 @@ def may_be_listed(key: Column, listed: DataFrame, name: str) -> Column:
     return F.coalesce(F.getbit(octet, at % 8) == 1, F.lit(False))
 
 
-def rows_absent(df: DataFrame, key: str, listed: DataFrame, null_aware: bool = False) -> DataFrame:
+def rows_absent(
+    df: DataFrame, key: str, listed: DataFrame, null_aware: bool = False, prefilter: bool = False
+) -> DataFrame:
     """Rows of ``df`` whose ``key`` is not NULL and not among ``listed[key]`` (J-02).
 
     By default NULLs in the list say nothing about other keys.  ``null_aware``
@@ -42,14 +44,19 @@ def rows_absent(df: DataFrame, key: str, listed: DataFrame, null_aware: bool = F
     as a plain anti join plus an uncorrelated EXISTS (one row, evaluated once),
     because ``NOT IN`` itself would broadcast the whole list.
 
-    Rows whose key has no bit in the list's map are absent and stay where they are; only
-    those that may be listed are shuffled to the exact anti join.  ``df`` is read once for each
-    of the two, so hand over an aggregate, whose exchange is reused, or a table.
+    ``prefilter``  rows whose key has no bit in the list's map are absent and stay where
+                   they are; only those that may be listed are shuffled to the exact anti
+                   join.  It pays where rows are many and wide and few of them listed: the
+                   map costs a job over the list, and ``df`` is read once for each branch.
     """
     known = listed.filter(F.col(key).isNotNull()).select(key).distinct()
     rows = df.filter(F.col(key).isNotNull())
-    maybe = may_be_listed(F.col(key), known, key)
-    rest = rows.filter(~maybe).union(rows.filter(maybe).join(known, key, "left_anti").select(*rows.columns))
+    if prefilter:
+        maybe = may_be_listed(F.col(key), known, key)
+        doubtful = rows.filter(maybe).join(known, key, "left_anti")
+        rest = rows.filter(~maybe).union(doubtful.select(*rows.columns))
+    else:
+        rest = rows.join(known, key, "left_anti")
     if null_aware:
         nulls = listed.filter(F.col(key).isNull()).select(key).limit(1)
         rest = rest.where(~nulls.exists())

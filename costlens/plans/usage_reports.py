@@ -138,12 +138,14 @@ def unused_resources(
     days: int = 7,
     null_aware: bool = False,
     fold_case: bool = False,
+    prefilter: bool = False,
 ) -> DataFrame:
     """Resources without any positive cost in the last days (Q-08).
 
     One grouping, marked with whether the resource was used, feeds both sides of the
     anti join, so the rows are read and combined once.  With ``fold_case`` ids and
     groups that differ only in case are the same and show their smallest spelling.
+    ``prefilter`` shuffles only resources that may be in use to the anti join.
     """
     used = trailing_days(USED_ON, as_of, days) & (as_column(COST) > 0)
     fold = F.lower if fold_case else F.col
@@ -152,9 +154,8 @@ def unused_resources(
         F.min(GROUP).alias("resourceGroup"),
         F.max(F.coalesce(used, F.lit(False))).alias("used"),
     )
-    absent = rows_absent(
-        marked.select("id", "resourceId", "resourceGroup"), "id", marked.filter("used").select("id"), null_aware
-    )
+    listed = marked.filter("used").select("id")
+    absent = rows_absent(marked.select("id", "resourceId", "resourceGroup"), "id", listed, null_aware, prefilter)
     return absent.select("resourceId", "resourceGroup")
 
 

@@ -235,6 +235,9 @@ ORACLE = {
     "unused_resources": _legacy(
         _UNUSED + " AND NOT EXISTS (SELECT 1 FROM recent r WHERE r.ResourceId = b.ResourceId)"
     ),
+    "unused_resources_prefiltered": _legacy(
+        _UNUSED + " AND NOT EXISTS (SELECT 1 FROM recent r WHERE r.ResourceId = b.ResourceId)"
+    ),
     "unused_resources_null_aware": _legacy(
         _UNUSED + " AND ResourceId NOT IN (SELECT ResourceId FROM recent)"
     ),

@@ -339,22 +339,23 @@ def test_latest_snapshot_is_sent_to_rows_that_stay_where_they_are(spark):
     assert got == latest_snapshot(df, "run", ["period"]).count() == sum(i % 5 == 4 for i in range(20_000))
 
 
+@pytest.mark.parametrize("prefilter", [False, True])
 @pytest.mark.parametrize("listed", [0, 500, 1_000])
-def test_absent_rows_by_the_share_that_is_listed(spark, listed):
+def test_absent_rows_by_the_share_that_is_listed(spark, listed, prefilter):
     key = F.when(F.col("id") % 11 != 0, F.concat(F.lit("k"), (F.col("id") % 1_000).cast("string")))
     df = spark.range(5_000).select(key.alias("key"), F.col("id").alias("maybe"), F.lit(1).alias("bits"))
     names = spark.range(1_000).selectExpr(f"CASE WHEN id < {listed} THEN concat('k', id) END key", "id other")
-    got = rows_absent(df, "key", names)
+    got = rows_absent(df, "key", names, prefilter=prefilter)
     assert got.columns == df.columns
     want = [(f"k{i % 1_000}", i, 1) for i in range(5_000) if i % 11 and i % 1_000 >= listed]
     assert sorted(map(tuple, got.collect())) == sorted(want)
-    assert rows_absent(df, "key", names, null_aware=True).count() == (len(want) if listed == 1_000 else 0)
+    assert rows_absent(df, "key", names, True, prefilter).count() == (len(want) if listed == 1_000 else 0)
 
 
 def test_absent_rows_of_empty_sides(spark):
     df = spark.createDataFrame([("a",), (None,)], "key string")
-    assert [r.key for r in rows_absent(df, "key", df.limit(0)).collect()] == ["a"]
-    assert rows_absent(df.limit(0), "key", df).count() == 0
+    assert [r.key for r in rows_absent(df, "key", df.limit(0), prefilter=True).collect()] == ["a"]
+    assert rows_absent(df.limit(0), "key", df, prefilter=True).count() == 0
 
 
 def test_only_rows_that_may_be_listed_reach_the_anti_join(spark):
