@@ -9,7 +9,10 @@ triangle inequality:
   among themselves,
 * two points whose distances to a common pivot differ by more than the radius can't
   be linked,
-* what is left on both sides of a region's border is compared in the next round.
+* what is left on both sides of a region's border is compared in the next round,
+* where much is left, because points of one region share passages but few are linked,
+  distances all lie within the radius of each other; such a crowd is split by further
+  shared shingles, again and again, until its cells are small (``split``).
 
 Voronoi cells of a few sampled documents can't carry this alone: unrelated texts
 share no shingle, so their distance to nearly every pivot is 1 and each window would
@@ -28,6 +31,8 @@ gives no rows; only the named columns are read, so other columns may have any na
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -48,6 +53,10 @@ FREQUENT, MOST_FREQUENT = 32, 2**20
 SHARED_BITS = 2**27
 #: Regions of up to so many points are compared directly.
 SMALL_REGION = 16
+#: Points outside a region's main component that are compared with all of it; more are split.
+CROWD = 64
+#: A cell is split if so much of its pairs is left, or less.
+LEAST_GAIN = 0.75
 SALTS = 32
 
 LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -302,27 +311,32 @@ def links(docs: DataFrame, found: DataFrame, first: DataFrame) -> DataFrame:
     known = stored(nodes.join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "known")
     ca, cb = (known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
     across = pairs.join(ca, "a").join(cb, "b").where("ca <> cb").select("a", "b")
-    rest = across.union(_across(large, known, near)).distinct()
+    further, certain = _across(large, known, near, sets)
+    rest = across.union(further).distinct()
     rest = rest.join(near, ["a", "b"], "left_anti")
     more = distances(rest, sets).where("linked").select("a", "b")
     linked = known.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return linked.union(more)
+    return linked.union(more).union(certain)
 
 
-def _across(large: DataFrame, known: DataFrame, near: DataFrame) -> DataFrame:
-    """Pairs of large regions between points outside the main component and all others.
+def _across(large: DataFrame, known: DataFrame, near: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of large regions between points outside the main component and all others, and links.
 
     A ring is what lies ``RADIUS`` around a point's distance to the region's pivot;
-    points outside it are further away than a link allows.
+    points outside it are further away than a link allows.  Regions with more than ``CROWD``
+    points outside are split further instead.
     """
     d = near.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "distance")
     placed = large.where("node <> pivot").join(known, "node").join(d, ["pivot", "node"], "left")
     placed = stored(placed, "placed")
     shares = placed.groupBy("region", "component").agg(F.count("*").alias("k"))
     main = shares.groupBy("region").agg(
-        F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")
+        F.max_by("component", F.struct("k", "component")).alias("main"),
+        F.count("*").alias("parts"),
+        (F.sum("k") - F.max("k")).alias("others"),
     )
-    outside = placed.join(main.where("parts > 1"), "region").where("component <> main")
+    main = stored(main.where("parts > 1"), "main")
+    outside = placed.join(main.where(F.col("others") <= CROWD), "region").where("component <> main")
     x, y = outside.alias("x"), placed.alias("y")
     ring = F.abs(F.col("x.distance") - F.col("y.distance")) <= RADIUS + 1e-9
     pairs = x.join(
@@ -333,7 +347,144 @@ def _across(large: DataFrame, known: DataFrame, near: DataFrame) -> DataFrame:
         & F.coalesce(ring, F.lit(True)),
     )
     a, b = F.col("x.node"), F.col("y.node")
-    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    pairs = pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    crowded = main.where(F.col("others") > CROWD)
+    if crowded.isEmpty():
+        return pairs, pairs.limit(0)
+    crowd = placed.join(crowded, "region", "left_semi").select("node", "component").distinct()
+    further, certain = split(crowd, sets)
+    return pairs.union(further), certain
+
+
+def _blocks(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each point of a crowd as its list of blocks, rare and long ones first.
+
+    A block is all shingles that the same points of the crowd have; a long one leaves a point
+    little to skip.  ``upto[i]`` counts the shingles of the first i blocks; ``spare`` of
+    them may be missing in a linked point.
+    """
+    members = sets.join(crowd, "node").withColumn("own", F.xxhash64("node", "shingles"))
+    members = members.groupBy("node", "own").agg(F.first("shingles").alias("shingles"), F.first("component").alias("component"))
+    each = members.select("node", "own", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    met = each.groupBy("shingle").agg(
+        F.count("*").alias("k"),
+        F.bit_xor("own").alias("x"),
+        F.bit_xor(F.xxhash64("own", F.lit(1))).alias("y"),
+    )
+    blocks = met.where("k > 1").groupBy("k", "x", "y").agg(F.min("shingle").alias("shingle"), F.count("*").alias("w"))
+    blocks = stored(blocks.select("shingle", "k", "w"), "blocks")
+    lists = each.join(blocks, "shingle").groupBy("own").agg(
+        F.first("node").alias("node"),
+        F.first("component").alias("component"),
+        F.first("n").cast("long").alias("n"),
+        F.sort_array(F.collect_list(F.struct((F.col("k") / F.col("w")).alias("rank"), "shingle", "w"))).alias("blocks"),
+    )
+    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.array(F.lit(0).cast("long")).alias("all"))
+
+    def add(so_far, block):
+        total = so_far["sum"] + block["w"]
+        return F.struct(total.alias("sum"), F.concat(so_far["all"], F.array(total)).alias("all"))
+
+    lists = lists.select(
+        "own", "node", "component", "n", F.col("blocks.shingle").alias("blocks"), F.aggregate("blocks", zero, add)["all"].alias("upto")
+    )
+    spare = F.element_at("upto", -1) - F.ceil(F.col("n") * LINK / F.lit(100))
+    return stored(lists.withColumn("spare", spare.cast("long")).where("spare >= 0"), "lists")
+
+
+def _further(cells: DataFrame, lists: DataFrame) -> DataFrame:
+    """Every cell's points in the cells of the next block they may have in common, or of none.
+
+    A point skips blocks only while it has shingles to spare; one that can skip all
+    the rest also enters the cell's end.
+    """
+    rows = cells.join(lists.select("own", "blocks", "upto"), "own")
+    skipped = lambda j: F.get("upto", j) - F.get("upto", F.col("at"))
+    ways = F.filter(F.sequence("at", F.size("blocks")), lambda j: skipped(j) <= F.col("spare"))
+    rows = rows.withColumn("j", F.explode(ways))
+    block, j = F.get("blocks", F.col("j")), F.col("j")
+    return rows.select(
+        F.col("c1").alias("p1"),
+        F.col("c2").alias("p2"),
+        F.xxhash64("c1", F.coalesce(block, F.lit(0))).alias("c1"),
+        F.xxhash64(F.lit(1), "c2", F.coalesce(block, F.lit(0))).alias("c2"),
+        "own",
+        "node",
+        "component",
+        "n",
+        (j + 1).alias("at"),
+        (F.col("spare") - skipped(j)).alias("spare"),
+        (F.col("shared") + F.coalesce(F.get("upto", j + 1) - F.get("upto", j), F.lit(0))).alias("shared"),
+        F.coalesce(F.element_at("upto", -1) - F.get("upto", j + 1), F.lit(0)).alias("rest"),
+        (j == F.size("blocks")).alias("ended"),
+        "pairs",
+    )
+
+
+def _compared(cells: DataFrame) -> DataFrame:
+    """Pairs of each cell that are of two components and have room for a link."""
+    x, y = cells.alias("x"), cells.alias("y")
+    both = F.col("x.shared") + F.least("x.rest", "y.rest")
+    found = x.join(
+        y,
+        (F.col("x.c1") == F.col("y.c1"))
+        & (F.col("x.c2") == F.col("y.c2"))
+        & (F.col("x.own") < F.col("y.own"))
+        & (F.col("x.component") != F.col("y.component"))
+        & (100 * both >= LINK * (F.col("x.n") + F.col("y.n") - both)),
+    )
+    a, b = F.col("x.node"), F.col("y.node")
+    return found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+
+
+def split(crowd: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs to compare, and certain links, that connect what links connect in a crowd.
+
+    Two linked points have a sequence of blocks in common, and each of them skips no more
+    between these than it has to spare.  A cell holds the points that can have its
+    sequence in common; it is split by the block that comes next, until few
+    pairs of two components are left or splitting leaves over ``LEAST_GAIN`` of them.  At the
+    end of a sequence the common part is known: points are linked if their sizes
+    are small enough, which they then are with the smallest.
+    """
+    lists = _blocks(crowd, sets)
+    none = F.lit(0).cast("long")
+    cells = lists.select(
+        none.alias("c1"), none.alias("c2"), "own", "node", "component", "n", F.lit(0).alias("at"), "spare",
+        none.alias("shared"), none.alias("rest"), F.lit(float("inf")).alias("pairs"),
+    )
+    compared, certain = [], []
+    while True:
+        grown = stored(_further(cells, lists), "cells")
+        ended = grown.where("ended")
+        heads = ended.groupBy("c1", "c2").agg(F.min(F.struct("n", "node", "own")).alias("head"))
+        ends = ended.join(heads, ["c1", "c2"]).where(
+            (F.col("node") != F.col("head.node"))
+            & (100 * F.col("shared") >= LINK * (F.col("n") + F.col("head.n") - F.col("shared")))
+        )
+        certain.append(stored(ends.select(F.col("head.node").alias("a"), F.col("node").alias("b")), "ends"))
+        inner = grown.where(~F.col("ended"))
+        k = F.col("k").cast("double")
+        sizes = inner.groupBy("p1", "p2", "c1", "c2", "component").agg(F.count("*").alias("k"), F.first("pairs").alias("own"))
+        sizes = sizes.groupBy("p1", "p2", "c1", "c2").agg(
+            F.sum(k).alias("points"), ((F.sum(k) * F.sum(k) - F.sum(k * k)) / 2).alias("left"), F.first("own").alias("own")
+        )
+        sizes = stored(sizes.where("left > 0"), "sizes")
+        gain = sizes.groupBy("p1", "p2").agg((F.sum("left") <= LEAST_GAIN * F.first("own")).alias("better"))
+        gain = stored(gain, "gain")
+        whole = gain.where(~F.col("better")).select(F.col("p1").alias("c1"), F.col("p2").alias("c2"))
+        sizes = sizes.join(gain.where("better"), ["p1", "p2"], "left_semi")
+        small = F.col("left") <= SMALL_REGION * F.col("points")
+        fine = sizes.where(small).select("c1", "c2")
+        compared += [
+            stored(_compared(cells.join(whole, ["c1", "c2"], "left_semi")), "compared"),
+            stored(_compared(inner.join(fine, ["c1", "c2"], "left_semi")), "compared"),
+        ]
+        coarse = sizes.where(~small).select("c1", "c2", F.col("left").alias("pairs"))
+        if coarse.isEmpty():
+            break
+        cells = stored(inner.drop("pairs", "p1", "p2", "ended").join(coarse, ["c1", "c2"]), "cells")
+    return reduce(DataFrame.union, compared).distinct(), reduce(DataFrame.union, certain).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
