@@ -364,20 +364,19 @@ def _blocks(crowd: DataFrame, sets: DataFrame) -> DataFrame:
     them may be missing in a linked point.
     """
     members = sets.join(crowd, "node").withColumn("own", F.xxhash64("node", "shingles"))
-    members = members.groupBy("node", "own").agg(F.first("shingles").alias("shingles"), F.first("component").alias("component"))
     each = members.select("node", "own", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    met = each.groupBy("shingle").agg(
-        F.count("*").alias("k"),
-        F.bit_xor("own").alias("x"),
-        F.bit_xor(F.xxhash64("own", F.lit(1))).alias("y"),
-    )
-    blocks = met.where("k > 1").groupBy("k", "x", "y").agg(F.min("shingle").alias("shingle"), F.count("*").alias("w"))
+    # Sums over the same points are equal, also where a row of ``sets`` is repeated.
+    again = F.xxhash64("own", F.lit(1))
+    halves = [h for x in (F.col("own"), again) for h in (x.bitwiseAND(F.lit(2**32 - 1)), F.shiftrightunsigned(x, 32))]
+    same = [f"s{i}" for i in range(len(halves))]
+    met = each.groupBy("shingle").agg(F.count("*").alias("k"), *[F.sum(h).alias(s) for h, s in zip(halves, same, strict=True)])
+    blocks = met.where("k > 1").groupBy("k", *same).agg(F.min("shingle").alias("shingle"), F.count("*").alias("w"))
     blocks = stored(blocks.select("shingle", "k", "w"), "blocks")
     lists = each.join(blocks, "shingle").groupBy("own").agg(
         F.first("node").alias("node"),
         F.first("component").alias("component"),
         F.first("n").cast("long").alias("n"),
-        F.sort_array(F.collect_list(F.struct((F.col("k") / F.col("w")).alias("rank"), "shingle", "w"))).alias("blocks"),
+        F.sort_array(F.collect_set(F.struct((F.col("k") / F.col("w")).alias("rank"), "shingle", "w"))).alias("blocks"),
     )
     zero = F.struct(F.lit(0).cast("long").alias("sum"), F.array(F.lit(0).cast("long")).alias("all"))
 
