@@ -9,13 +9,16 @@ Lines of fewer than four tokens can't differ and agree, so they meet by equal to
 
 A first pass combines hashes by leaf: smallest and largest id and line.  Only leaves with
 several lines of several documents are read again as text, as distinct lines with
-the smallest and the largest id that has them.  A leaf with more than ``LEAF`` distinct lines is split by further
-tokens, so a task holds no more than that; places it was split by stay closed.
+the smallest and the largest id that has them.  They stream through a task in the order of
+their text, which holds a leaf's templates only; of many templates an index by equal blocks
+of places names those that a line can join (``Leaf``), so leaves of any size give
+what comparing with every template would.  ``leaf`` asks for another tree: leaves with more distinct lines
+are split by further tokens, and places they were split by stay closed.
 
 A template is recurring when two documents have it.  The document with the smallest
 id keeps its lines; all others lose theirs, copies included, together with lines
 without any word that lost ones enclose.  With ``spare_copies`` a document whose exact
-Jaccard similarity links it with the one that keeps most of its words (half or more)
+Jaccard similarity links it with one that keeps half of its words or more
 stays whole, for a near-duplicate stage that follows.
 
 Defined results: null and empty texts have no lines and stay as they are; a text of any
@@ -44,8 +47,6 @@ from costlens.llm.common import FILTER_BITS, maybe_in, portions, stored, whole
 LEAD = 2
 #: Places of a line that must agree with its template, in quarters of all.
 AGREE = 3
-#: Distinct lines of a leaf beyond which it is split by further tokens.
-LEAF = 1000
 WORD = re.compile(r"[^\x20\x09-\x0D]")
 #: A code point that no text in UTF-8 has.
 CUT = "\udcff"
@@ -196,71 +197,103 @@ def _split(members: DataFrame, leaf: int) -> DataFrame:
         depth, step = depth + step, 2 * step
 
 
-#: Lines from which on templates are compared as one array.
+#: Templates of a leaf up to which a line is compared with all of them.
 FEW = 12
 
 
-def generalise(own: list[list[str]]) -> list[int]:
-    """For lines of one length, in order, which line began the template that each one joins."""
-    least, began, out = needed(len(own[0])), [], []
-    if len(own) <= FEW:
-        table = []
-        for i, row in enumerate(own):
-            agree = [sum(map(eq, places, row)) for places in table]
+class Leaf:
+    """Templates of lines that have one length and beginning, taken one after the other.
+
+    A line that can join a template differs from it, open places included, in no more than
+    ``spare`` places, so among any ``spare + 1`` places they have one in common.  Once there are more
+    than ``FEW`` templates an index holds those with a token at a place, and a line looks at
+    the places where fewest templates have its token.
+    """
+
+    def __init__(self, n: int):
+        self.least, self.templates, self.index = needed(n), [], None
+        self.spare = n - self.least
+        self.places = range(LEAD, n)
+        self.known: dict[str, int] = {}
+        self.table = np.empty((0, n), np.int64)
+
+    def _enter(self, t: int) -> None:
+        row = self.templates[t]
+        for i in self.places:
+            if row[i] is not None:
+                self.index.setdefault((i, row[i]), set()).add(t)
+        if t >= len(self.table):
+            more = np.full((len(self.table) + FEW, self.table.shape[1]), -1, np.int64)
+            self.table = np.concatenate([self.table, more])
+        self.table[t] = [-1 if x is None else self.known.setdefault(x, len(self.known)) for x in row]
+
+    def _nearest(self, row: list[str]) -> tuple[int, int]:
+        """The template with which most places agree, the first of several, and their number."""
+        if len(self.templates) <= FEW:
+            agree = [sum(map(eq, places, row)) for places in self.templates]
             best = agree.index(max(agree)) if agree else 0
-            if agree and agree[best] >= least:
-                table[best] = [a if a == b else None for a, b in zip(table[best], row, strict=True)]
-            else:
-                best = len(began)
-                table.append(row)
-                began.append(i)
-            out.append(began[best])
-        return out
-    known: dict[str, int] = {}
-    number = lambda x: known.setdefault(x, len(known))
-    rows = np.array([[number(x) for x in line] for line in own], np.int64)
-    table = np.empty_like(rows)
-    for i, row in enumerate(rows):
-        same = table[: len(began)] == row
-        agree = same.sum(1)
-        best = int(agree.argmax()) if began else 0
-        if began and agree[best] >= least:
-            table[best, ~same[best]] = -1  # an open place agrees with nothing
-        else:
-            best = len(began)
-            table[best] = row
-            began.append(i)
-        out.append(began[best])
-    return out
+            return best, agree[best] if agree else -1
+        if self.index is None:
+            self.index = {}
+            for t in range(len(self.templates)):
+                self._enter(t)
+        having = sorted((self.index.get((i, row[i]), ()) for i in self.places), key=len)
+        some = set().union(*having[: self.spare + 1])
+        if not some:
+            return 0, -1
+        some = np.array(sorted(some))
+        # a token that no template has yet agrees with nothing, like an open place
+        agree = (self.table[some] == [self.known.get(x, -2) for x in row]).sum(1)
+        best = int(agree.argmax())
+        return int(some[best]), int(agree[best])
+
+    def add(self, row: list[str]) -> tuple[int, bool]:
+        """The number of the template that a line joins or begins, and whether it begins it."""
+        best, agree = self._nearest(row)
+        if agree >= self.least:
+            places = self.templates[best]
+            opened = [i for i, (a, b) in enumerate(zip(places, row, strict=True)) if a is not None and a != b]
+            if self.index is not None and opened:
+                self.table[best, opened] = -1
+                for i in opened:
+                    self.index[i, places[i]].discard(best)
+            for i in opened:
+                places[i] = None
+            return best, False
+        self.templates.append(list(row))
+        if self.index is not None:
+            self._enter(len(self.templates) - 1)
+        return len(self.templates) - 1, True
 
 
 TEMPLATE = "leaf bigint, line bigint, keeper bigint, last bigint, template bigint"
 
 
 def _templates(members: DataFrame) -> DataFrame:
-    """Lines that share a template with others, with their ids, and the line that began it."""
-
-    def joined(group):
-        began = generalise([row[4].split(" ") for row in group])
-        many = {b for i, b in enumerate(began) if b != i}
-        return [(*group[i][:4], group[b][1]) for i, b in enumerate(began) if b in many]
+    """Lines that share a template with others or recur themselves, with their ids, and the line that began it."""
 
     def each(batches):
-        key, group = None, []
+        key = leaf = None
         for batch in batches:
             out = []
-            for k, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if k != key:
-                    out += joined(group) if len(group) > 1 else []
-                    key, group = k, []
-                group.append(row)
+            for k, words, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                places = words.split(" ")
+                if leaf is None or k != key:
+                    key, leaf, began, waiting = k, Leaf(len(places)), [], {}
+                t, begins = leaf.add(places)
+                if begins:
+                    began.append(row[1])
+                    waiting[t] = row
+                first = waiting.get(t)
+                if first and (not begins or row[2] is not None and row[2] < row[3]):
+                    out.append((*waiting.pop(t), began[t]))
+                if not begins:
+                    out.append((*row, began[t]))
             yield _template_batch(out)
-        if len(group) > 1:
-            yield _template_batch(joined(group))
 
     # lines of one leaf have as many tokens, also where a leaf is split
     ordered = members.repartition("key").sortWithinPartitions("key", "words")
-    return ordered.select("key", "leaf", "line", "keeper", "last", "words").mapInArrow(each, TEMPLATE)
+    return ordered.select("key", "words", "leaf", "line", "keeper", "last").mapInArrow(each, TEMPLATE)
 
 
 def _template_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -268,16 +301,16 @@ def _template_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names)
 
 
-def _recurring_lines(docs: DataFrame, leaf: int) -> DataFrame:
+def _recurring_lines(docs: DataFrame, leaf: int | None) -> DataFrame:
     """Lines whose template two documents have: leaf, hash, and the smallest id of the template."""
     leaves = _leaves(docs)
     alone = leaves.where("line = other").select("leaf", "line", "keeper")
-    members = _split(_members(docs, leaves.where("line <> other")), leaf)
+    members = _members(docs, leaves.where("line <> other"))
+    members = members.withColumn("key", F.col("leaf")) if leaf is None else _split(members, leaf)
     joined = stored(_templates(members), "templates")
     ranges = joined.groupBy("leaf", "template").agg(F.min("keeper").alias("keeper"), F.max("last").alias("last"))
     general = joined.drop("keeper", "last").join(ranges.where("keeper < last"), ["leaf", "template"])
-    equal = members.where("keeper < last")
-    found = alone.union(general.select(*alone.columns)).union(equal.select(*alone.columns))
+    found = alone.union(general.select(*alone.columns))
     return stored(found.groupBy("leaf", "line").agg(F.min("keeper").alias("keeper")), "recurring")
 
 
@@ -312,7 +345,7 @@ def lost_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     spare_copies: bool = False,
-    leaf: int = LEAF,
+    leaf: int | None = None,
 ) -> DataFrame:
     """Per document that has any: the places of the lines it loses.  ``version`` is its text's hash."""
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -320,11 +353,12 @@ def lost_lines(
     hits = _hits(docs, _recurring_lines(docs, leaf))
     if spare_copies:
         hits = stored(hits, "hits")
-        # Of the documents that keep this one's words the one that keeps the most.
-        shared = hits.groupBy("doc_id", "version", "words", "keeper").agg(F.sum("size").alias("shared"))
-        near = shared.where(2 * F.col("shared") >= F.col("words")).groupBy("doc_id", "version")
-        near = near.agg(F.min_by("keeper", F.struct(-F.col("shared"), "keeper")).alias("original"))
-        copies = _copies(docs, stored(near.select(_node().alias("b"), "original"), "near"))
+        # Every document that keeps half of this one's words or more; two may, with half each.
+        own = F.collect_set(F.struct("at", "size"))  # a repeated row has each line once
+        words = F.aggregate(own, F.lit(0), lambda n, x: n + x["size"])
+        shared = hits.groupBy("doc_id", "version", "words", "keeper").agg(words.alias("shared"))
+        near = shared.where(2 * F.col("shared") >= F.col("words"))
+        copies = _copies(docs, stored(near.select(_node().alias("b"), F.col("keeper").alias("original")), "near"))
         hits = hits.withColumn("b", _node()).join(copies, "b", "left_anti")
     return stored(hits.groupBy("doc_id", "version").agg(F.collect_set("at").alias("lost")), "lost")
 
@@ -371,7 +405,7 @@ def clean(
     id_col: str = "doc_id",
     text_col: str = "text",
     spare_copies: bool = False,
-    leaf: int = LEAF,
+    leaf: int | None = None,
 ) -> DataFrame:
     """All rows as a struct ``row``, and ``cleaned``: the text without recurring lines, and
     the numbers of recurring and dropped lines."""

@@ -114,6 +114,35 @@ def test_templates_equal_a_plain_tree(spark, leaf):
     assert templates.clean(frame(spark, [], extra=False), leaf=leaf).count() == 0
 
 
+def test_lines_of_a_crowded_leaf_are_generalised_too(spark):
+    """Other lines with the same beginning, however many, change nothing."""
+    log = "User logged {} in at noon from host {} behind the gate"
+    rows = [(i, log.format(f"name{'abcd'[i]}", "x")) for i in range(4)]
+    crowd = "\n".join(f"User logged {own(9)}" for _ in range(1100))
+    alone, among = cleaned(spark, rows), cleaned(spark, [*rows, (9, crowd)])
+    assert [alone[i].n_dropped for i in range(4)] == [among[i].n_dropped for i in range(4)] == [0, 1, 1, 1]
+    assert among[9].clean == crowd
+
+
+def test_an_indexed_leaf_equals_a_plain_one():
+    for n, words in [(4, "abc"), (9, "abcd"), (12, "ab"), (17, "abcdefghij")] * 3:
+        base = [DRAW.choices(words, k=n - 2) for _ in range(9)]
+        some = {("go", "on", *[DRAW.choice(words) if DRAW.random() < 0.2 else x for x in DRAW.choice(base)]) for _ in range(200)}
+        want, leaf, began = brute.tree(some, leaf=len(some)), templates.Leaf(n), []
+        for line in sorted(some, key=lambda t: " ".join(t).encode()):
+            t, begins = leaf.add(list(line))
+            began += [line] if begins else []
+            assert began[t] == want[line]
+
+
+def test_a_copy_of_any_keeper_of_half_is_spared(spark):
+    first, second = own(30), own(30)
+    rows = [(1, first), (2, f"{first} {second}"), (3, f"{first} {second}")]
+    got = cleaned(spark, rows + rows[2:], spare_copies=True)
+    assert got[3].clean == rows[2][1] and got[3].n_dropped == 0
+    assert got[2].n_dropped == 1
+
+
 @pytest.mark.parametrize("spare", [False, True])
 def test_whole_table(spark, sf_dir, spare):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
