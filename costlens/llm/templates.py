@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import cached_property
 from operator import eq
 
 import numpy as np
@@ -85,7 +86,7 @@ class Lines:
     leaf, hash, and the masked tokens.  Lines that have to be equal to meet are leaves of their own."""
 
     def __init__(self, texts: list[str]):
-        text, at, size, leaf, line, self.tokens = [], [], [], [], [], []
+        text, at, size, line, self.tokens = [], [], [], [], []
         digest = xxhash.xxh64_intdigest
         for k, x in enumerate(texts):
             data = mask(x.encode())
@@ -97,20 +98,27 @@ class Lines:
             for i, part in enumerate(data.split(b"\n")):
                 own = part.strip(b" ")
                 if own:
-                    n = own.count(b" ") + 1
-                    all_ = digest(own)
                     text.append(k)
                     at.append(i)
-                    size.append(n)
-                    line.append(all_)
+                    size.append(own.count(b" ") + 1)
+                    line.append(digest(own))
                     self.tokens.append(own)
-                    if (AGREE * n + 3) // 4 < n:
-                        second = own.find(b" ", own.find(b" ") + 1)
-                        leaf.append(digest(own[:second], n))
-                    else:
-                        leaf.append(all_)
         self.text, self.at, self.size = (np.array(c, np.int64) for c in (text, at, size))
-        self.leaf, self.line = np.array(leaf, np.uint64), np.array(line, np.uint64)
+        self.line = np.array(line, np.uint64)
+
+    def leaves(self, some: np.ndarray) -> np.ndarray:
+        """The leaves of the lines ``some``."""
+        digest, tokens, out = xxhash.xxh64_intdigest, self.tokens, []
+        for i, n, own in zip(some.tolist(), self.size[some].tolist(), self.line[some].tolist(), strict=True):
+            if (AGREE * n + 3) // 4 < n:
+                words = tokens[i]
+                own = digest(words[: words.find(b" ", words.find(b" ") + 1)], n)
+            out.append(own)
+        return np.array(out, np.uint64)
+
+    @cached_property
+    def leaf(self) -> np.ndarray:
+        return self.leaves(np.arange(len(self.tokens)))
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -329,7 +337,7 @@ def _hits(docs: DataFrame, found: DataFrame) -> DataFrame:
             of = own.text[some]
             rows = [ids.take(pa.array(of)), pa.array(np.array(versions, np.int64)[of]), pa.array(total[of])]
             rows += [pa.array(own.at[some].astype(np.int32)), pa.array(own.size[some].astype(np.int32))]
-            rows += [_signed(own.leaf[some]), _signed(own.line[some])]
+            rows += [_signed(own.leaves(some)), _signed(own.line[some])]
             yield pa.RecordBatch.from_arrays(rows, names)
 
     rows = docs.mapInArrow(each, HITS).join(found, ["leaf", "line"])
