@@ -81,3 +81,17 @@ def test_reports_are_the_same(spark, rows, tables):
             assert got == [want]
     everything = read_table(spark, tables[1]).select(*rows.columns)
     assert everything.exceptAll(rows).isEmpty() and everything.count() == rows.count()
+
+
+def test_files_follow_tasks_and_periods(spark, rows, tmp_path):
+    """Many periods don't get a file, and its Bloom filter, from every task."""
+    many = rows.withColumn("BillingPeriodStart", F.to_timestamp(F.concat(F.lit("20"), 10 + F.pmod(F.xxhash64("ResourceId"), F.lit(40)), F.lit("-01-01"))))
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "100k")
+    try:
+        write_table(many, f"{tmp_path}/t", cluster_by=("SubAccountId",))
+    finally:
+        spark.conf.set(key, before)
+    assert len(glob(f"{tmp_path}/t/*/*.parquet")) <= 40 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert read_table(spark, f"{tmp_path}/t").count() == rows.count()
