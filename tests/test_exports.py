@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from costlens.sources import exports
 from costlens.sources.exports import (
     LISTING,
     export_status,
@@ -300,3 +301,19 @@ def test_many_runs_and_scopes_need_no_more_jobs_or_scans(spark, tmp_path):
     assert seen[0][1] == seen[1][1] == 1
     # three listings, of files, headers and rows, may take a job each beyond 32 paths
     assert seen[1][0] <= seen[0][0] + 3
+
+
+def test_first_lines_hold_no_texts(spark, tmp_path):
+    """Headers are found without an aggregate that sorts whole lines."""
+    long_ = "\n".join(f"{i},{'x' * 50}" for i in range(2000))
+    (tmp_path / "a.csv").write_text(f"\n \na,b\n{long_}\n")
+    (tmp_path / "b.csv").write_text(f"c,d\n{long_}\n")
+    (tmp_path / "c.csv").write_text("\n\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        found = exports.first_lines(spark, [str(tmp_path)])
+        assert sorted((r.file[-5:], r.line) for r in found.collect()) == [("a.csv", "a,b"), ("b.csv", "c,d")]
+        assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
