@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -62,6 +63,24 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def give_back() -> None:
+    """Hands memory that Arrow and the C library keep for later back to the system.
+
+    Workers outlive their tasks; what an idle one keeps is missing beside those at work.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's only
+    if trim:
+        trim(0)
+
+
+def sparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, with memory given back after each."""
+    for batch in batches:
+        yield batch
+        give_back()
+
+
 #: Characters a worker handles at once; one longer text is handled alone.
 CHARS_AT_ONCE = 1_000_000
 

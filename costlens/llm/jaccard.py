@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costlens.llm.common import UPPER, as_row, maybe_in, of_row, portions, stored
+from costlens.llm.common import UPPER, as_row, maybe_in, of_row, portions, sparing, stored
 
 WORDS = 5
 #: Two sets are linked when 100 * intersection >= LINK * union.
@@ -107,7 +107,7 @@ def shingle_counts(docs: DataFrame) -> DataFrame:
     """Shingle buckets that several documents may share, with their counts."""
 
     def each(batches):
-        for _, texts in portions(batches):
+        for _, texts in portions(sparing(batches)):
             sets = shingle_sets(texts)
             if sets:
                 found, n = np.unique(_bucket(np.concatenate(sets)), return_counts=True)
@@ -145,7 +145,7 @@ def points(docs: DataFrame, counts: DataFrame) -> DataFrame:
 
     def each(batches):
         bits, often = shared_map.value, frequent.value
-        for ids, texts in portions(batches):
+        for ids, texts in portions(sparing(batches)):
             sizes, digests, most, regions = [], [], [], []
             for shingles in shingle_sets(texts):
                 n = len(shingles)
@@ -188,7 +188,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     some = some.join(nodes, some["doc_id"] == nodes["node"], "left_semi")
 
     def each(batches):
-        for ids, texts in portions(batches):
+        for ids, texts in portions(sparing(batches)):
             sets = [x.view(np.int64) for x in shingle_sets(texts)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"]
