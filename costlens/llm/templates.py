@@ -86,35 +86,38 @@ class Lines:
     leaf, hash, and the masked tokens.  Lines that have to be equal to meet are leaves of their own."""
 
     def __init__(self, texts: list[str]):
-        text, at, size, line, self.tokens = [], [], [], [], []
-        digest = xxhash.xxh64_intdigest
-        for k, x in enumerate(texts):
+        parts, n = [], []
+        for x in texts:
             data = mask(x.encode())
+            # the space after an end would only be stripped
             for end in (b".", b"!", b"?"):
-                data = data.replace(end + b" ", end + b"\n ")
+                data = data.replace(end + b" ", end + b"\n")
             data = data.translate(BLANK)
             while b"  " in data:
                 data = data.replace(b"  ", b" ")
-            for i, part in enumerate(data.split(b"\n")):
-                own = part.strip(b" ")
-                if own:
-                    text.append(k)
-                    at.append(i)
-                    size.append(own.count(b" ") + 1)
-                    line.append(digest(own))
-                    self.tokens.append(own)
-        self.text, self.at, self.size = (np.array(c, np.int64) for c in (text, at, size))
-        self.line = np.array(line, np.uint64)
+            data = data.replace(b"\n ", b"\n").replace(b" \n", b"\n").strip(b" ")
+            own = data.split(b"\n")
+            parts += own
+            n.append(len(own))
+        n = np.array(n, np.int64)
+        filled = np.fromiter(map(bool, parts), bool, len(parts))
+        self.text = np.repeat(np.arange(len(n)), n)[filled]
+        self.at = (np.arange(len(parts)) - np.repeat(n.cumsum() - n, n))[filled]
+        self.tokens = [*filter(None, parts)]
+        self.size = np.fromiter([x.count(b" ") + 1 for x in self.tokens], np.int64, len(self.tokens))
+        self.line = np.fromiter(map(xxhash.xxh64_intdigest, self.tokens), np.uint64, len(self.tokens))
 
     def leaves(self, some: np.ndarray) -> np.ndarray:
         """The leaves of the lines ``some``."""
-        digest, tokens, out = xxhash.xxh64_intdigest, self.tokens, []
-        for i, n, own in zip(some.tolist(), self.size[some].tolist(), self.line[some].tolist(), strict=True):
-            if (AGREE * n + 3) // 4 < n:
-                words = tokens[i]
-                own = digest(words[: words.find(b" ", words.find(b" ") + 1)], n)
-            out.append(own)
-        return np.array(out, np.uint64)
+        digest, tokens, n = xxhash.xxh64_intdigest, self.tokens, self.size[some]
+        out = self.line[some]
+        open_ = np.flatnonzero((AGREE * n + 3) // 4 < n)
+        found = []
+        for i, k in zip(some[open_].tolist(), n[open_].tolist(), strict=True):
+            words = tokens[i]
+            found.append(digest(words[: words.find(b" ", words.find(b" ") + 1)], k))
+        out[open_] = np.array(found, np.uint64)
+        return out
 
     @cached_property
     def leaf(self) -> np.ndarray:
