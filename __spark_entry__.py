@@ -16,7 +16,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import Column, DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from costlens.functions.columns import MONEY, money, total  # noqa: E402
@@ -45,6 +45,7 @@ from costlens.sources.star import (  # noqa: E402
     legacy_text,
 )
 from costlens.sources.tables import (  # noqa: E402
+    read_by_period,
     read_table,
     to_daily,
     write_mtd_export,
@@ -327,10 +328,11 @@ def _health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- exports and tables --------------------------------------------------------
 
 
-def _star_table(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
-    """The star written as a typed table, its rows read month by month."""
-    write_table(focus_rows(spark, sf_dir, FOCUS_STAR_COLUMNS, dealt_by=PERIOD), path, dealt=True)
-    return read_table(spark, path).select(*FOCUS_STAR_COLUMNS)
+def _star_table(spark: SparkSession, sf_dir: str, path: str, used: Column | None = None) -> DataFrame:
+    """The star (or the charges of it that are used) written as a typed table, its rows read month by month."""
+    rows = focus_rows(spark, sf_dir, FOCUS_STAR_COLUMNS)
+    write_table(rows if used is None else rows.where(used), path, gather=True)
+    return read_by_period(spark, path).select(*FOCUS_STAR_COLUMNS)
 
 
 @cache
