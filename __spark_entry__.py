@@ -335,6 +335,11 @@ def _star_table(spark: SparkSession, sf_dir: str, path: str, used: Column | None
     return read_by_period(spark, path).select(*FOCUS_STAR_COLUMNS)
 
 
+def _even_or_early() -> Column:
+    """Charges of runs of day 15, and of later runs of even months."""
+    return (F.dayofmonth("ChargePeriodStart") <= 15) | (F.month(PERIOD) % 2 == 0)
+
+
 @cache
 def _exports(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
     """The star as cumulative CSV exports of two scopes, one plain and one compressed."""
@@ -479,7 +484,7 @@ def _ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A first load, a newer run of even months, then a run that empties one month."""
     work = scratch_dir(spark, "incremental")
     lake, table, checkpoint = (f"{work}/{x}" for x in ("lake", "table", "checkpoint"))
-    rows = focus_rows(spark, sf_dir, FOCUS_STAR_COLUMNS, dealt_by=PERIOD)
+    rows = _star_table(spark, sf_dir, f"{work}/source", _even_or_early())
 
     def ingest() -> None:
         ingest_exports(spark, lake, table, checkpoint).awaitTermination()
@@ -499,7 +504,7 @@ def _ingest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The steps of ``ingest_incremental``, each published at once; all three versions stay readable."""
     work = scratch_dir(spark, "versions")
     lake, table, checkpoint = (f"{work}/{x}" for x in ("lake", "table", "checkpoint"))
-    rows = focus_rows(spark, sf_dir, FOCUS_STAR_COLUMNS, dealt_by=PERIOD)
+    rows = _star_table(spark, sf_dir, f"{work}/source", _even_or_early())
 
     def ingest() -> DataFrame:
         ingest_exports(spark, lake, table, checkpoint, versioned=True).awaitTermination()
@@ -561,7 +566,7 @@ def _rollup_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q-21 from the rollup after the three steps of ``ingest_versions``."""
     work = scratch_dir(spark, "rollups")
     lake, table, checkpoint = (f"{work}/{x}" for x in ("lake", "table", "checkpoint"))
-    rows = focus_rows(spark, sf_dir, FOCUS_STAR_COLUMNS, dealt_by=PERIOD)
+    rows = _star_table(spark, sf_dir, f"{work}/source", _even_or_early())
 
     def ingest() -> DataFrame:
         names = ["resources"]
