@@ -21,8 +21,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections.abc import Iterator
 from functools import cached_property, lru_cache
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -45,6 +46,10 @@ SHARD_IDS = 1_000_000
 #: Neighbours that are replaced occur at least so often in a shard.
 LEAST_COUNT = 4
 COUNTERS = 2**21
+#: Free symbols that are used up in one round.
+LAST_RULES = 1024
+#: Documents of a shard that are decoded at once.
+TOGETHER = 256
 #: Symbols are 16-bit; rules fill what the vocabulary leaves.
 SYMBOLS = 2**16
 
@@ -58,10 +63,28 @@ FORMAT = (
 #: is cut by the code-point classes of ``bpe``.
 WIDE = re.compile("[^\\x00-\u04ff]")
 PIECES = regex.compile(public_tokenizers.PATTERN)
+#: Blanks other than the space and the line feed, and two blanks side by side.  Without them every blank
+#: begins a piece, and what comes before it ends one, so a text is cut at its blanks.
+ODD_BLANKS = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0]")
+TWO_BLANKS = ("  ", " \n", "\n ", "\n\n")
+
+
+def by_blanks(text: str) -> list[str] | None:
+    """A text's words with the line feed before them, the first with a carriage return; all others
+    follow a space.  None for a text whose blanks are not the bounds of its pieces."""
+    if ODD_BLANKS.search(text) or any(x in text for x in TWO_BLANKS):
+        return None
+    words = text.replace("\n", " \n").split(" ")
+    words[0] = "\r" + words[0]
+    return words
 
 
 class Library:
-    """The tokenizers library, asked once per distinct piece of text."""
+    """The tokenizers library, asked once per distinct piece of text.
+
+    Texts are cut at blanks where these are bounds of pieces, which is cheaper than to find
+    the pieces; only words that are new are cut into pieces.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,6 +94,7 @@ class Library:
         self.size = self.tokenizer.get_vocab_size()
         (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         # Added tokens are cut out of a text before it is cut into pieces, as the library does.
         self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         longest = sorted(self.added, key=len, reverse=True)
@@ -102,14 +126,45 @@ class Library:
             coded = iter(bpe.encode_pieces(wide, self.known, self._new, REMEMBERED))
             rest = iter(self._plain([x for x in texts if not WIDE.search(x)]))
             return [next(coded if WIDE.search(x) else rest) for x in texts]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) + len(self.words) > REMEMBERED:
             self.known.clear()
+            self.words.clear()
+        cut = [by_blanks(x) for x in texts]
+        odd = iter(self._by_pieces([x for x, own in zip(texts, cut, strict=True) if own is None]))
+        words = [x for own in cut if own for x in own]
+        found = list(map(self.words.get, words))
+        if new := [i for i, x in enumerate(found) if x is None]:
+            self._learn(list({words[i] for i in new}))
+            for i in new:
+                found[i] = self.words[words[i]]
+        coded = iter(found)
+        joined = [next(odd) if own is None else b"".join(islice(coded, len(own))) for own in cut]
+        return [np.frombuffer(x, "<i4") for x in joined]
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words of :func:`by_blanks`, with the blank before them."""
+        line = np.array([self.newline], "<i4").tobytes()
+        shown = [x[1:] if x[:1] in ("\r", "\n") else f" {x}" for x in words]
+        # nothing, or a space that ends a text, would run together with the line feeds between words
+        alone = {x: self._by_pieces([x])[0] for x in ("", " ")}
+        ids = np.frombuffer(self._by_pieces(["\n".join(x for x in shown if x not in alone)])[0], "<i4")
+        # a line feed keeps two words apart, and is one id, which no word has
+        ends = np.append(np.flatnonzero(ids == self.newline), len(ids)) * 4
+        flat, begins = ids.tobytes(), [0, *(ends[:-1] + 4).tolist()]
+        parted = iter([flat[a:b] for a, b in zip(begins, ends.tolist(), strict=True)])
+        coded = [alone[x] if x in alone else next(parted) for x in shown]
+        self.words.update(
+            (x, line + found if x[:1] == "\n" else found) for x, found in zip(words, coded, strict=True)
+        )
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, by their pieces."""
         cut = [PIECES.findall(x) for x in texts]
         pieces = [x for own in cut for x in own]
-        if new := list({x for x in pieces if x not in self.known}):
+        if new := list(set(pieces).difference(self.known)):
             self.known.update(zip(new, self._new(new), strict=True))
         coded = iter(map(self.known.__getitem__, pieces))
-        return [np.frombuffer(b"".join(islice(coded, len(own))), "<i4") for own in cut]
+        return [b"".join(islice(coded, len(own))) for own in cut]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not (self.apart and any(map(self.apart.search, texts))):
@@ -168,7 +223,7 @@ def compress(ids: np.ndarray, last: np.ndarray, first_rule: int) -> tuple[np.nda
     free = SYMBOLS - first_rule
     while len(symbols) > 1 and free > 0:
         left, right = symbols[:-1], symbols[1:]
-        slot = ((left * np.uint32(2654435761)) ^ (right * np.uint32(40503))) % np.uint32(COUNTERS)
+        slot = ((left * np.uint32(2654435761)) ^ (right * np.uint32(40503))) & np.uint32(COUNTERS - 1)
         often = np.bincount(slot, minlength=COUNTERS).astype(np.int32)[slot]
         often[last[:-1] | (often < LEAST_COUNT)] = 0
         padded = np.concatenate([[0], often, [0]])
@@ -177,10 +232,10 @@ def compress(ids: np.ndarray, last: np.ndarray, first_rule: int) -> tuple[np.nda
         run = np.cumsum(np.diff(at, prepend=-2) > 1)
         begin = np.flatnonzero(np.diff(run, prepend=0))
         at = at[(at - at[begin][run - 1]) % 2 == 0]
-        codes = left[at].astype(np.uint64) << np.uint64(32) | right[at]
+        codes = left[at] << np.uint32(16) | right[at]
         pairs, which, counts = np.unique(codes, return_inverse=True, return_counts=True)
         # Half of the symbols left go to one round, so that later ones can build on its rules.
-        rank = np.lexsort((pairs, -counts))[: max(free // 2, 1)]
+        rank = np.lexsort((pairs, -counts))[: max(free // 2, min(free, LAST_RULES))]
         rank = rank[counts[rank] >= LEAST_COUNT]
         if not len(rank):
             break
@@ -189,7 +244,7 @@ def compress(ids: np.ndarray, last: np.ndarray, first_rule: int) -> tuple[np.nda
         named = name[which]
         at, named = at[named >= 0], named[named >= 0]
         chosen = pairs[rank]
-        rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(2**32 - 1)], 1).astype(np.uint32))
+        rules.append(np.stack([chosen >> np.uint32(16), chosen & np.uint32(SYMBOLS - 1)], 1))
         free -= len(rank)
         symbols[at] = named
         last = last.copy()
@@ -239,12 +294,30 @@ class Shard:
         self.lengths, self.symbols = read("lengths", "<i4"), read("symbols", "<u2")
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.first_rule)
+        return self.spelled(self.symbols)
+
+    @cached_property
+    def spellings(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids that symbols stand for, one after the other, and where each symbol's begin."""
+        every = np.arange(self.first_rule + len(self.rules), dtype=np.uint32)
+        return expand(every, self.rules, self.first_rule), np.cumsum(self.spans) - self.spans
+
+    @cached_property
+    def spans(self) -> np.ndarray:
+        """Ids that each symbol stands for."""
+        return np.concatenate([np.ones(self.first_rule, np.int64), self.lengths])
+
+    def spelled(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids that symbols stand for."""
+        flat, begins = self.spellings
+        spans = self.spans[symbols]
+        ends = np.cumsum(spans)
+        return flat[np.repeat(begins[symbols] - ends + spans, spans) + np.arange(spans.sum())]
 
     @cached_property
     def ends(self) -> np.ndarray:
         """Ids up to the end of each symbol."""
-        return np.cumsum(np.concatenate([np.ones(self.first_rule, np.int64), self.lengths])[self.symbols])
+        return np.cumsum(self.spans[self.symbols])
 
     @cached_property
     def stops(self) -> np.ndarray:
@@ -254,7 +327,16 @@ class Shard:
         """Ids ``start`` to ``stop`` of the shard, from the symbols that cover them."""
         a, b = np.searchsorted(self.ends, [start, stop - 1], "right").tolist()
         first = int(self.ends[a - 1]) if a else 0
-        return expand(self.symbols[a : b + 1], self.rules, self.first_rule)[start - first : stop - first]
+        return self.spelled(self.symbols[a : b + 1])[start - first : stop - first]
+
+    def documents(self) -> Iterator[np.ndarray]:
+        """The ids of every document, decoded from the symbols that cover ``TOGETHER`` of them."""
+        for first in range(0, len(self.counts), TOGETHER):
+            stops = self.stops[first : first + TOGETHER].tolist()
+            start = stops[0] - int(self.counts[first])
+            ids = self.slice(start, stops[-1])
+            for a, b in pairwise([start, *stops]):
+                yield ids[a - start : b - start]
 
     def document(self, i: int) -> np.ndarray:
         stop = int(self.stops[i])
@@ -335,8 +417,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 shard = Shard(row)
-                # each document is decoded from the symbols that cover it
-                sums = [zlib.crc32(shard.document(i).astype("<u4").tobytes()) for i in range(len(shard.counts))]
+                sums = [zlib.crc32(x.astype("<u4", copy=False)) for x in shard.documents()]
                 starts = offsets[row["part"]] + row["before"] + shard.stops - shard.counts
                 yield pa.RecordBatch.from_arrays(
                     [
