@@ -1,0 +1,124 @@
+"""The star on its way to the exports: few bytes a row in shuffles and in the source, and no disk taken after it was used."""
+
+import os
+from glob import glob
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from costlens.scratch import drop_dir
+from costlens.sources import star
+from costlens.sources.star import FOCUS_STAR_COLUMNS, focus_rows, narrow_rows, widened
+from costlens.sources.tables import while_writing, write_table
+
+NONE, NAN, INF = None, float("nan"), float("inf")
+DAY = "2024-03-31 00:00:00"
+# quantity, discount, tax, line, flag, status, moment; whether they fit a number
+ITEMS = [
+    (17.0, 0.04, 0.02, 1, "N", "O", DAY, True),
+    (4095.0, 1.27, 0.29, 127, "~", " ", "2149-06-06 00:00:00", True),
+    (0.0, 0.0, 0.0, 0, "A", "F", "1970-01-01 00:00:00", True),
+    (-0.0, 0.07, 0.57, 7, "R", "F", DAY, True),
+    (17.5, 0.04, 0.02, 1, "N", "O", DAY, False),
+    (4096.0, 0.04, 0.02, 1, "N", "O", DAY, False),
+    (-1.0, 0.04, 0.02, 1, "N", "O", DAY, False),
+    (1e300, 0.04, 0.02, 1, "N", "O", DAY, False),
+    (17.0, 0.045, 0.02, 1, "N", "O", DAY, False),
+    (17.0, 0.04, -0.01, 1, "N", "O", DAY, False),
+    (17.0, NAN, INF, 1, "N", "O", DAY, False),
+    (17.0, 0.04, 0.02, 128, "N", "O", DAY, False),
+    (17.0, 0.04, 0.02, 1, "NN", "O", DAY, False),
+    (17.0, 0.04, 0.02, 1, "", "é", DAY, False),
+    (17.0, 0.04, 0.02, 1, "N", "O", "2024-03-31 00:00:01", False),
+    (17.0, 0.04, 0.02, 1, "N", "O", "1969-12-31 00:00:00", False),
+    (NONE, 0.08, 0.02, 1, "N", "O", DAY, False),
+    (17.0, NONE, 0.02, 1, "N", "O", DAY, False),
+    (17.0, 0.08, 0.02, NONE, "N", "O", DAY, False),
+    (17.0, 0.09, 0.02, 1, NONE, "O", DAY, False),
+    (17.0, 0.04, 0.02, 1, "N", "O", NONE, False),
+    (NONE, NONE, NONE, NONE, NONE, NONE, NONE, False),
+]
+
+
+def lines(spark):
+    schema = "l_quantity double, l_discount double, l_tax double, l_linenumber int, l_returnflag string, l_linestatus string"
+    rows = spark.createDataFrame(ITEMS, f"{schema}, at string, fits boolean").coalesce(2)
+    return rows.withColumns(
+        {
+            "l_shipdate": F.col("at").cast("timestamp"),
+            "l_orderkey": F.monotonically_increasing_id(),
+            "l_partkey": F.lit(5).cast("bigint"),
+            "l_suppkey": F.lit(9).cast("bigint"),
+            "l_extendedprice": F.lit(12.34),
+        }
+    )
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Berlin"])
+def test_packed_rows_are_exact_whatever_they_hold(spark, zone):
+    with while_writing(spark, {"spark.sql.session.timeZone": zone}):
+        rows = lines(spark)
+        packed = star._packed(rows)
+        fits = packed.join(rows.select("l_orderkey", "fits"), "l_orderkey").where("(few_bits IS NOT NULL) != fits")
+        assert fits.count() == 0
+        shown = ["l_orderkey", "l_partkey", "l_extendedprice", *star._FEW_BITS]
+        found = star._unpacked(packed).select(*shown).orderBy("l_orderkey")
+        want = rows.withColumn("l_extendedprice", F.expr(star._LIST)).select(*shown).orderBy("l_orderkey")
+        assert found.schema.simpleString() == want.schema.simpleString()
+        assert [str(r).replace("-0.0", "0.0") for r in found.collect()] == [str(r).replace("-0.0", "0.0") for r in want.collect()]
+        supplied = packed.join(rows.select("l_orderkey", "l_discount"), "l_orderkey")
+        assert supplied.where("l_suppkey IS NOT NULL AND NOT l_discount >= 0.08").count() == 0
+        assert supplied.where("l_suppkey IS NULL AND l_discount >= 0.08").count() == 0
+
+
+def test_the_narrow_star_is_the_star(spark, sf_dir):
+    found, want = widened(narrow_rows(spark, sf_dir)), focus_rows(spark, sf_dir, FOCUS_STAR_COLUMNS)
+    assert found.dtypes == want.dtypes
+    assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
+
+
+def sizes(folder, pattern):
+    return sum(os.path.getsize(f) for f in glob(f"{folder}/**/{pattern}", recursive=True))
+
+
+def test_the_source_holds_no_cost_that_follows_from_others(spark, sf_dir, tmp_path):
+    entry._star_table(spark, sf_dir, str(tmp_path / "narrow"))
+    write_table(focus_rows(spark, sf_dir, FOCUS_STAR_COLUMNS), str(tmp_path / "wide"), gather=True)
+    columns = spark.read.parquet(str(tmp_path / "narrow")).columns
+    assert not {"ListCost", "EffectiveCost", "ContractedCost"} & {*columns}
+    assert sizes(tmp_path / "narrow", "*.parquet") < sizes(tmp_path / "wide", "*.parquet")
+
+
+def shuffle_files(spark):
+    home = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {str(home.apply(i)) for i in range(home.size()) if "shuffle_" in str(home.apply(i))}
+
+
+@pytest.mark.parametrize("how", [{}, {"gather": True}, {"cluster_by": ("ResourceId",)}])
+def test_a_write_leaves_no_shuffle_files(spark, tmp_path, how):
+    before = shuffle_files(spark)
+    start = F.add_months(F.lit("2024-01-01").cast("date"), (F.col("id") % 3).cast("int")).cast("timestamp")
+    rows = spark.range(0, 3000, 1, 4).repartition(5, "id").select(start.alias("BillingPeriodStart"), F.col("id").cast("string").alias("ResourceId"))
+    write_table(rows, str(tmp_path / "t"), **how)
+    # nothing is asked of the driver's garbage collector
+    assert not shuffle_files(spark) - before
+    assert spark.read.parquet(str(tmp_path / "t")).count() == rows.count() == 3000
+
+
+def test_the_source_is_dropped_once_the_runs_are_written(spark, sf_dir, monkeypatch):
+    sources = []
+    real = entry._star_table
+    monkeypatch.setattr(entry, "_star_table", lambda s, d, path, *a: sources.append(path) or real(s, d, path, *a))
+    monkeypatch.setattr(entry, "_exports", entry._exports.__wrapped__)
+    for query in ("export_files", "ingest_incremental", "ingest_versions", "rollup_versions", "export_complete_runs"):
+        assert entry.billing_queries()[query](spark, sf_dir).count()
+    assert len(sources) == 5 and not any(os.path.exists(s) for s in sources)
+
+
+def test_drop_dir(spark, tmp_path):
+    (tmp_path / "a b" / "c").mkdir(parents=True)
+    (tmp_path / "a b" / "c" / "x.parquet").write_text("x")
+    drop_dir(spark, str(tmp_path / "a b"))
+    drop_dir(spark, str(tmp_path / "none"))
+    assert os.listdir(tmp_path) == []
