@@ -122,3 +122,13 @@ def test_drop_dir(spark, tmp_path):
     drop_dir(spark, str(tmp_path / "a b"))
     drop_dir(spark, str(tmp_path / "none"))
     assert os.listdir(tmp_path) == []
+
+
+def test_charges_that_are_not_used_are_left_out_before_they_are_packed(spark, sf_dir):
+    rows = narrow_rows(spark, sf_dir, entry._even_or_early())
+    want = focus_rows(spark, sf_dir, FOCUS_STAR_COLUMNS).where(entry._even_or_early())
+    assert 0 < want.count() == rows.count()
+    assert widened(rows).exceptAll(want).isEmpty() and want.exceptAll(widened(rows)).isEmpty()
+    # unpacked moments in the condition would repeat all that packs them
+    condition = [x for x in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "dayofmonth" in x]
+    assert condition and not any("date_from_unix_date" in x for x in condition)
